@@ -76,7 +76,7 @@ class Settings:
     @property
     def session_retention_s(self) -> float:
         """Late calls are still told EXPIRED, not NOT_FOUND, for this long."""
-        return 2 * self.session_ttl_s + 60.0
+        return float(int(2 * self.session_ttl_s + 60) + 1)
 
 
 DEFAULTS = Settings()

@@ -67,8 +67,22 @@ select vec_id - vec_id % 5 as session_id, vec_id % 5 as seq, embedding,
 from embeddings
 """
 
+# Challenge sessions and attempts for the frame sets above: most are sound, some
+# repeat, come late, carry a foreign correlation id or name no session.
+VIEWS["v_frame_sessions"] = """
+select vec_id as session_id, vec_id * 1000 as created_s, concat('c', cast(vec_id as string)) as correlation_id,
+ vec_id / 5 % 3 as steps_kind from embeddings where vec_id % 5 = 0 and vec_id % 95 <> 0
+"""
+
+VIEWS["v_frame_attempts"] = """
+select vec_id * 10 + vec_id % 5 as attempt_id, vec_id - vec_id % 5 as session_id,
+ (vec_id - vec_id % 5) * 1000 + case when vec_id % 5 = 0 and vec_id % 55 = 0 then 100 else 30 + vec_id % 5 end as attempted_s,
+ concat('c', cast(vec_id - vec_id % 5 + case when vec_id % 85 = 0 then 1 else 0 end as string)) as correlation_id
+from embeddings where vec_id % 5 = 0 or vec_id % 35 = 1
+"""
+
 VIEWS["v_detections"] = """
-select l_orderkey as frame_id, l_linenumber * 1000000 + l_partkey as cand, l_discount * 10 as conf,
+select l_orderkey as frame_id, (l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey as cand, l_discount * 10 as conf,
  l_tax as l, l_tax / 2 as t, l_tax + l_quantity / 80 as r, l_tax / 2 + l_quantity / 70 as b
 from lineitem
 """
