@@ -18,17 +18,41 @@ from pyspark.sql import functions as F
 
 from presence.functions import numeric
 
-KEY = ["image_id", "h", "w"]
 GRID = 4
 BLOCK = 8
 
 
+def spread(images: DataFrame) -> DataFrame:
+    """Use all cores for pixel work on an input with few splits.
+
+    A row grows ten-thousandfold when exploded, so a scan of a few small
+    files is redistributed by id first; larger inputs keep their own splits.
+    """
+    cores = images.sparkSession.sparkContext.defaultParallelism
+    if images.rdd.getNumPartitions() >= cores:
+        return images
+    return images.repartition(cores, "image_id")
+
+
 def explode_pixels(images: DataFrame, *planes: str) -> DataFrame:
-    """One row per pixel: ``i, x, y`` beside the (shared) plane arrays."""
-    return (
-        images.select(*KEY, *planes, F.explode(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1)).alias("i"))
-        .withColumn("y", F.expr("cast(i div w as int)"))
-        .withColumn("x", F.col("i") - F.col("y") * F.col("w"))
+    """One row per pixel beside the (shared) plane arrays.
+
+    Adds ``y, x``, the offset of the pixel's line (``row``) and of the lines
+    around it (``above``, ``below``), and the columns around it (``left``,
+    ``right``); line values are computed once per line. Unused ones are pruned.
+    """
+    y, h, w = F.col("y"), F.col("h"), F.col("w")
+    lines = images.select(
+        "image_id", "h", "w", *planes, F.explode(F.sequence(F.lit(0), h - 1)).alias("y")
+    ).select(
+        "*",
+        (y * w).alias("row"),
+        (reflect(y - 1, h) * w).alias("above"),
+        (reflect(y + 1, h) * w).alias("below"),
+    )
+    x = F.col("x")
+    return lines.select("*", F.explode(F.sequence(F.lit(0), w - 1)).alias("x")).select(
+        "*", reflect(x - 1, w).alias("left"), reflect(x + 1, w).alias("right")
     )
 
 
@@ -36,10 +60,8 @@ def reflect(c: Column, n: Column) -> Column:
     return (n - 1) - F.abs((n - 1) - F.abs(c))
 
 
-def neighbour(plane: str, dy: int, dx: int) -> Column:
-    y = F.col("y") if dy == 0 else reflect(F.col("y") + dy, F.col("h"))
-    x = F.col("x") if dx == 0 else reflect(F.col("x") + dx, F.col("w"))
-    return F.get(F.col(plane), y * F.col("w") + x)
+def at(plane: str, line: str, column: str) -> Column:
+    return F.get(F.col(plane), F.col(line) + F.col(column))
 
 
 def luma(b: Column, g: Column, r: Column) -> Column:
@@ -60,22 +82,25 @@ def lbp(images: DataFrame) -> DataFrame:
     Neighbours at least as bright as the centre set bits 7..0 clockwise from
     the top-left; only interior pixels count.
     """
-    around = [(-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1)]
-    i, w = F.col("i"), F.col("w")
-    centre = F.get("gray", i)
+    around = [
+        ("above", "left"), ("above", "x"), ("above", "right"), ("row", "right"),
+        ("below", "right"), ("below", "x"), ("below", "left"), ("row", "left"),
+    ]
     code = F.lit(0)
-    for bit, (dy, dx) in zip(range(7, -1, -1), around):
-        code = code + F.when(F.get("gray", i + w * dy + dx) >= centre, F.lit(1 << bit)).otherwise(
+    for bit, place in zip(range(7, -1, -1), around):
+        code = code + F.when(at("gray", *place) >= at("gray", "row", "x"), F.lit(1 << bit)).otherwise(
             F.lit(0)
         )
     inner = explode_pixels(images, "gray").where(
         F.col("x").between(1, F.col("w") - 2) & F.col("y").between(1, F.col("h") - 2)
     )
-    histogram = inner.groupBy(*KEY, code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    total = ((F.col("h") - 2) * (F.col("w") - 2)).cast("double")
-    p = F.col("n") / total
-    entropy = histogram.groupBy(*KEY).agg((-F.sum(p * F.log2(p)) / 8.0).alias("lbp_entropy"))
-    return entropy.withColumn("lbp", numeric.lbp_score(F.col("lbp_entropy"))).drop("h", "w")
+    histogram = inner.groupBy("image_id", code.alias("code")).agg(
+        F.count(F.lit(1)).cast("double").alias("n")
+    )
+    # -sum(p log p) with p = n / total, without a pass for the total
+    bits = F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")
+    entropy = histogram.groupBy("image_id").agg((bits / 8.0).alias("lbp_entropy"))
+    return entropy.withColumn("lbp", numeric.lbp_score(F.col("lbp_entropy")))
 
 
 # -- colour -----------------------------------------------------------------
@@ -83,10 +108,9 @@ def lbp(images: DataFrame) -> DataFrame:
 
 def color(images: DataFrame) -> DataFrame:
     """Population spread of the chroma planes and its score."""
-    b, g, r = (F.get(c, F.col("i")) for c in "bgr")
     px = (
         explode_pixels(images, "b", "g", "r")
-        .select(*KEY, b.alias("b"), g.alias("g"), r.alias("r"))
+        .select("image_id", *[at(c, "row", "x").alias(c) for c in "bgr"])
         .withColumn("luma", luma(F.col("b"), F.col("g"), F.col("r")))
     )
 
@@ -94,16 +118,14 @@ def color(images: DataFrame) -> DataFrame:
         wide = F.shiftright((F.col(channel) - F.col("luma")) * weight + (128 << 14) + 8192, 14)
         return F.greatest(F.least(wide, F.lit(255)), F.lit(0)).cast("long")
 
-    px = px.select(*KEY, chroma("r", 11682).alias("cr"), chroma("b", 9241).alias("cb"))
+    px = px.select("image_id", chroma("r", 11682).alias("cr"), chroma("b", 9241).alias("cb"))
     n = F.count(F.lit(1))
 
-    def spread(c: str) -> Column:
+    def deviation(c: str) -> Column:
         return F.sqrt(_variance(F.sum(c), F.sum(F.col(c) * F.col(c)), n))
 
-    out = px.groupBy(*KEY).agg(spread("cr").alias("cr_std"), spread("cb").alias("cb_std"))
-    return out.withColumn("color", numeric.color_score(F.col("cr_std"), F.col("cb_std"))).drop(
-        "h", "w"
-    )
+    out = px.groupBy("image_id").agg(deviation("cr").alias("cr_std"), deviation("cb").alias("cb_std"))
+    return out.withColumn("color", numeric.color_score(F.col("cr_std"), F.col("cb_std")))
 
 
 # -- sharpness by cell, block edges -----------------------------------------
@@ -119,23 +141,26 @@ def sharpness(images: DataFrame) -> DataFrame:
     Each cell stands alone: at a cell's edge the neighbour outside is replaced
     by the one inside.
     """
-    i, w, x, y = (F.col(c) for c in ("i", "w", "x", "y"))
-    ch, cw = F.expr(f"cast(h div {GRID} as int)"), F.expr(f"cast(w div {GRID} as int)")
-    px = explode_pixels(images, "gray").withColumns({"ch": ch, "cw": cw})
-    px = px.where((y < F.col("ch") * GRID) & (x < F.col("cw") * GRID))
-    ry, rx = y % F.col("ch"), x % F.col("cw")
-    # a one-pixel cell has no neighbours but itself
-    up = F.when(F.col("ch") == 1, 0).when(ry == 0, w).otherwise(-w)
-    down = F.when(F.col("ch") == 1, 0).when(ry == F.col("ch") - 1, -w).otherwise(w)
-    left = F.when(F.col("cw") == 1, 0).when(rx == 0, 1).otherwise(-1)
-    right = F.when(F.col("cw") == 1, 0).when(rx == F.col("cw") - 1, -1).otherwise(1)
+    row, w, x, y = (F.col(c) for c in ("row", "w", "x", "y"))
+    ch, cw = F.floor(F.col("h") / GRID).cast("int"), F.floor(w / GRID).cast("int")
+    px = explode_pixels(images.withColumns({"ch": ch, "cw": cw}), "gray", "ch", "cw")
+    ch, cw = F.col("ch"), F.col("cw")
+    px = px.where((y < ch * GRID) & (x < cw * GRID))
+    top, bottom = y % ch == 0, y % ch == ch - 1
+    first, last = x % cw == 0, x % cw == cw - 1
+    # at a cell edge the inner neighbour stands in; one-pixel cells see themselves
+    up = F.when(ch == 1, row).when(top, row + w).otherwise(row - w)
+    down = F.when(ch == 1, row).when(bottom, row - w).otherwise(row + w)
+    before = F.when(cw == 1, x).when(first, x + 1).otherwise(x - 1)
+    after = F.when(cw == 1, x).when(last, x - 1).otherwise(x + 1)
+    g = F.col("gray")
     lap = _laplacian(
-        *[F.get("gray", i + step) for step in (up, down, left, right)], F.get("gray", i)
+        F.get(g, up + x), F.get(g, down + x), F.get(g, row + before), F.get(g, row + after), F.get(g, row + x)
     )
-    cell = F.expr("cast(y div ch as int) * 4 + cast(x div cw as int)")
+    cell = F.floor(y / ch).cast("int") * GRID + F.floor(x / cw).cast("int")
     cells = (
-        px.select(*KEY, cell.alias("cell"), lap.alias("lap"))
-        .groupBy(*KEY, "cell")
+        px.select("image_id", cell.alias("cell"), lap.alias("lap"))
+        .groupBy("image_id", "cell")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("lap").alias("s1"),
@@ -144,16 +169,16 @@ def sharpness(images: DataFrame) -> DataFrame:
         .withColumn("var", _variance(F.col("s1"), F.col("s2"), F.col("n")))
     )
     cv = F.stddev_pop("var") / (F.avg("var") + 1e-10)
-    out = cells.groupBy(*KEY).agg(cv.alias("sharpness_cv"))
-    return out.withColumn("sharpness", numeric.sharpness_score(F.col("sharpness_cv"))).drop("h", "w")
+    out = cells.groupBy("image_id").agg(cv.alias("sharpness_cv"))
+    return out.withColumn("sharpness", numeric.sharpness_score(F.col("sharpness_cv")))
 
 
 def jpeg(images: DataFrame) -> DataFrame:
     """Steps across 8-pixel block edges against steps inside blocks."""
-    i, w, h, x, y = (F.col(c) for c in ("i", "w", "h", "x", "y"))
-    centre = F.get("gray", i)
-    vertical = F.abs(centre - F.get("gray", i - w)).cast("long")
-    horizontal = F.abs(centre - F.get("gray", i - 1)).cast("long")
+    w, h, x, y = (F.col(c) for c in ("w", "h", "x", "y"))
+    centre = at("gray", "row", "x")
+    vertical = F.abs(centre - at("gray", "above", "x")).cast("long")
+    horizontal = F.abs(centre - at("gray", "row", "left")).cast("long")
 
     def on(c: Column, n: Column, offset: int) -> Column:
         line = c - offset
@@ -162,7 +187,9 @@ def jpeg(images: DataFrame) -> DataFrame:
     def total(step: Column, lines: Column, name: str) -> Column:
         return F.coalesce(F.sum(F.when(lines, step)), F.lit(0)).alias(name)
 
-    sums = explode_pixels(images, "gray").groupBy(*KEY).agg(
+    sums = explode_pixels(images, "gray").groupBy("image_id").agg(
+        F.max("h").alias("h"),
+        F.max("w").alias("w"),
         total(vertical, on(y, h, 0), "row_edge"),
         total(vertical, on(y, h, 4), "row_inner"),
         total(horizontal, on(x, w, 0), "col_edge"),
@@ -188,13 +215,13 @@ def jpeg(images: DataFrame) -> DataFrame:
 def detail_stats(images: DataFrame) -> DataFrame:
     """Laplacian variance, mean gradient, 3x3-blur residual spread and mean
     brightness. Unused measures are pruned by the planner."""
-    at = {
-        (dy, dx): neighbour("gray", dy, dx).alias(f"p{dy + 1}{dx + 1}")
-        for dy in (-1, 0, 1)
-        for dx in (-1, 0, 1)
-    }
-    px = explode_pixels(images, "gray").select(*KEY, *at.values())
-    p = {k: F.col(f"p{k[0] + 1}{k[1] + 1}") for k in at}
+    lines, columns = {-1: "above", 0: "row", 1: "below"}, {-1: "left", 0: "x", 1: "right"}
+    places = {(dy, dx): f"p{dy + 1}{dx + 1}" for dy in lines for dx in columns}
+    px = explode_pixels(images, "gray").select(
+        "image_id",
+        *[at("gray", lines[dy], columns[dx]).alias(n) for (dy, dx), n in places.items()],
+    )
+    p = {place: F.col(n) for place, n in places.items()}
     lap = _laplacian(p[-1, 0], p[1, 0], p[0, -1], p[0, 1], p[0, 0])
     gx = (p[-1, 1] + p[0, 1] * 2 + p[1, 1]) - (p[-1, -1] + p[0, -1] * 2 + p[1, -1])
     gy = (p[1, -1] + p[1, 0] * 2 + p[1, 1]) - (p[-1, -1] + p[-1, 0] * 2 + p[-1, 1])
@@ -204,21 +231,21 @@ def detail_stats(images: DataFrame) -> DataFrame:
         + p[0, 0] * 4
     )
     px = px.select(
-        *KEY,
+        "image_id",
         p[0, 0].cast("long").alias("gray"),
         lap.alias("lap"),
         F.sqrt((gx * gx + gy * gy).cast("double")).alias("grad"),
         (p[0, 0] * 16 - blur16).cast("long").alias("res16"),
     )
     n = F.count(F.lit(1))
-    return px.groupBy(*KEY).agg(
+    return px.groupBy("image_id").agg(
         _variance(F.sum("lap"), F.sum(F.col("lap") * F.col("lap")), n).alias("lap"),
         F.avg("grad").alias("teng"),
         (F.sqrt(_variance(F.sum("res16"), F.sum(F.col("res16") * F.col("res16")), n)) / 16.0).alias(
             "resid"
         ),
         F.avg("gray").alias("brightness"),
-    ).drop("h", "w")
+    )
 
 
 def qc_metrics(images: DataFrame) -> DataFrame:

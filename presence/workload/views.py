@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presence.operators.pixels import spread
+
 VIEWS: dict[str, str] = {}
 SPARK_TEXT: dict[str, str] = {}
 
@@ -168,10 +170,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_pixels`` as one row per image: ``image_id, h, w, gray ARRAY<INT>``."""
     docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    docs = spread(docs.select(F.col("doc_id").alias("image_id"), "text"))
     n = F.length("text")
     return (
         docs.select(
-            F.col("doc_id").alias("image_id"),
+            "image_id",
             F.greatest(F.lit(16), F.ceil(n / IMAGE_WIDTH).cast("int")).alias("h"),
             F.lit(IMAGE_WIDTH).alias("w"),
             F.transform(F.split("text", ""), lambda c: F.ascii(c) % 256).alias("codes"),
