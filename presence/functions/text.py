@@ -26,8 +26,15 @@ IPV6_PATTERN = (
 
 
 def decode_payload(encoded: Column) -> Column:
-    """Base64 text to bytes; NULL where the text is not valid base64."""
-    return F.try_to_binary(encoded, F.lit("base64"))
+    """Base64 text to bytes; NULL where the text is not valid base64.
+
+    Characters outside the alphabet are skipped, as lenient decoders do; the
+    second attempt only runs for text the first one refuses.
+    """
+    cleaned = F.regexp_replace(encoded, r"[^A-Za-z0-9+/=]+", "")
+    return F.coalesce(
+        F.try_to_binary(encoded, F.lit("base64")), F.try_to_binary(cleaned, F.lit("base64"))
+    )
 
 
 def parse_document_reply(reply: Column) -> dict[str, Column]:

@@ -5,6 +5,7 @@ planes out; every function sees a bounded number of images at a time."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -143,36 +144,65 @@ def resample(bgr: np.ndarray, size: int) -> np.ndarray:
     return np.floor(out + 0.5).astype(np.int32)
 
 
-def crop_and_resample(images: DataFrame, size: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Cut ``ltx..rbx, lty..rby`` from packed BGR ``data`` and resize.
+@dataclass(frozen=True)
+class View:
+    """A square crop: cut from the frame by a window struct column, or
+    resampled from another view named earlier in the list."""
+
+    name: str
+    size: int
+    window: str | None = None
+    parent: str | None = None
+
+
+def crop_views(images: DataFrame, views: list[View], keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per image and view, with flat ``b, g, r, gray`` planes.
 
-    Output planes are flat ``b, g, r, gray`` arrays of ``size`` squared. Rows
+    Needs packed ``data`` with ``frame_h, frame_w`` and the windows' structs
+    (``ltx, lty, rbx, rby``). Grey and four-channel images become BGR. Rows
     without a usable window are dropped; filter decided rows before the call.
     """
-    window = ["ltx", "lty", "rbx", "rby"]
-    source = images.where(F.col("ltx").isNotNull()).select(
-        "image_id", *keep, F.col("frame_h").alias("fh"), F.col("frame_w").alias("fw"), *window, "data"
+    windows = [v.window for v in views if v.window]
+    usable = F.lit(True)
+    for name in windows:
+        usable = usable & F.col(name)["ltx"].isNotNull()
+    source = images.where(usable).select(
+        "image_id", *keep, "frame_h", "frame_w", *dict.fromkeys(windows), "data"
     )
-    plane = T.ArrayType(T.IntegerType())
     schema = T.StructType(
         [images.schema[c] for c in ("image_id", *keep)]
+        + [T.StructField("view", T.StringType())]
         + [T.StructField(c, T.IntegerType()) for c in ("h", "w")]
-        + [T.StructField(c, plane) for c in ("b", "g", "r", "gray")]
+        + [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("b", "g", "r", "gray")]
     )
 
+    def cut(row: dict) -> Iterator[tuple]:
+        h, w = int(row["frame_h"]), int(row["frame_w"])
+        full = np.frombuffer(row["data"], dtype=np.uint8).reshape(h, w, -1)
+        full = np.repeat(full, 3, axis=2) if full.shape[2] == 1 else full[:, :, :3]
+        done: dict[str, np.ndarray] = {}
+        for v in views:
+            if v.parent:
+                part = done[v.parent]
+            else:
+                box = row[v.window]
+                part = full[box["lty"] : box["rby"] + 1, box["ltx"] : box["rbx"] + 1]
+            out = done[v.name] = resample(part, v.size)
+            b, g, r = (out[:, :, c].ravel() for c in range(3))
+            gray = (b * 1868 + g * 9617 + r * 4899 + 8192) >> 14
+            yield (row["image_id"], *[row[c] for c in keep], v.name, v.size, v.size, b, g, r, gray)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), STACK):
-                part = batch.iloc[lo : lo + STACK]
-                rows = []
-                for row in part.itertuples(index=False):
-                    full = np.frombuffer(row.data, dtype=np.uint8).reshape(row.fh, row.fw, 3)
-                    out = resample(full[row.lty : row.rby + 1, row.ltx : row.rbx + 1], size)
-                    b, g, r = (out[:, :, c].ravel() for c in range(3))
-                    gray = (b * 1868 + g * 9617 + r * 4899 + 8192) >> 14
-                    rows.append((b, g, r, gray))
-                head = part[["image_id", *keep]].reset_index(drop=True)
-                planes = pd.DataFrame(rows, columns=["b", "g", "r", "gray"])
-                yield pd.concat([head.assign(h=size, w=size), planes], axis=1)
+                rows = [out for row in batch.iloc[lo : lo + STACK].to_dict("records") for out in cut(row)]
+                yield pd.DataFrame(rows, columns=schema.names)
 
     return source.mapInPandas(run, schema)
+
+
+def crop_and_resample(images: DataFrame, size: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The single-view form over ``ltx, lty, rbx, rby`` columns."""
+    box = F.struct("ltx", "lty", "rbx", "rby").alias("window")
+    cut = images.select("image_id", *keep, "frame_h", "frame_w", "data", box)
+    return crop_views(cut, [View("crop", size, window="window")], keep).drop("view")
