@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Reply formats of the document-photo question.
@@ -37,36 +37,46 @@ def decode_payload(encoded: Column) -> Column:
     )
 
 
-def parse_document_reply(reply: Column) -> dict[str, Column]:
-    """Read a stored model reply: ran, is_document, confidence of "document".
+def parse_document_replies(df: DataFrame, reply: str, prefix: str = "") -> DataFrame:
+    """Read stored model replies: ran, is_document, confidence of "document".
 
     A labelled answer wins over bare keywords; a stated confidence refers to
     the stated label, so it is inverted for the real-background label; no
-    number counts as 0.5; no label at all means the check did not run.
+    number counts as 0.5; no label at all means the check did not run. Each
+    pattern runs once per reply, keywords only where no label was found.
     """
-    stated = F.upper(F.regexp_extract(reply, LABEL_PATTERN, 1))
-    upper = F.upper(reply)
+    upper = F.when(F.col("_stated") == "", F.upper(reply))
     studio_word = F.lit(False)
     for word in STUDIO_WORDS:
-        studio_word = studio_word | upper.contains(word)
+        studio_word = studio_word | F.col("_upper").contains(word)
     is_document = (
-        F.when(stated.startswith("STUDIO_BACK"), F.lit(True))
-        .when(stated == REAL_WORD, F.lit(False))
+        F.when(F.col("_stated").startswith("STUDIO_BACK"), F.lit(True))
+        .when(F.col("_stated") == REAL_WORD, F.lit(False))
         .when(studio_word, F.lit(True))
-        .when(upper.contains(REAL_WORD), F.lit(False))
+        .when(F.col("_upper").contains(REAL_WORD), F.lit(False))
     )
-    digits = F.regexp_extract(reply, CONFIDENCE_PATTERN, 1)
+    called = F.col("_called")
     share = F.when(
-        digits != "", F.least(digits.cast("double"), F.lit(100.0)) / F.lit(100.0)
+        F.col("_digits") != "", F.least(F.col("_digits").cast("double"), F.lit(100.0)) / F.lit(100.0)
     ).otherwise(F.lit(0.5))
-    return {
-        "ran": is_document.isNotNull(),
-        "is_document": is_document,
-        "confidence": F.when(is_document, share).when(~is_document, F.lit(1.0) - share),
-        "raw_label": F.when(is_document, F.lit(STUDIO_WORDS[0])).when(
-            ~is_document, F.lit(REAL_WORD)
-        ),
-    }
+    staged = (
+        df.withColumns(
+            {
+                "_stated": F.upper(F.regexp_extract(reply, LABEL_PATTERN, 1)),
+                "_digits": F.regexp_extract(reply, CONFIDENCE_PATTERN, 1),
+            }
+        )
+        .withColumn("_upper", upper)
+        .withColumn("_called", is_document)
+    )
+    return staged.withColumns(
+        {
+            f"{prefix}ran": called.isNotNull(),
+            f"{prefix}is_document": called,
+            f"{prefix}confidence": F.when(called, share).when(~called, F.lit(1.0) - share),
+            f"{prefix}raw_label": F.when(called, F.lit(STUDIO_WORDS[0])).when(~called, F.lit(REAL_WORD)),
+        }
+    ).drop("_stated", "_digits", "_upper", "_called")
 
 
 def header_seconds(header: Column) -> Column:
@@ -82,12 +92,12 @@ def is_ip(address: Column) -> Column:
 
 
 def ipv4_number(address: Column) -> Column:
-    """Dotted quad as an integer; NULL for anything else."""
-    parts = F.split(address, r"\.")
+    """Dotted quad as an integer; only for text that is a valid address."""
+    parts = F.split(address, r"\.", 4)
     number = F.lit(0).cast("long")
     for i in range(4):
-        number = number * 256 + F.get(parts, F.lit(i)).try_cast("long")
-    return F.when(address.rlike(IPV4_PATTERN), number)
+        number = number * 256 + F.get(parts, F.lit(i)).cast("long")
+    return number
 
 
 def is_loopback(address: Column) -> Column:

@@ -311,22 +311,11 @@ def legacy_verdict(df: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 def document_reject(df: DataFrame, reply: str, s: Settings = DEFAULTS) -> DataFrame:
     """Confident "document" replies reject; everything else falls through."""
-    parsed = text.parse_document_reply(F.col(reply))
-    return df.withColumns(
-        {
-            "reply_ran": parsed["ran"],
-            "reply_is_document": parsed["is_document"],
-            "reply_confidence": parsed["confidence"],
-        }
-    ).withColumn(
-        "document_reject",
-        F.coalesce(
-            F.col("reply_ran")
-            & F.col("reply_is_document")
-            & (F.col("reply_confidence") >= s.document_reject),
-            F.lit(False),
-        ),
+    parsed = text.parse_document_replies(df, reply, "reply_")
+    confident = (
+        F.col("reply_ran") & F.col("reply_is_document") & (F.col("reply_confidence") >= s.document_reject)
     )
+    return parsed.withColumn("document_reject", F.coalesce(confident, F.lit(False)))
 
 
 def error_default(df: DataFrame, endpoint: str = "endpoint", error: str = "error") -> DataFrame:
@@ -433,12 +422,15 @@ def ip_allowlist(df: DataFrame, ip: str = "client_ip", s: Settings = DEFAULTS) -
     generated predicate: no broadcast, no nested-loop join. Addresses of the
     other family match nothing; text that is no address skips the check.
     """
-    number = text.ipv4_number(F.col(ip))
     inside = F.lit(False)
     for lo, hi in network_ranges(s.allowed_networks):
-        inside = inside | number.between(lo, hi)
-    return df.withColumn(
-        "admitted", F.when(text.is_ip(F.col(ip)), F.coalesce(inside, F.lit(False))).otherwise(True)
+        inside = inside | F.col("_number").between(lo, hi)
+    numbered = df.withColumn("_v4", F.coalesce(F.col(ip).rlike(text.IPV4_PATTERN), F.lit(False))).withColumn(
+        "_number", F.when(F.col("_v4"), text.ipv4_number(F.col(ip)))
+    )
+    no_address = ~F.coalesce(F.col(ip).rlike(text.IPV6_PATTERN), F.lit(False))
+    return numbered.withColumn("admitted", F.when(F.col("_v4"), inside).otherwise(no_address)).drop(
+        "_v4", "_number"
     )
 
 

@@ -22,16 +22,16 @@ GRID = 4
 BLOCK = 8
 
 
-def spread(images: DataFrame) -> DataFrame:
-    """Use all cores for pixel work on an input with few splits.
+def spread(rows: DataFrame, key: str = "image_id") -> DataFrame:
+    """Use all cores for heavy per-row work on an input with few splits.
 
-    A row grows ten-thousandfold when exploded, so a scan of a few small
-    files is redistributed by id first; larger inputs keep their own splits.
+    An image row grows ten-thousandfold when exploded, so a scan of a few
+    small files is redistributed by id first; larger inputs keep their splits.
     """
-    cores = images.sparkSession.sparkContext.defaultParallelism
-    if images.rdd.getNumPartitions() >= cores:
-        return images
-    return images.repartition(cores, "image_id")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores, key)
 
 
 def explode_pixels(images: DataFrame, *planes: str) -> DataFrame:

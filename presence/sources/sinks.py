@@ -71,8 +71,11 @@ def session_audit_lines(df: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str, mode: str = "append") -> None:
-    """JSON lines by date; ``maxRecordsPerFile`` bounds file size."""
-    lines.write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS).partitionBy("date").text(path)
+    """JSON lines by date. Rebalancing on the date gives each day a few files
+    of even size, however many tasks wrote and however busy the day was;
+    ``maxRecordsPerFile`` bounds a file."""
+    even = lines.hint("rebalance", "date")
+    even.write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS).partitionBy("date").text(path)
 
 
 def write_audit_log(df: DataFrame, path: str, s: Settings = DEFAULTS) -> None:

@@ -10,6 +10,7 @@ from presence.config import DEFAULTS, SIGNAL_WEIGHTS
 from presence.functions import numeric, text, vector
 from presence.functions.numeric import round_dp
 from presence.operators import gates, scores
+from presence.operators.pixels import spread
 from presence.workload.base import query
 from presence.workload.views import oracle, rnd, table, view
 
@@ -367,6 +368,10 @@ _VLM = r"""parsed as (select frame_id, response, upper(regexp_extract(response,
  case when is_doc then share when not is_doc then 1e0 - share end as conf from answered)"""
 
 
+def _replies(spark, sf_dir):
+    return spread(view(spark, sf_dir, "v_vlm"), "frame_id")
+
+
 @query(
     "parse_document_reply",
     oracle(
@@ -377,13 +382,13 @@ _VLM = r"""parsed as (select frame_id, response, upper(regexp_extract(response,
     ),
 )
 def _(spark, sf_dir):
-    parsed = text.parse_document_reply(F.col("response"))
-    return view(spark, sf_dir, "v_vlm").select(
+    parsed = text.parse_document_replies(_replies(spark, sf_dir), "response")
+    return parsed.select(
         "frame_id",
-        parsed["ran"].alias("ran"),
-        parsed["is_document"].alias("is_document"),
-        round_dp(parsed["confidence"], 6).alias("confidence"),
-        parsed["raw_label"].alias("raw_label"),
+        "ran",
+        "is_document",
+        round_dp(F.col("confidence"), 6).alias("confidence"),
+        "raw_label",
     )
 
 
@@ -396,7 +401,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return gates.document_reject(view(spark, sf_dir, "v_vlm"), "response").select(
+    return gates.document_reject(_replies(spark, sf_dir), "response").select(
         "frame_id", "document_reject"
     )
 
