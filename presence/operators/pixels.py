@@ -1,7 +1,7 @@
 """Image signals as pixel aggregations.
 
 An image is one row: ``image_id, h, w`` and flat row-major planes (``gray``,
-or ``b, g, r``) as ``ARRAY<INT>``. Crops have a fixed size (160, 224 or 112
+or ``b, g, r``) as arrays of bytes or ints. Crops have a fixed size (160, 224 or 112
 pixels square), so a row is bounded. The pixel index is generated next to the
 row and neighbours are read from the same array, all inside generated code;
 the partial aggregates that leave a task hold one row per image and histogram
@@ -60,8 +60,13 @@ def reflect(c: Column, n: Column) -> Column:
     return (n - 1) - F.abs((n - 1) - F.abs(c))
 
 
+def value(plane: str, index: Column) -> Column:
+    """Pixel value; the mask undoes the wrap of planes kept as bytes."""
+    return F.get(F.col(plane), index).cast("int").bitwiseAND(F.lit(255))
+
+
 def at(plane: str, line: str, column: str) -> Column:
-    return F.get(F.col(plane), F.col(line) + F.col(column))
+    return value(plane, F.col(line) + F.col(column))
 
 
 def luma(b: Column, g: Column, r: Column) -> Column:
@@ -153,9 +158,8 @@ def sharpness(images: DataFrame) -> DataFrame:
     down = F.when(ch == 1, row).when(bottom, row - w).otherwise(row + w)
     before = F.when(cw == 1, x).when(first, x + 1).otherwise(x - 1)
     after = F.when(cw == 1, x).when(last, x - 1).otherwise(x + 1)
-    g = F.col("gray")
     lap = _laplacian(
-        F.get(g, up + x), F.get(g, down + x), F.get(g, row + before), F.get(g, row + after), F.get(g, row + x)
+        *[value("gray", i) for i in (up + x, down + x, row + before, row + after, row + x)]
     )
     cell = F.floor(y / ch).cast("int") * GRID + F.floor(x / cw).cast("int")
     cells = (

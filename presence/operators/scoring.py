@@ -22,9 +22,21 @@ Predict = Callable[[np.ndarray], np.ndarray]
 def class_probs(
     df: DataFrame, factory: Callable[[], Predict], tensor: str, shape: list[int], batch: int = 256
 ) -> DataFrame:
-    """One model's class probabilities ``p0, p1, p2`` for every row."""
+    """One model's class probabilities ``p0, p1, p2`` for every row.
+
+    Byte tensors are unsigned pixels; the predictor gets floats.
+    """
+
+    def unsigned() -> Predict:
+        predict = factory()
+
+        def run(x: np.ndarray) -> np.ndarray:
+            return predict((x.view(np.uint8) if x.dtype == np.int8 else x).astype(np.float32))
+
+        return run
+
     udf = predict_batch_udf(
-        factory,
+        unsigned,
         return_type=T.ArrayType(T.DoubleType()),
         batch_size=batch,
         input_tensor_shapes=[shape],

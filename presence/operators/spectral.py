@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,8 +79,8 @@ def _stacks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.nd
         for (h, w), group in batch.groupby(["h", "w"]):
             for lo in range(0, len(group), STACK):
                 part = group.iloc[lo : lo + STACK]
-                planes = np.stack([np.asarray(g) for g in part["gray"]]).astype(np.float64)
-                yield part["image_id"].to_numpy(), planes.reshape(len(part), h, w)
+                planes = np.stack([np.asarray(g) for g in part["gray"]]).astype(np.int32) & 255
+                yield part["image_id"].to_numpy(), planes.astype(np.float64).reshape(len(part), h, w)
 
 
 def _measure(images: DataFrame, fields: str, compute) -> DataFrame:
@@ -151,34 +152,44 @@ class View:
 
     name: str
     size: int
+    planes: tuple[str, ...] = ("b", "g", "r", "gray")
     window: str | None = None
     parent: str | None = None
 
 
-def crop_views(images: DataFrame, views: list[View], keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per image and view, with flat ``b, g, r, gray`` planes.
+PLANE_AT = {"b": 0, "g": 1, "r": 2}
+
+
+def _plane(bgr: np.ndarray, name: str) -> np.ndarray:
+    if name == "gray":
+        b, g, r = (bgr[:, :, c] for c in range(3))
+        return (b * 1868 + g * 9617 + r * 4899 + 8192) >> 14
+    return bgr[:, :, PLANE_AT[name]]
 
-    Needs packed ``data`` with ``frame_h, frame_w`` and the windows' structs
-    (``ltx, lty, rbx, rby``). Grey and four-channel images become BGR. Rows
-    without a usable window are dropped; filter decided rows before the call.
+
+def crop_views(images: DataFrame, views: list[View], keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per image with a column ``view_plane`` per view and plane.
+
+    Planes are flat byte arrays (values above 127 wrap; readers mask), so a
+    crop costs a byte per pixel and plane on the wire and on disk, and a later
+    stage reads only the planes it names. Needs packed ``data`` with
+    ``frame_h, frame_w`` and the windows' structs (``ltx, lty, rbx, rby``).
+    Grey and four-channel images become BGR. Rows without a usable window are
+    dropped; filter decided rows before the call.
     """
-    windows = [v.window for v in views if v.window]
+    windows = list(dict.fromkeys(v.window for v in views if v.window))
     usable = F.lit(True)
     for name in windows:
         usable = usable & F.col(name)["ltx"].isNotNull()
-    source = images.where(usable).select(
-        "image_id", *keep, "frame_h", "frame_w", *dict.fromkeys(windows), "data"
-    )
+    source = images.where(usable).select("image_id", *keep, "frame_h", "frame_w", *windows, "data")
+    columns = [(f"{v.name}_{p}", v, p) for v in views for p in v.planes]
     schema = T.StructType(
         [images.schema[c] for c in ("image_id", *keep)]
-        + [T.StructField("view", T.StringType())]
-        + [T.StructField(c, T.IntegerType()) for c in ("h", "w")]
-        + [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("b", "g", "r", "gray")]
+        + [T.StructField(name, T.ArrayType(T.ByteType())) for name, _, _ in columns]
     )
 
-    def cut(row: dict) -> Iterator[tuple]:
-        h, w = int(row["frame_h"]), int(row["frame_w"])
-        full = np.frombuffer(row["data"], dtype=np.uint8).reshape(h, w, -1)
+    def cut(row: dict) -> dict[str, np.ndarray]:
+        full = np.frombuffer(row["data"], dtype=np.uint8).reshape(row["frame_h"], row["frame_w"], -1)
         full = np.repeat(full, 3, axis=2) if full.shape[2] == 1 else full[:, :, :3]
         done: dict[str, np.ndarray] = {}
         for v in views:
@@ -187,22 +198,40 @@ def crop_views(images: DataFrame, views: list[View], keep: tuple[str, ...] = ())
             else:
                 box = row[v.window]
                 part = full[box["lty"] : box["rby"] + 1, box["ltx"] : box["rbx"] + 1]
-            out = done[v.name] = resample(part, v.size)
-            b, g, r = (out[:, :, c].ravel() for c in range(3))
-            gray = (b * 1868 + g * 9617 + r * 4899 + 8192) >> 14
-            yield (row["image_id"], *[row[c] for c in keep], v.name, v.size, v.size, b, g, r, gray)
+            done[v.name] = resample(part, v.size)
+        return done
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), STACK):
-                rows = [out for row in batch.iloc[lo : lo + STACK].to_dict("records") for out in cut(row)]
-                yield pd.DataFrame(rows, columns=schema.names)
-
-    return source.mapInPandas(run, schema)
+            for lo in range(0, batch.num_rows, STACK):
+                part = batch.slice(lo, STACK)
+                cuts = [cut(row) for row in part.to_pylist()]
+                arrays = [part.column(c) for c in ("image_id", *keep)]
+                for _, v, p in columns:
+                    flat = np.concatenate([_plane(c[v.name], p).ravel() for c in cuts])
+                    offsets = np.arange(len(cuts) + 1, dtype=np.int32) * v.size**2
+                    arrays.append(
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.uint8).view(np.int8)))
+                    )
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def view_planes(crops: DataFrame, view: View, *keep: str) -> DataFrame:
+    """One view of ``crop_views`` as an image table."""
+    return crops.select(
+        "image_id",
+        *keep,
+        F.lit(view.size).alias("h"),
+        F.lit(view.size).alias("w"),
+        *[F.col(f"{view.name}_{p}").alias(p) for p in view.planes],
+    )
 
 
 def crop_and_resample(images: DataFrame, size: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """The single-view form over ``ltx, lty, rbx, rby`` columns."""
     box = F.struct("ltx", "lty", "rbx", "rby").alias("window")
     cut = images.select("image_id", *keep, "frame_h", "frame_w", "data", box)
-    return crop_views(cut, [View("crop", size, window="window")], keep).drop("view")
+    view = View("crop", size, window="window")
+    return view_planes(crop_views(cut, [view], keep), view, *keep)

@@ -111,34 +111,34 @@ def pad_decisions(
         & F.col("dimension_reject").isNull()
     )
     cut = placed.where(alive).select("image_id", "frame_h", "frame_w", "x", "y", "w", "h", "face_px")
-    views = [spectral.View("detail", DETAIL_SIZE, window="window0")]
-    views.append(spectral.View("texture", SIGNAL_SIZE, parent="detail"))
-    corners = ("ltx", "lty", "rbx", "rby")
-    for i, scale in enumerate(models.scorers):
-        if i and crop_mode == "batch":
-            break
+    detail = spectral.View("detail", DETAIL_SIZE, ("gray",), window="window0")
+    texture = spectral.View("texture", SIGNAL_SIZE, parent="detail")
+    side, rgb, corners = models.scorer_size, ("r", "g", "b"), ("ltx", "lty", "rbx", "rby")
+    shared = crop_mode == "batch"
+    scales = list(models.scorers)[:1] if shared else list(models.scorers)
+    inputs_of = []
+    for i, scale in enumerate(scales):
         cut = gates.crop_window(cut, scale).withColumn(f"window{i}", F.struct(*corners)).drop(*corners)
-        if crop_mode == "batch":
-            views.append(spectral.View("scorer0", models.scorer_size, parent="detail"))
-        else:
-            views.append(spectral.View(f"scorer{i}", models.scorer_size, window=f"window{i}"))
+        place = {"parent": "detail"} if shared else {"window": f"window{i}"}
+        inputs_of.append(spectral.View(f"scorer{i}", side, rgb, **place))
     source = cut.drop("w", "h", "x", "y").join(images.select("image_id", "data"), "image_id")
-    spectral.crop_views(source, views, keep=("face_px",)).write.partitionBy("view").parquet(
-        f"{folder}/crops"
-    )
+    views = [detail, texture, *inputs_of]
+    spectral.crop_views(source, views, keep=("face_px",)).write.parquet(f"{folder}/crops")
     crops = spark.read.parquet(f"{folder}/crops")
 
-    def of(view: str) -> DataFrame:
-        return crops.where(F.col("view") == view).drop("view")
-
-    tensor = F.concat("r", "g", "b").cast("array<float>").alias("tensor")
     inputs = [
-        (of("scorer0" if crop_mode == "batch" else f"scorer{i}").select("image_id", tensor), factory)
-        for i, factory in enumerate(models.scorers.values())
+        (
+            crops.select("image_id", F.concat(*[f"{view.name}_{p}" for p in rgb]).alias("tensor")),
+            factory,
+        )
+        for view, factory in zip(inputs_of * (len(models.scorers) if shared else 1), models.scorers.values())
     ]
-    side = models.scorer_size
     called = scoring.score_model(inputs, "image_id", "tensor", [3, side, side], s=s)
-    signals = scores.weighted_signal_sum(image_signals(of("detail"), of("texture")))
+    signals = scores.weighted_signal_sum(
+        image_signals(
+            spectral.view_planes(crops, detail, "face_px"), spectral.view_planes(crops, texture)
+        )
+    )
     fused = gates.fuse_verdict(signals.join(called, "image_id"), s).select(
         "image_id",
         "signal_scores",

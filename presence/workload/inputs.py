@@ -299,7 +299,7 @@ def _(spark, sf_dir):
 # -- injected models --------------------------------------------------------
 
 
-def linear_scorer(shift: int):
+def linear_scorer(shift: int, scale: float = 1.0):
     """Class probabilities from three fixed linear forms of the input."""
 
     def factory():
@@ -307,7 +307,7 @@ def linear_scorer(shift: int):
             flat = x.reshape(len(x), -1).astype(np.float64)
             j = np.arange(flat.shape[1])
             forms = np.stack([((j * (k + 2 + shift)) % 7 - 3) / 4.0 for k in range(3)])
-            logits = flat @ forms.T
+            logits = flat @ forms.T * scale
             e = np.exp(logits - logits.max(axis=1, keepdims=True))
             return e / e.sum(axis=1, keepdims=True)
 
@@ -398,15 +398,16 @@ def packed_images(spark, sf_dir) -> DataFrame:
     )
 
 
-def third_detector():
-    """Three candidates, the image's horizontal thirds, by mean brightness."""
+def band_detector():
+    """Three candidates by mean brightness: top and bottom third, and a tall
+    middle box whose width follows the brightness too."""
 
     def run(image: np.ndarray) -> np.ndarray:
-        h = image.shape[0]
-        out = []
-        for k in range(3):
-            lo, hi = h * k // 3, h * (k + 1) // 3
-            out.append((float(image[lo:hi].mean()) / 255.0, 0.25, lo / h, 0.75, hi / h - 0.1))
+        h, out = image.shape[0], []
+        for k, (top, bottom) in enumerate(((0.02, 0.3), (0.05, 0.95), (0.7, 0.98))):
+            mean = float(image[h * k // 3 : h * (k + 1) // 3].mean())
+            width = 0.1 + 0.8 * (mean * 10 % 1)
+            out.append((mean / 200.0, 0.05, top, 0.05 + width, bottom))
         return np.array(out)
 
     return run
@@ -414,7 +415,7 @@ def third_detector():
 
 @query("detect")
 def _(spark, sf_dir):
-    found = scoring.detect(packed_images(spark, sf_dir), third_detector, "image_id")
+    found = scoring.detect(packed_images(spark, sf_dir), band_detector, "image_id")
     return found.select("image_id", "cand", *[round_dp(F.col(c), 6).alias(c) for c in ("conf", "l", "t", "r", "b")])
 
 
@@ -427,12 +428,12 @@ def _(spark, sf_dir):
     crops = spectral.crop_and_resample(cut, 80)
 
     def total(c):
-        return F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
+        return F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v.cast("int").bitwiseAND(F.lit(255)))
 
     return crops.select("image_id", "h", "w", *[total(c).alias(f"sum_{c}") for c in ("b", "g", "r", "gray")])
 
 
-MODELS = pad.Models(third_detector, {2.7: linear_scorer(0), 4.0: linear_scorer(1)})
+MODELS = pad.Models(band_detector, {2.7: linear_scorer(0, 0.05), 4.0: linear_scorer(1, 0.05)})
 
 
 @query("pad_check")
