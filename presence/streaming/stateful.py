@@ -51,11 +51,12 @@ class LimiterProcessor(StatefulProcessor):
         idle_ms = int(times[-1] + state.long) // 1000 + 1
         if idle_ms > timerValues.getCurrentWatermarkInMs():
             _rearm(self.handle, idle_ms)
-        yield pd.DataFrame({"key": key[0], "ord": batch["ord"].to_numpy(), "allowed": allowed})
+        keys = pd.Series([key[0]] * len(batch), dtype="object")
+        yield pd.DataFrame({"key": keys, "ord": batch["ord"].to_numpy(), "allowed": allowed})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.stamps.clear()
-        yield pd.DataFrame({"key": [], "ord": [], "allowed": []})
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -113,6 +114,8 @@ class SessionProcessor(StatefulProcessor):
             forget_ms = (created + self.retention) // 1000 + 1
             if forget_ms > timerValues.getCurrentWatermarkInMs():
                 _rearm(self.handle, forget_ms)
+        if not ids:
+            return
         yield pd.DataFrame(
             {
                 "session_id": pd.Series([key[0]] * len(ids), dtype="int64"),
@@ -123,7 +126,7 @@ class SessionProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.session.clear()
-        yield pd.DataFrame({"session_id": [], "attempt_id": [], "session_error": []})
+        return iter(())
 
     def close(self) -> None:
         pass
