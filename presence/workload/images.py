@@ -11,6 +11,13 @@ from presence.workload.base import query
 from presence.workload.views import IMAGE_WIDTH as W
 from presence.workload.views import oracle, rnd, text_images
 
+
+def _var(c: str) -> str:
+    """Variance from exact integer sums, as the operators form it."""
+    n = "count(*)"
+    return f"(cast(sum({c} * {c}) as double) / {n} - (cast(sum({c}) as double) / {n}) * (cast(sum({c}) as double) / {n}))"
+
+
 _PX = f"""near as (select *, lag(v, {W + 1}) over o as p00, lag(v, {W}) over o as p01, lag(v, {W - 1}) over o as p02,
  lag(v, 1) over o as p10, v as p11, lead(v, 1) over o as p12, lead(v, {W - 1}) over o as p20, lead(v, {W}) over o as p21,
  lead(v, {W + 1}) over o as p22 from v_pixels window o as (partition by image_id order by i))"""
@@ -52,9 +59,9 @@ def _bgr(spark, sf_dir):
     oracle(
         f"""select image_id, {rnd('cr', 6)} as cr_std, {rnd('cb', 6)} as cb_std, case when cr < 4 and cb < 3 then 0.6e0
          when cr < 6 and cb < 5 then 0.35e0 when cr < 8 and cb < 6 then 0.15e0 else 0e0 end as color from (
-         select image_id, stddev_pop(cr) as cr, stddev_pop(cb) as cb from (select image_id,
-          least(greatest(floor(((r - l) * 11682 + 2105344) / 16384e0), 0), 255) as cr,
-          least(greatest(floor(((b - l) * 9241 + 2105344) / 16384e0), 0), 255) as cb
+         select image_id, sqrt({_var('cr')}) as cr, sqrt({_var('cb')}) as cb from (select image_id,
+          least(greatest(cast(floor(((r - l) * 11682 + 2105344) / 16384e0) as bigint), 0), 255) as cr,
+          least(greatest(cast(floor(((b - l) * 9241 + 2105344) / 16384e0) as bigint), 0), 255) as cb
           from (select *, (b * 1868 + g * 9617 + r * 4899 + 8192) // 16384 as l from (
            select image_id, v as b, (7 * v + 3) % 256 as g, (13 * v + 5) % 256 as r from v_pixels))) group by image_id)""",
         "v_pixels",
@@ -70,9 +77,10 @@ def _(spark, sf_dir):
     oracle(
         f"""select image_id, {rnd('cv', 6)} as sharpness_cv, case when cv < 0.1e0 then 0.4e0 when cv < 0.2e0 then 0.2e0
          when cv > 1.5e0 then 0.25e0 else 0e0 end as sharpness from (select image_id, stddev_pop(q) / (avg(q) + 1e-10) as cv from (
-          select image_id, cy, cx, var_pop(case when ry = 0 then p21 else p01 end + case when ry = h // 4 - 1 then p01 else p21 end
-           + case when rx = 0 then p12 else p10 end + case when rx = w // 4 - 1 then p10 else p12 end - 4 * v) as q
-          from (select *, y // (h // 4) as cy, x // (w // 4) as cx, y % (h // 4) as ry, x % (w // 4) as rx from near)
+          select image_id, cy, cx, {_var('lap')} as q from (select *,
+           case when ry = 0 then p21 else p01 end + case when ry = h // 4 - 1 then p01 else p21 end
+           + case when rx = 0 then p12 else p10 end + case when rx = w // 4 - 1 then p10 else p12 end - 4 * v as lap
+          from (select *, y // (h // 4) as cy, x // (w // 4) as cx, y % (h // 4) as ry, x % (w // 4) as rx from near))
           where cy < 4 and cx < 4 group by image_id, cy, cx) group by image_id)""",
         "v_pixels",
         extra=_PX,
@@ -114,8 +122,8 @@ _REFLECTED = f"""{_PX}, side as (select image_id, h, w, v, y, x,
   case when x = 0 then se0 else sw0 end as sw, case when x = w - 1 then sw0 else se0 end as se from side),
  measured as (select image_id, v, n + s + e0 + e1 - 4 * v as lap,
   (ne + 2 * e1 + se) - (nw + 2 * e0 + sw) as gx, (sw + 2 * s + se) - (nw + 2 * n + ne) as gy,
-  v - (nw + ne + sw + se + 2 * (n + s + e0 + e1) + 4 * v) / 16e0 as res from full_ring),
- detailed as (select image_id, var_pop(lap) as lap, avg(sqrt(gx * gx + gy * gy)) as teng, stddev_pop(res) as resid, avg(v) as brightness
+  16 * v - (nw + ne + sw + se + 2 * (n + s + e0 + e1) + 4 * v) as res from full_ring),
+ detailed as (select image_id, {_var('lap')} as lap, avg(sqrt(gx * gx + gy * gy)) as teng, sqrt({_var('res')}) / 16e0 as resid, avg(v) as brightness
   from measured group by image_id)"""
 
 
