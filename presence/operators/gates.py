@@ -72,7 +72,7 @@ def face_bbox(df: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     hit = F.col("conf") >= s.detector_confidence
 
     def px(corner: str, extent: str) -> Column:
-        return (F.col(corner) * F.col(extent)).cast("int")
+        return (F.col(corner) * F.col(extent)).try_cast("int")
 
     left, top = px("l", "frame_w"), px("t", "frame_h")
     right, bottom = px("r", "frame_w"), px("b", "frame_h")
@@ -92,10 +92,10 @@ def bbox_xyxy_to_xywh(df: DataFrame, box: str = "box") -> DataFrame:
     c = F.col(box)
     return df.withColumns(
         {
-            "x": c["x1"].cast("int"),
-            "y": c["y1"].cast("int"),
-            "w": (c["x2"] - c["x1"]).cast("int"),
-            "h": (c["y2"] - c["y1"]).cast("int"),
+            "x": c["x1"].try_cast("int"),
+            "y": c["y1"].try_cast("int"),
+            "w": (c["x2"] - c["x1"]).try_cast("int"),
+            "h": (c["y2"] - c["y1"]).try_cast("int"),
         }
     )
 
@@ -130,10 +130,10 @@ def crop_window(df: DataFrame, scale: float | None) -> DataFrame:
     cx, cy = w / 2 + F.col("x"), h / 2 + F.col("y")
     out = df.withColumns(
         {
-            "_l": F.when(usable, (cx - half_w).cast("int")),
-            "_t": F.when(usable, (cy - half_h).cast("int")),
-            "_r": F.when(usable, (cx + half_w).cast("int")),
-            "_b": F.when(usable, (cy + half_h).cast("int")),
+            "_l": F.when(usable, (cx - half_w).try_cast("int")),
+            "_t": F.when(usable, (cy - half_h).try_cast("int")),
+            "_r": F.when(usable, (cx + half_w).try_cast("int")),
+            "_b": F.when(usable, (cy + half_h).try_cast("int")),
         }
     )
 

@@ -74,7 +74,7 @@ def rate_limit(
     floor = min(s.burst, s.sustained_limit)
     rows = requests.select(
         key, order, F.unix_micros(ts).alias("_us")
-    ).withColumn("_bucket", F.floor(F.col("_us") / long_us))
+    ).withColumn("_bucket", F.expr(f"_us div {long_us}"))
 
     by_time = Window.partitionBy(key).orderBy("_bucket")
     before = F.when(
@@ -153,7 +153,7 @@ def window_pressure(
     """
     long_us = int(s.sustained_window_s * MICROS)
     rows = requests.select(key, order, F.unix_micros(ts).alias("_us")).withColumn(
-        "bucket", F.floor(F.col("_us") / long_us)
+        "bucket", F.expr(f"_us div {long_us}")
     )
     by_time = Window.partitionBy(key).orderBy("bucket").rangeBetween(-1, 0)
     counts = rows.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))

@@ -108,109 +108,126 @@ def lbp(images: DataFrame) -> DataFrame:
     return entropy.withColumn("lbp", numeric.lbp_score(F.col("lbp_entropy")))
 
 
-# -- colour -----------------------------------------------------------------
-
-
-def color(images: DataFrame) -> DataFrame:
-    """Population spread of the chroma planes and its score."""
-    px = (
-        explode_pixels(images, "b", "g", "r")
-        .select("image_id", *[at(c, "row", "x").alias(c) for c in "bgr"])
-        .withColumn("luma", luma(F.col("b"), F.col("g"), F.col("r")))
-    )
-
-    def chroma(channel: str, weight: int) -> Column:
-        wide = F.shiftright((F.col(channel) - F.col("luma")) * weight + (128 << 14) + 8192, 14)
-        return F.greatest(F.least(wide, F.lit(255)), F.lit(0)).cast("long")
-
-    px = px.select("image_id", chroma("r", 11682).alias("cr"), chroma("b", 9241).alias("cb"))
-    n = F.count(F.lit(1))
-
-    def deviation(c: str) -> Column:
-        return F.sqrt(_variance(F.sum(c), F.sum(F.col(c) * F.col(c)), n))
-
-    out = px.groupBy("image_id").agg(deviation("cr").alias("cr_std"), deviation("cb").alias("cb_std"))
-    return out.withColumn("color", numeric.color_score(F.col("cr_std"), F.col("cb_std")))
-
-
-# -- sharpness by cell, block edges -----------------------------------------
+# -- colour, sharpness by cell, block edges ---------------------------------
 
 
 def _laplacian(up: Column, down: Column, left: Column, right: Column, centre: Column) -> Column:
     return (up + down + left + right - centre * 4).cast("long")
 
 
-def sharpness(images: DataFrame) -> DataFrame:
-    """Spread of Laplacian variance over a 4x4 grid, and its score.
+def _chroma(channel: str, weight: int) -> Column:
+    wide = F.shiftright((F.col(channel) - F.col("luma")) * weight + (128 << 14) + 8192, 14)
+    return F.greatest(F.least(wide, F.lit(255)), F.lit(0)).cast("long")
 
-    Each cell stands alone: at a cell's edge the neighbour outside is replaced
-    by the one inside.
-    """
-    row, w, x, y = (F.col(c) for c in ("row", "w", "x", "y"))
-    ch, cw = F.floor(F.col("h") / GRID).cast("int"), F.floor(w / GRID).cast("int")
-    px = explode_pixels(images.withColumns({"ch": ch, "cw": cw}), "gray", "ch", "cw")
-    ch, cw = F.col("ch"), F.col("cw")
-    px = px.where((y < ch * GRID) & (x < cw * GRID))
+
+def _cell_laplacian() -> dict[str, Column]:
+    """Grid cell and Laplacian with the cell's own edges reflected; both NULL
+    for the remainder of lines and columns outside the grid."""
+    row, x, y, ch, cw = (F.col(c) for c in ("row", "x", "y", "ch", "cw"))
+    inside = (y < ch * GRID) & (x < cw * GRID)
     top, bottom = y % ch == 0, y % ch == ch - 1
     first, last = x % cw == 0, x % cw == cw - 1
     # at a cell edge the inner neighbour stands in; one-pixel cells see themselves
-    up = F.when(ch == 1, row).when(top, row + w).otherwise(row - w)
-    down = F.when(ch == 1, row).when(bottom, row - w).otherwise(row + w)
+    up = F.when(ch == 1, row).when(top, row + F.col("w")).otherwise(row - F.col("w"))
+    down = F.when(ch == 1, row).when(bottom, row - F.col("w")).otherwise(row + F.col("w"))
     before = F.when(cw == 1, x).when(first, x + 1).otherwise(x - 1)
     after = F.when(cw == 1, x).when(last, x - 1).otherwise(x + 1)
-    lap = _laplacian(
-        *[value("gray", i) for i in (up + x, down + x, row + before, row + after, row + x)]
-    )
+    around = (up + x, down + x, row + before, row + after, row + x)
     cell = F.floor(y / ch).cast("int") * GRID + F.floor(x / cw).cast("int")
-    cells = (
-        px.select("image_id", cell.alias("cell"), lap.alias("lap"))
-        .groupBy("image_id", "cell")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("lap").alias("s1"),
-            F.sum(F.col("lap") * F.col("lap")).alias("s2"),
-        )
-        .withColumn("var", _variance(F.col("s1"), F.col("s2"), F.col("n")))
-    )
-    cv = F.stddev_pop("var") / (F.avg("var") + 1e-10)
-    out = cells.groupBy("image_id").agg(cv.alias("sharpness_cv"))
-    return out.withColumn("sharpness", numeric.sharpness_score(F.col("sharpness_cv")))
+    return {
+        "cell": F.when(inside, cell),
+        "lap": F.when(inside, _laplacian(*[value("gray", i) for i in around])),
+    }
 
 
-def jpeg(images: DataFrame) -> DataFrame:
-    """Steps across 8-pixel block edges against steps inside blocks."""
-    w, h, x, y = (F.col(c) for c in ("w", "h", "x", "y"))
+def _block_steps() -> dict[str, Column]:
+    """Absolute steps on block edges and on the lines inside blocks."""
     centre = at("gray", "row", "x")
-    vertical = F.abs(centre - at("gray", "above", "x")).cast("long")
-    horizontal = F.abs(centre - at("gray", "row", "left")).cast("long")
-
-    def on(c: Column, n: Column, offset: int) -> Column:
-        line = c - offset
-        return (line % BLOCK == 0) & (line >= BLOCK) & (line < n - BLOCK)
-
-    def total(step: Column, lines: Column, name: str) -> Column:
-        return F.coalesce(F.sum(F.when(lines, step)), F.lit(0)).alias(name)
-
-    sums = explode_pixels(images, "gray").groupBy("image_id").agg(
-        F.max("h").alias("h"),
-        F.max("w").alias("w"),
-        total(vertical, on(y, h, 0), "row_edge"),
-        total(vertical, on(y, h, 4), "row_inner"),
-        total(horizontal, on(x, w, 0), "col_edge"),
-        total(horizontal, on(x, w, 4), "col_inner"),
-    )
+    steps = {
+        "row": (F.abs(centre - at("gray", "above", "x")).cast("long"), F.col("y"), F.col("h")),
+        "col": (F.abs(centre - at("gray", "row", "left")).cast("long"), F.col("x"), F.col("w")),
+    }
+    out = {}
+    for axis, (step, place, extent) in steps.items():
+        for kind, offset in (("edge", 0), ("inner", BLOCK // 2)):
+            line = place - offset
+            used = (line % BLOCK == 0) & (line >= BLOCK) & (line < extent - BLOCK)
+            out[f"{axis}_{kind}"] = F.when(used, step).otherwise(F.lit(0).cast("long"))
+    return out
+
+
+def block_signals(images: DataFrame, parts: tuple[str, ...] = ("color", "sharpness", "jpeg")) -> DataFrame:
+    """Colour, sharpness and block-edge signals from one pass over the pixels.
+
+    color: population spread of the chroma planes. sharpness: spread of the
+    Laplacian variance over a 4x4 grid whose cells stand alone. jpeg: steps
+    across 8-pixel block edges against steps inside blocks. Each comes with
+    its raw measure and its score.
+    """
+    by_cell = "sharpness" in parts
+    planes = (["b", "g", "r"] if "color" in parts else []) + (["gray"] if by_cell or "jpeg" in parts else [])
+    sized = images.withColumns({c: F.floor(F.col(n) / GRID).cast("int") for c, n in (("ch", "h"), ("cw", "w"))})
+    px = explode_pixels(sized, *planes, "ch", "cw")
+    columns: dict[str, Column] = {}
+    if "color" in parts:
+        px = px.withColumns({f"v{c}": at(c, "row", "x") for c in "bgr"}).withColumn(
+            "luma", luma(F.col("vb"), F.col("vg"), F.col("vr"))
+        )
+        columns |= {"cr": _chroma("vr", 11682), "cb": _chroma("vb", 9241)}
+    if by_cell:
+        columns |= _cell_laplacian()
+    steps = _block_steps() if "jpeg" in parts else {}
+    px = px.select("image_id", "h", "w", *[c.alias(n) for n, c in {**columns, **steps}.items()])
+
+    squares = [c for c in ("cr", "cb", "lap") if c in columns]
+    sums = [F.max("h").alias("h"), F.max("w").alias("w"), F.count(F.lit(1)).alias("n")]
+    sums += [F.sum(c).alias(c) for c in (*squares, *steps)]
+    sums += [F.sum(F.col(c) * F.col(c)).alias(f"{c}2") for c in squares]
+    if by_cell:
+        cells = px.groupBy("image_id", "cell").agg(*sums)
+        cells = cells.withColumn("var", F.when(F.col("cell").isNotNull(), _variance(F.col("lap"), F.col("lap2"), F.col("n"))))
+        rest = [c for c in ("n", "cr", "cb", "cr2", "cb2", *steps) if c in cells.columns]
+        totals = cells.groupBy("image_id").agg(
+            F.max("h").alias("h"),
+            F.max("w").alias("w"),
+            *[F.sum(c).alias(c) for c in rest],
+            (F.stddev_pop("var") / (F.avg("var") + 1e-10)).alias("sharpness_cv"),
+        )
+    else:
+        totals = px.groupBy("image_id").agg(*sums)
+
+    out = [F.col("image_id")]
+    if "color" in parts:
+        spreads = [F.sqrt(_variance(F.col(c), F.col(f"{c}2"), F.col("n"))) for c in ("cr", "cb")]
+        out += [spreads[0].alias("cr_std"), spreads[1].alias("cb_std"), numeric.color_score(*spreads).alias("color")]
+    if by_cell:
+        out += [F.col("sharpness_cv"), numeric.sharpness_score(F.col("sharpness_cv")).alias("sharpness")]
+    if steps:
+
+        def lines(n: str) -> Column:
+            return F.greatest(F.ceil((F.col(n) - 2 * BLOCK) / BLOCK), F.lit(0))
+
+        count = lines("h") + lines("w")
+        edge, inner = (
+            F.try_divide(F.col(f"row_{k}") / F.col("w") + F.col(f"col_{k}") / F.col("h"), count)
+            for k in ("edge", "inner")
+        )
+        ratio = F.when(inner >= 1e-10, F.try_divide(edge, inner))
+        score = F.when(ratio.isNull(), F.lit(0.0)).otherwise(numeric.jpeg_score(ratio))
+        out += [ratio.alias("jpeg_ratio"), score.alias("jpeg")]
+    return totals.select(*out)
 
-    def lines(n: str) -> Column:
-        return F.greatest(F.ceil((F.col(n) - 2 * BLOCK) / BLOCK), F.lit(0))
 
-    count = lines("h") + lines("w")
-    edge = (F.col("row_edge") / F.col("w") + F.col("col_edge") / F.col("h")) / count
-    inner = (F.col("row_inner") / F.col("w") + F.col("col_inner") / F.col("h")) / count
-    ratio = F.when((count > 0) & (inner >= 1e-10), edge / inner)
-    out = sums.withColumn("jpeg_ratio", F.when(count > 0, ratio))
-    return out.select(
-        "image_id", "jpeg_ratio", F.coalesce(numeric.jpeg_score(F.col("jpeg_ratio")), F.lit(0.0)).alias("jpeg")
-    )
+def color(images: DataFrame) -> DataFrame:
+    return block_signals(images, ("color",))
+
+
+def sharpness(images: DataFrame) -> DataFrame:
+    return block_signals(images, ("sharpness",))
+
+
+def jpeg(images: DataFrame) -> DataFrame:
+    return block_signals(images, ("jpeg",))
 
 
 # -- detail -----------------------------------------------------------------

@@ -45,9 +45,7 @@ def image_signals(crops: DataFrame, views: DataFrame) -> DataFrame:
     )["recapture"]
     return (
         pixels.lbp(views)
-        .join(pixels.color(views), "image_id")
-        .join(pixels.sharpness(views), "image_id")
-        .join(pixels.jpeg(views), "image_id")
+        .join(pixels.block_signals(views), "image_id")
         .join(spectral_rows, "image_id")
         .join(detail, "image_id")
         .select(

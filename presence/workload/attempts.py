@@ -75,7 +75,14 @@ def _(spark, sf_dir):
     return sessions.bind_correlation(consumed).select("attempt_id", "session_error")
 
 
-@query("issue_challenges")
+@query(
+    "issue_challenges",
+    oracle(
+        """select request_id, sha256(concat('c', cast(request_id as string), '|', cast(request_id as string), '|',
+          cast(epoch_us(ts) as string))) as session_id, 2 as n_steps, 4 as min_frames, 6 as max_frames, 90 as valid_s from v_access""",
+        "v_access",
+    ),
+)
 def _(spark, sf_dir):
     requests = view(spark, sf_dir, "v_access").select(
         F.concat(F.lit("c"), F.col("request_id")).alias("correlation_id"),
@@ -83,7 +90,15 @@ def _(spark, sf_dir):
         F.col("request_id").cast("string").alias("transaction_ref"),
         F.col("ts").alias("requested_at"),
     )
-    return sessions.issue_challenges(requests)
+    issued = sessions.issue_challenges(requests)
+    return issued.select(
+        F.col("transaction_ref").cast("long").alias("request_id"),
+        "session_id",
+        F.size(F.array_distinct("steps")).alias("n_steps"),
+        "min_frames",
+        "max_frames",
+        (F.unix_seconds("expires_at") - F.unix_seconds("created_at")).alias("valid_s"),
+    )
 
 
 # -- frames -----------------------------------------------------------------
@@ -363,9 +378,7 @@ _SESSION_SQL = """attempted as (select a.*, s.session_id is not null as known, s
   from erred e join layered l on l.session_id = e.session_id)"""
 
 
-@query(
-    "session_verdict",
-    oracle(
+SESSION_VERDICT = oracle(
         """select attempt_id, reason, case when reason is null then 'live' when reason in ('DOCUMENT_PHOTO', 'CHALLENGE_FAILED',
           'IDENTITY_SWAP_MID_SESSION', 'PASSIVE_PAD_SPOOF') then 'spoof' else 'incomplete' end as verdict,
          case when reason is null or reason in ('IDENTITY_SWAP_MID_SESSION', 'PASSIVE_PAD_SPOOF') then min_similarity else -1e0 end
@@ -377,8 +390,10 @@ _SESSION_SQL = """attempted as (select a.*, s.session_id is not null as known, s
         "v_frame_sessions",
         "v_frame_attempts",
         extra=f"{_FRAMES}, {_SESSION_SQL}",
-    ),
-)
+    )
+
+
+@query("session_verdict", SESSION_VERDICT)
 def session_verdicts(spark, sf_dir):
     bound, frames = judged_attempts(spark, sf_dir)
     return sessions.session_verdict(bound, frames).select(

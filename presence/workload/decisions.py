@@ -770,10 +770,26 @@ def _(spark, sf_dir):
     )
 
 
-@query("challenge_steps")
+@query(
+    "challenge_steps",
+    oracle(
+        """select request_id, 2 as n_steps, 2 as n_distinct, true as from_pool, 2 as n_drawn from v_access""",
+        "v_access",
+    ),
+)
 def _(spark, sf_dir):
-    steps = text.challenge_steps(F.col("request_id"), "TURN_LEFT, TURN_RIGHT, BLINK", 2)
-    drawn = text.challenge_steps(F.col("request_id"), "TURN_LEFT, TURN_RIGHT, BLINK", 2, random=True)
-    return view(spark, sf_dir, "v_access").select(
-        "request_id", steps.alias("steps"), F.size(F.array_distinct(drawn)).alias("n_drawn")
+    pool = "TURN_LEFT, TURN_RIGHT, BLINK"
+    steps = text.challenge_steps(F.col("request_id"), pool, 2)
+    drawn = text.challenge_steps(F.col("request_id"), pool, 2, random=True)
+    known = F.array(*[F.lit(c.strip()) for c in pool.split(",")])
+    return (
+        view(spark, sf_dir, "v_access")
+        .select("request_id", steps.alias("steps"), drawn.alias("drawn"))
+        .select(
+            "request_id",
+            F.size("steps").alias("n_steps"),
+            F.size(F.array_distinct("steps")).alias("n_distinct"),
+            (F.size(F.array_except("steps", known)) == 0).alias("from_pool"),
+            F.size(F.array_distinct("drawn")).alias("n_drawn"),
+        )
     )

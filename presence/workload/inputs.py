@@ -11,7 +11,7 @@ from presence.operators import gates, pixels, scores, scoring, spectral
 from presence.plans import pad
 from presence.session import shared_folder
 from presence.sources import scan, sinks
-from presence.workload.attempts import judged_attempts, session_frames
+from presence.workload.attempts import SESSION_VERDICT, judged_attempts
 from presence.operators import sessions
 from presence.workload.base import query
 from presence.workload.decisions import LABELLED, judged
@@ -168,7 +168,11 @@ def _(spark, sf_dir):
     )
 
 
-@query("write_session_audit")
+@query(
+    "write_session_audit",
+    f"""select 'liveness_verdict' as endpoint, cast(attempt_id as string) as attempt_ref, verdict, reason, frame_consistency_score,
+    n_frames_received, n_frames_valid from ({SESSION_VERDICT})""",
+)
 def _(spark, sf_dir):
     folder = shared_folder(spark, "session-audit")
     bound, frames = judged_attempts(spark, sf_dir)
@@ -182,7 +186,7 @@ def _(spark, sf_dir):
     )
     sinks.write_session_audit(verdicts, folder)
     return scan.read_audit_log(spark, folder).select(
-        "endpoint", "correlation_id", "session_id", "verdict", "reason", "frame_consistency_score",
+        "endpoint", F.col("transaction_ref").alias("attempt_ref"), "verdict", "reason", "frame_consistency_score",
         "n_frames_received", "n_frames_valid",
     )
 
