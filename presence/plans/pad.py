@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from presence.config import DEFAULTS, Settings
 from presence.functions import numeric
 from presence.operators import gates, pixels, scores, scoring, spectral
+from presence.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -76,7 +77,6 @@ def locate(images: DataFrame, models: Models, s: Settings = DEFAULTS) -> DataFra
 def pad_decisions(
     images: DataFrame,
     models: Models,
-    folder: str,
     reply: str | None = None,
     crop_mode: str = "single",
     s: Settings = DEFAULTS,
@@ -86,12 +86,10 @@ def pad_decisions(
     ``crop_mode`` "single" cuts every scorer's crop from the frame at its own
     scale; "batch" feeds all scorers one view of the signals' crop.
 
-    Faceless, oversized and document rows are decided natively. The survivors'
-    crops are written once under ``folder`` (shared storage), because several
-    signals and the scorers read them; a lost executor re-reads a file instead
-    of decoding and cropping again.
+    Faceless, oversized and document rows are decided natively. Boxes and the
+    survivors' crops are checkpointed, because several signals and the scorers
+    read them: nothing is detected, decoded or cropped twice.
     """
-    spark = images.sparkSession
     located = locate(images, models, s)
     if reply is not None:
         located = gates.document_reject(located, reply, s)
@@ -99,8 +97,7 @@ def pad_decisions(
         located = located.withColumns(
             {"document_reject": F.lit(False), "reply_confidence": F.lit(None).cast("double")}
         )
-    located.drop("data").write.parquet(f"{folder}/located")
-    placed = spark.read.parquet(f"{folder}/located")
+    placed = cut_lineage(located.drop("data"))
 
     alive = (
         F.col("face_detected")
@@ -121,8 +118,7 @@ def pad_decisions(
         inputs_of.append(spectral.View(f"scorer{i}", side, rgb, **place))
     source = cut.drop("w", "h", "x", "y").join(images.select("image_id", "data"), "image_id")
     views = [detail, texture, *inputs_of]
-    spectral.crop_views(source, views, keep=("face_px",)).write.parquet(f"{folder}/crops")
-    crops = spark.read.parquet(f"{folder}/crops")
+    crops = cut_lineage(spectral.crop_views(source, views, keep=("face_px",)))
 
     inputs = [
         (
@@ -163,13 +159,13 @@ def pad_decisions(
 
 
 def verify_batch(
-    images: DataFrame, models: Models, folder: str, s: Settings = DEFAULTS
+    images: DataFrame, models: Models, s: Settings = DEFAULTS
 ) -> DataFrame:
     """Upload results: rejected uploads keep their row and error text, the
     rest is decided like any photo. Needs ``content_type`` and ``data``."""
     checked = gates.guard_upload(images, "content_type", "data")
     good = checked.where(F.col("upload_error").isNull()).drop("upload_error", "content_type")
-    decided = gates.is_real(pad_decisions(good, models, folder, crop_mode="batch", s=s), s).select(
+    decided = gates.is_real(pad_decisions(good, models, crop_mode="batch", s=s), s).select(
         "image_id", "is_real", "label", numeric.round_dp(F.col("score"), 4).alias("score"), "threshold",
         "face_detected", F.lit(None).cast("string").alias("error"),
     )

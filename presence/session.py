@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
@@ -18,6 +18,13 @@ RECOMMENDED = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Jobs that read image bytes or planes from Parquet: the default of 4096 rows
+# per column batch would hold thousands of images in one task.
+IMAGE_TABLES = {
+    "spark.sql.parquet.columnarReaderBatchSize": "32",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
+}
+
 
 def apply_recommended(builder: SparkSession.Builder) -> SparkSession.Builder:
     for key, value in RECOMMENDED.items():
@@ -36,3 +43,15 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Compute once into the reliable checkpoint folder and read from there.
+
+    Rows are stored as rows, so wide image rows stream one at a time, and a
+    lost executor costs a re-read, not a re-computation.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
+    return df.checkpoint(eager=True)

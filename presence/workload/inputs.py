@@ -442,7 +442,7 @@ MODELS = pad.Models(band_detector, {2.7: linear_scorer(0, 0.05), 4.0: linear_sco
 
 @query("pad_check")
 def pad_check(spark, sf_dir):
-    out = pad.pad_decisions(packed_images(spark, sf_dir), MODELS, shared_folder(spark, "pad"))
+    out = pad.pad_decisions(packed_images(spark, sf_dir), MODELS)
     return out.select(
         "image_id", "verdict", "reason", round_dp(F.col("score"), 4).alias("score"), "threshold",
         "face_detected", "save_frame", "spoof_probability",
@@ -457,7 +457,7 @@ def _(spark, sf_dir):
             "data": F.when(F.col("image_id") % 7 == 0, F.encode(F.lit(""), "utf-8")).otherwise(F.col("data")),
         }
     )
-    return pad.verify_batch(uploads, MODELS, shared_folder(spark, "batch"))
+    return pad.verify_batch(uploads, MODELS)
 
 
 @query(

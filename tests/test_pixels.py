@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from presence.operators import pixels, spectral
 from presence.plans import pad
-from presence.session import shared_folder
 from presence.workload.inputs import MODELS, linear_scorer
 
 RNG = np.random.default_rng(7)
@@ -189,7 +188,7 @@ def photos(spark):
 
 def test_photo_plan_matches_loop(spark):
     images = photos(spark)
-    rows = {r["image_id"]: r for r in pad.pad_decisions(images, MODELS, shared_folder(spark, "t")).collect()}
+    rows = {r["image_id"]: r for r in pad.pad_decisions(images, MODELS).collect()}
     assert len(rows) == 12
     for src in images.collect():
         full = np.frombuffer(src["data"], np.uint8).reshape(src["frame_h"], src["frame_w"], 3)
@@ -237,10 +236,10 @@ def test_photo_plan_matches_loop(spark):
 
 def test_batch_mode_shares_one_view(spark):
     images = photos(spark)
-    one = pad.pad_decisions(images, MODELS, shared_folder(spark, "t"), crop_mode="batch")
+    one = pad.pad_decisions(images, MODELS, crop_mode="batch")
     got = {r["image_id"]: r for r in one.where(F.col("nn_label").isNotNull()).collect()}
     assert got
-    single = pad.pad_decisions(images, MODELS, shared_folder(spark, "t"))
+    single = pad.pad_decisions(images, MODELS)
     assert {r["image_id"] for r in single.where("nn_label is not null").collect()} == set(got)
 
 
