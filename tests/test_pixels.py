@@ -178,10 +178,10 @@ def test_scanline_neighbours(gray):
 
 
 def photos(spark):
-    rows = []
+    rng, rows = np.random.default_rng(11), []
     for i in range(12):
         h, w = 120 + i, 90 + 2 * i
-        shade = np.clip(RNG.normal(120 + 5 * i, 30, (h, w, 3)), 0, 255).astype(np.uint8)
+        shade = np.clip(rng.normal(120 + 5 * i, 30, (h, w, 3)), 0, 255).astype(np.uint8)
         rows.append((i, h, w, shade.tobytes()))
     return spark.createDataFrame(rows, "image_id long, frame_h int, frame_w int, data binary")
 
@@ -246,3 +246,44 @@ def test_batch_mode_shares_one_view(spark):
 def test_scorer_shapes():
     p = linear_scorer(0)()(np.zeros((4, 64)))
     assert p.shape == (4, 3) and np.allclose(p.sum(axis=1), 1)
+
+
+def test_upload_batch_keeps_every_row(spark):
+    kind = F.when(F.col("image_id") == 3, F.lit("text/plain")).otherwise(F.lit("image/png"))
+    body = F.when(F.col("image_id") == 4, F.lit(b"")).otherwise(F.col("data"))
+    uploads = photos(spark).withColumns({"content_type": kind, "data": body})
+    rows = {r["image_id"]: r for r in pad.verify_batch(uploads, MODELS).collect()}
+    assert len(rows) == 12
+    assert (rows[3]["error"], rows[4]["error"]) == ("not an image", "empty file")
+    assert rows[3]["label"] == "no_face" and not rows[4]["is_real"]
+    assert all(r["error"] is None for k, r in rows.items() if k not in (3, 4))
+
+
+def test_document_reply_rejects_before_scoring(spark):
+    images = photos(spark).withColumn(
+        "reply",
+        F.when(F.col("image_id") % 2 == 0, F.lit("LABEL=STUDIO_BACKGROUND CONFIDENCE=70")).otherwise(
+            F.lit("LABEL=STUDIO_BACKGROUND CONFIDENCE=69")
+        ),
+    )
+    plain = {r["image_id"]: r for r in pad.pad_decisions(photos(spark), MODELS).collect()}
+    for r in pad.pad_decisions(images, MODELS, reply="reply").collect():
+        before = plain[r["image_id"]]
+        if before["label"] in ("no_face", "document_photo") or r["image_id"] % 2:
+            assert (r["label"], r["score"], r["reason"]) == (before["label"], before["score"], before["reason"])
+        else:
+            assert (r["verdict"], r["reason"], r["score"], r["threshold"]) == ("spoof", "DOCUMENT_PHOTO", 0.7, 0.7)
+            assert r["nn_label"] is None and r["save_frame"]
+
+
+def test_grey_and_alpha_images(spark):
+    base = RNG.integers(0, 256, (20, 30, 1)).astype(np.uint8)
+    rows = [
+        (1, 20, 30, base.tobytes()),
+        (3, 20, 30, np.repeat(base, 3, axis=2).tobytes()),
+        (4, 20, 30, np.concatenate([np.repeat(base, 3, axis=2), base * 0], axis=2).tobytes()),
+    ]
+    df = spark.createDataFrame(rows, "image_id long, frame_h int, frame_w int, data binary")
+    df = df.withColumns({"ltx": F.lit(2), "lty": F.lit(1), "rbx": F.lit(25), "rby": F.lit(18)})
+    crops = [bytes(v & 255 for v in r["gray"]) for r in spectral.crop_and_resample(df, 16).collect()]
+    assert len(crops) == 3 and len(set(crops)) == 1
