@@ -3,10 +3,11 @@
 A request is allowed while fewer than ``burst`` accepted requests of its key
 lie in the short window and fewer than the sustained limit in the long one;
 rejected requests leave no trace. That is a sequential fold per key, but most
-of a key's life does not need it: time is cut into buckets of the long window,
-and in a bucket where the key's arrivals in it and in the previous bucket stay
-within both limits, every request is allowed whatever happened before. Those
-rows are settled by a join against per-bucket counts. Only contended stretches
+of a key's life does not need it: time is cut into buckets of the long window
+and cells no shorter than the short one. In a bucket where arrivals, together
+with the bucket before, stay within the sustained limit, and arrivals of every
+two adjacent cells within the burst, every request is allowed whatever happened
+before. Those rows are settled by a join against counts. Only contended stretches
 are folded, each on its own, seeded with the settled bucket before it, in a
 sorted stream that holds no more than the limit's worth of timestamps.
 """
@@ -31,8 +32,9 @@ class Stamps:
 
     def __init__(self, s: Settings, stamps: list[int] | None = None) -> None:
         self.burst, self.sustained = s.burst, s.sustained_limit
-        self.short = int(s.burst_window_s * MICROS)
         self.long = int(s.sustained_window_s * MICROS)
+        # older stamps are forgotten, so no window reaches past the long one
+        self.short = min(int(s.burst_window_s * MICROS), self.long)
         self.keep = max(self.burst, self.sustained)
         self.stamps = list(stamps or [])
 
@@ -71,19 +73,36 @@ def rate_limit(
 ) -> DataFrame:
     """``key, order`` and ``allowed`` for every request."""
     long_us = int(s.sustained_window_s * MICROS)
-    floor = min(s.burst, s.sustained_limit)
-    rows = requests.select(
-        key, order, F.unix_micros(ts).alias("_us")
-    ).withColumn("_bucket", F.expr(f"_us div {long_us}"))
+    per_bucket = max(1, long_us // int(s.burst_window_s * MICROS))
+    cell_us = long_us // per_bucket
+    rows = requests.select(key, order, F.unix_micros(ts).alias("_us")).withColumn(
+        "_bucket", F.expr(f"_us div {long_us}")
+    )
 
+    # arrivals per cell, and per cell with the one before it
+    inner = F.least(F.expr(f"(_us % {long_us}) div {cell_us}"), F.lit(per_bucket - 1))
+    cells = rows.groupBy(key, (F.col("_bucket") * per_bucket + inner).alias("_cell")).agg(
+        F.count(F.lit(1)).alias("_own")
+    )
+    nothing = F.lit(0).cast("long")
+    both = F.array(
+        F.struct(F.col("_cell").alias("_cell"), F.col("_own").alias("_own"), F.col("_own").alias("_near")),
+        F.struct((F.col("_cell") + 1).alias("_cell"), nothing.alias("_own"), F.col("_own").alias("_near")),
+    )
+    pairs = cells.select(key, F.inline(both)).groupBy(key, "_cell").agg(
+        F.sum("_own").alias("_own"), F.sum("_near").alias("_near")
+    )
+    counts = (
+        pairs.where(F.col("_own") > 0)
+        .groupBy(key, F.expr(f"_cell div {per_bucket}").alias("_bucket"))
+        .agg(F.sum("_own").alias("_n"), F.max("_near").alias("_peak"))
+    )
     by_time = Window.partitionBy(key).orderBy("_bucket")
     before = F.when(
         F.lag("_bucket").over(by_time) == F.col("_bucket") - 1, F.lag("_n").over(by_time)
     ).otherwise(F.lit(0))
-    counts = (
-        rows.groupBy(key, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_busy", F.col("_n") + before > floor)
+    counts = counts.withColumn(
+        "_busy", (F.col("_n") + before > s.sustained_limit) | (F.col("_peak") > s.burst)
     )
     # a stretch is a run of adjacent busy buckets; its seed is the bucket before
     starts = F.col("_busy") & ~F.coalesce(

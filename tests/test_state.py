@@ -78,11 +78,15 @@ def test_rate_limit_batch(spark):
 
 
 def test_rate_limit_mostly_settled(spark):
-    s = replace(SMALL, burst=40, sustained_per_s=2.0)
     rows, df = requests(spark, 2)
-    got = {r["id"]: r["allowed"] for r in limits.rate_limit(df, "key", "ts", "id", s).collect()}
-    want = expected(rows, s)
-    assert got == want and 0 < sum(want.values()) <= len(want)
+    for s in (
+        replace(SMALL, burst=40, sustained_per_s=2.0),
+        replace(SMALL, burst=2, burst_window_s=0.7, sustained_per_s=3.0),
+        replace(SMALL, burst=2, burst_window_s=30.0, sustained_per_s=1.0),
+    ):
+        got = {r["id"]: r["allowed"] for r in limits.rate_limit(df, "key", "ts", "id", s).collect()}
+        want = expected(rows, s)
+        assert got == want and 0 < sum(want.values()) <= len(want)
 
 
 def files(df, spark, order, parts):
