@@ -58,7 +58,7 @@ HEADLINE = [
     "score_model",
     "write_audit_log",
 ]
-ONCE = ["rate_limit_stream", "session_state"]
+ONCE = ["rate_limit_stream", "session_state", "pad_check"]
 
 
 def timed(spark: SparkSession, name: str) -> float:
@@ -103,6 +103,7 @@ def main() -> None:
                 "events_per_s_verdict": round(events / seconds["verdict_counts"]),
                 "images_per_s_seven_signals": round(images["n"] / signal_s),
                 "pixels_per_s_seven_signals": round(images["px"] / signal_s),
+                "images_per_s_photo_plan": round(images["n"] / seconds["pad_check"]),
                 "sessions_per_s": round(attempts / seconds["session_verdict"]),
                 "limiter_rows_per_s": round(events / seconds["rate_limit"]),
                 "limiter_stream_rows_per_s": round(events / seconds["rate_limit_stream"]),
