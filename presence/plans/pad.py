@@ -63,12 +63,21 @@ def image_signals(crops: DataFrame, views: DataFrame) -> DataFrame:
 
 
 def locate(images: DataFrame, models: Models, s: Settings = DEFAULTS) -> DataFrame:
-    """Images with their face box and geometry outcome; oversized images are
-    flagged and never reach the detector."""
+    """Images with their face box and geometry outcome.
+
+    Adds ``input_reject`` for requests refused before any decision (an
+    upstream ``size_reject``, oversized or undecodable images); those never
+    reach the detector.
+    """
     sized = gates.guard_dimensions(images, "frame_h", "frame_w", s)
-    sized = gates.guard_payload_size(sized, "data", s) if "size_reject" not in images.columns else sized
-    usable = F.col("dimension_reject").isNull() & (F.col("frame_h") > 0)
-    found = scoring.detect(sized.where(usable), models.detector, "image_id")
+    if "size_reject" not in images.columns:
+        sized = sized.withColumn("size_reject", F.lit(None).cast("string"))
+    undecoded = F.when(F.coalesce(F.col("frame_h"), F.lit(0)) <= 0, F.lit("DECODE_ERROR"))
+    sized = sized.withColumn(
+        "input_reject", F.coalesce("size_reject", undecoded, "dimension_reject")
+    ).drop("size_reject", "dimension_reject")
+    usable = sized.where(F.col("input_reject").isNull())
+    found = scoring.detect(usable, models.detector, "image_id")
     best = scores.best_detection(found, "image_id")
     boxed = gates.face_bbox(scores.attach_detection(sized, best, "image_id"), s)
     return gates.face_px(gates.geometry_gate(boxed, s))
@@ -86,7 +95,8 @@ def pad_decisions(
     ``crop_mode`` "single" cuts every scorer's crop from the frame at its own
     scale; "batch" feeds all scorers one view of the signals' crop.
 
-    Faceless, oversized and document rows are decided natively. Boxes and the
+    Refused inputs keep their row with ``input_reject`` and no verdict;
+    faceless and document rows are decided natively. Boxes and the
     survivors' crops are checkpointed, because several signals and the scorers
     read them: nothing is detected, decoded or cropped twice.
     """
@@ -103,7 +113,7 @@ def pad_decisions(
         F.col("face_detected")
         & ~F.col("is_document")
         & ~F.col("document_reject")
-        & F.col("dimension_reject").isNull()
+        & F.col("input_reject").isNull()
     )
     cut = placed.where(alive).select("image_id", "frame_h", "frame_w", "x", "y", "w", "h", "face_px")
     detail = spectral.View("detail", DETAIL_SIZE, ("gray",), window="window0")
@@ -155,7 +165,14 @@ def pad_decisions(
             "threshold": F.when(by_reply, F.lit(s.document_reject)).otherwise(F.col("threshold")),
         }
     )
-    return gates.route_save_frame(gates.pad_verdict(labelled, s), s).drop("fused_label", "fused_score")
+    judged = gates.route_save_frame(gates.pad_verdict(labelled, s), s)
+    refused = F.col("input_reject").isNotNull()
+    return judged.withColumns(
+        {
+            **{c: F.when(~refused, F.col(c)) for c in ("label", "score", "verdict", "reason")},
+            "save_frame": ~refused & F.col("save_frame"),
+        }
+    ).drop("fused_label", "fused_score")
 
 
 def verify_batch(
@@ -166,9 +183,14 @@ def verify_batch(
     checked = gates.guard_upload(images, "content_type", "data")
     good = checked.where(F.col("upload_error").isNull()).drop("upload_error", "content_type")
     decided = gates.is_real(pad_decisions(good, models, crop_mode="batch", s=s), s).select(
-        "image_id", "is_real", "label", numeric.round_dp(F.col("score"), 4).alias("score"), "threshold",
-        "face_detected", F.lit(None).cast("string").alias("error"),
-    )
+        "image_id",
+        F.coalesce("is_real", F.lit(False)).alias("is_real"),
+        F.coalesce("label", F.lit("no_face")).alias("label"),
+        F.coalesce(numeric.round_dp(F.col("score"), 4), F.lit(0.0)).alias("score"),
+        "threshold",
+        "face_detected",
+        F.col("input_reject").alias("error"),
+    )
     refused = checked.where(F.col("upload_error").isNotNull()).select(
         "image_id",
         F.lit(False).alias("is_real"),

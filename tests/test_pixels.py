@@ -287,3 +287,15 @@ def test_grey_and_alpha_images(spark):
     df = df.withColumns({"ltx": F.lit(2), "lty": F.lit(1), "rbx": F.lit(25), "rby": F.lit(18)})
     crops = [bytes(v & 255 for v in r["gray"]) for r in spectral.crop_and_resample(df, 16).collect()]
     assert len(crops) == 3 and len(set(crops)) == 1
+
+
+def test_refused_inputs_have_no_verdict(spark):
+    good = photos(spark).where("image_id < 3")
+    bad = spark.createDataFrame(
+        [(90, -1, -1, b""), (91, 4001, 10, b"")], "image_id long, frame_h int, frame_w int, data binary"
+    )
+    rows = {r["image_id"]: r for r in pad.pad_decisions(good.unionByName(bad), MODELS).collect()}
+    assert len(rows) == 5
+    assert (rows[90]["input_reject"], rows[91]["input_reject"]) == ("DECODE_ERROR", "DIMENSIONS_TOO_LARGE")
+    assert all(rows[k]["verdict"] is None and not rows[k]["save_frame"] for k in (90, 91))
+    assert all(rows[k]["verdict"] is not None for k in range(3))
