@@ -26,6 +26,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+# Letters, digits and every byte of a character outside ASCII.
+SOLID = np.zeros(256, bool)
+SOLID[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS = np.cumprod(np.r_[np.uint64(1), np.full(2 * PIECE, BASE, np.uint64)])
@@ -45,6 +48,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """A 64-bit hash of each byte span; spans ascend and do not overlap."""
     out = np.empty(len(starts), np.uint64)
     at = 0
+    starts, ends = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
     while at < len(starts):
         base = starts[at]
         stop = max(at + 1, int(np.searchsorted(ends, base + PIECE, "right")))
@@ -92,6 +96,20 @@ class Words:
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def cores(self) -> tuple[np.ndarray, np.ndarray]:
+        """Spans of the words without ASCII signs at either end; a word of
+        signs only has an empty span."""
+        solid = np.flatnonzero(SOLID[self.data])
+        if not len(solid):
+            return self.starts, self.starts
+        count = np.zeros(len(self.data) + 1, np.int64)
+        np.cumsum(SOLID[self.data], out=count[1:])
+        before, upto = count[self.starts], count[self.ends]
+        some = upto > before
+        s = np.where(some, solid[np.minimum(before, len(solid) - 1)], self.starts)
+        e = np.where(some, solid[np.maximum(upto - 1, 0)] + 1, self.starts)
+        return s, e
+
     def windows(self, size: int, values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of all runs of ``size`` words, the word each begins at, and
         each row's first run. A row with fewer words is one run; one without
@@ -171,6 +189,28 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lookup(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """For each value its place in ``known`` (sorted, distinct), or -1. A
+    table of the low 16 bits settles nearly all values that are not known."""
+    maybe = np.zeros(1 << 16, bool)
+    maybe[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
+    out = np.full(len(values), -1, np.int64)
+    at = np.flatnonzero(maybe[(values & np.uint64(0xFFFF)).astype(np.int64)])
+    place = np.minimum(np.searchsorted(known, values[at]), max(len(known) - 1, 0))
+    if len(known):
+        good = known[place] == values[at]
+        out[at[good]] = place[good]
+    return out
+
+
+def word_hashes(terms: list[str]) -> np.ndarray:
+    """The hashes that lower-cased words get."""
+    if not terms:
+        return np.zeros(0, np.uint64)
+    words = words_of(pa.array(["\n".join(terms)]))
+    return words.hash
+
+
 def crc_mod(col, n: int):
     """crc32 of the id's decimal text, modulo n: the split of labelled rows."""
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n))
