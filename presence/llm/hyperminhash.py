@@ -19,6 +19,8 @@ nothing. Repeated rows with one id are one document. Empty tables give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +39,8 @@ BLOCK = 512
 # paper's closed form for sets of like size.
 CHANCE = 0.169919487159739 * 2.0 ** (1 - MANTISSA)
 
+SetsOf = Callable[[DataFrame], DataFrame]
+
 SKETCH = "doc_id long, n_shingles long, fp binary, regs binary"
 
 # Where an empty register looks, in this order; the last resort is the first
@@ -83,9 +87,9 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(((a == b).mean(axis=-1) - CHANCE) / (1 - CHANCE), 0, 1)
 
 
-def least_estimate(smaller: np.ndarray, threshold: float) -> np.ndarray:
+def least_estimate(smaller: np.ndarray, threshold: float, width: int) -> np.ndarray:
     """Estimates below this are five standard deviations under the threshold."""
-    return threshold - 5 * np.sqrt(threshold * (1 - threshold) * (1 / REGISTERS + 1 / np.maximum(smaller, 1)))
+    return threshold - 5 * np.sqrt(threshold * (1 - threshold) * (1 / width + 1 / np.maximum(smaller, 1)))
 
 
 def _prints(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -137,9 +141,9 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(per_slice("text", work), "doc_id long, fp binary, shingles array<long>")
 
 
-def _banded(nodes: DataFrame) -> DataFrame:
-    width = 2 * ROWS
-    key = F.expr(f"explode(transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {width} + 1, {width}))))")
+def _banded(nodes: DataFrame, rows: int, bands: int) -> DataFrame:
+    width = 2 * rows
+    key = F.expr(f"explode(transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(regs, i * {width} + 1, {width}))))")
     return nodes.select("node", key.alias("key"))
 
 
@@ -150,10 +154,10 @@ def _near(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
             n = np.minimum(batch.column(4).to_numpy(), batch.column(5).to_numpy())
             big = np.maximum(batch.column(4).to_numpy(), batch.column(5).to_numpy())
-            good = (estimate(a, b) >= least_estimate(n, threshold)) & (n >= threshold * big)
+            good = (estimate(a, b) >= least_estimate(n, threshold, a.shape[1])) & (n >= threshold * big)
             yield batch.select([0, 1]).filter(pa.array(good))
 
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("n_shingles").alias(f"n_{x}"))
@@ -161,13 +165,12 @@ def _near(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return full.mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, nodes: DataFrame, sets_of: SetsOf, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold, in whole numbers."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(ends, "node", "left_semi").select(F.col("node").alias("doc_id"), "fp")
-    texts = _input(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = shingle_sets(texts, shingle).join(wanted, ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"])
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s_{x}"))
+    wanted = nodes.join(ends, "node", "left_semi").select(F.col("node").alias("id"), "fp")
+    sets = sets_of(wanted).dropDuplicates(["id", "fp"])
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}"))
     both = F.size(F.array_intersect("s_a", "s_b"))
     every = F.size("s_a") + F.size("s_b") - both
     return pairs.join(side("b"), "b").join(side("a"), "a").filter(100 * both >= percent * every).select("a", "b")
@@ -200,7 +203,7 @@ def _across(keys: DataFrame, labelled: DataFrame, nodes: DataFrame, threshold: f
                 break
             low, high = np.minimum(n[j:], n[i]), np.maximum(n[j:], n[i])
             good = low >= threshold * high
-            good[good] = estimate(regs[i], regs[j:][good]) >= least_estimate(low[good], threshold)
+            good[good] = estimate(regs[i], regs[j:][good]) >= least_estimate(low[good], threshold, regs.shape[1])
             out_b.append(ids[j:][good])
             out_a.append(np.full(int(good.sum()), ids[i]))
         none = np.zeros(0, np.int64)
@@ -218,7 +221,7 @@ def _across(keys: DataFrame, labelled: DataFrame, nodes: DataFrame, threshold: f
             if not batch.num_rows:
                 continue
             cells_ = batch.column(2).to_numpy()
-            regs = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            regs = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
             ids, labels, side, n = (batch.column(i).to_numpy() for i in (0, 1, 3, 6))
             cuts = np.flatnonzero(np.r_[True, cells_[1:] != cells_[:-1], True])
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
@@ -233,34 +236,48 @@ def _across(keys: DataFrame, labelled: DataFrame, nodes: DataFrame, threshold: f
     return rows.select("node", "label", "cell", "x", "y", "regs", "n_shingles").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``:
-    documents are linked where 100 x intersection >= percent x union of their
-    shingle sets; the smallest id of a component is kept."""
+def link_sets(light: DataFrame, sets_of: SetsOf, percent: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """Components of sketched sets: (n_shingles, fp, root) per distinct set,
+    root the smallest id reachable. ``light`` has id, n_shingles, fp, regs;
+    ``sets_of(wanted)`` gives id, fp, shingles for rows of id and fp."""
     threshold = percent / 100
-    light = stored(sketches(docs, shingle), "sketches")
     nodes = stored(
-        light.filter("n_shingles > 0 and doc_id is not null")
+        light.filter("n_shingles > 0 and id is not null")
         .groupBy("n_shingles", "fp")
-        .agg(F.min("doc_id").alias("node"), F.first("regs").alias("regs")),
+        .agg(F.min("id").alias("node"), F.first("regs").alias("regs")),
         "nodes",
     )
-    shared = _banded(nodes).groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1")
-    banded = stored(_banded(nodes).join(shared.select("key", "rep"), "key"), "bands")
+    keyed = _banded(nodes, rows, bands)
+    shared = keyed.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1")
+    banded = stored(keyed.join(shared.select("key", "rep"), "key"), "bands")
     stars = banded.filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
     likely = stored(_near(stars, nodes, threshold), "stars")
-    links = stored(_confirm(likely, nodes, docs, shingle, percent), "links")
+    links = stored(_confirm(likely, nodes, sets_of, percent), "links")
     labels = components(links)
     inner = banded.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     inner = stored(inner, "labels")
     # A pair that a star has already refused need not be read again.
-    more = stored(_across(banded.select("node", "key"), inner, nodes, threshold).join(likely, ["a", "b"], "left_anti"), "across")
-    links = _confirm(more, nodes, docs, shingle, percent)
+    across = _across(banded.select("node", "key"), inner, nodes, threshold)
+    more = stored(across.join(likely, ["a", "b"], "left_anti"), "across")
+    links = _confirm(more, nodes, sets_of, percent)
     side = lambda x: inner.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
     bridges = links.join(side("b"), "b").join(side("a"), "a").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
     merged = components(bridges).select(F.col("node").alias("label"), F.col("label").alias("root"))
     roots = inner.join(merged, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
-    classes = nodes.join(roots, "node", "left").select("n_shingles", "fp", F.coalesce("root", "node").alias("root"))
+    return nodes.join(roots, "node", "left").select("n_shingles", "fp", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``:
+    documents are linked where 100 x intersection >= percent x union of their
+    shingle sets; the smallest id of a component is kept."""
+    light = stored(sketches(docs, shingle), "sketches")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        texts = _input(docs).join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        return shingle_sets(texts, shingle).withColumnRenamed("doc_id", "id").join(wanted, ["id", "fp"], "left_semi")
+
+    classes = link_sets(light.withColumnRenamed("doc_id", "id"), sets_of, percent)
     found = light.drop("regs").join(classes, ["n_shingles", "fp"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return found.select(
