@@ -195,9 +195,10 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1)
     prior = min(max((good or 0) / n, 0.02), 0.98) if n else 0.5
     # the training labels are few next to the texts: find the sample's ids first
     trusted = train.filter("quality = 1").select("doc_id").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(SAMPLE)
-    positive = _sample(texts.join(trusted, "doc_id", "left_semi"), 7)
+    # SAMPLE ids of eight bytes: a bound of the fit, not of the input
+    positive = _sample(texts.join(F.broadcast(trusted), "doc_id", "left_semi"), 7)
     web = texts.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(SAMPLE)
-    unlabelled = _sample(texts.join(web, "doc_id", "left_semi"), 11)
+    unlabelled = _sample(texts.join(F.broadcast(web), "doc_id", "left_semi"), 11)
     model = fit(positive, unlabelled, prior) if len(positive) and len(unlabelled) else None
 
     def work(batch: pa.RecordBatch, words: Words) -> pa.RecordBatch:
