@@ -7,8 +7,8 @@ registers borrow from others in an order fixed by their number, so short
 texts can be banded too. Bands of six registers join documents: two sets of
 similarity 0.8 share none of the 42 bands with probability 3e-6.
 
-Equal sets are one node. In a band, every node is first held against the
-band's smallest node. Bands whose nodes then lie in more than one component
+Equal sets are one node. In a band, every node is first held against one of
+the band's nodes, drawn by hash. Bands whose nodes then lie in more than one component
 are compared in blocks, across components only, and emit only pairs whose
 Jaccard estimate, corrected for register collisions, is within five standard
 deviations of the threshold. All links are confirmed on the full sets.
@@ -248,9 +248,12 @@ def link_sets(light: DataFrame, sets_of: SetsOf, percent: int, rows: int = ROWS,
         "nodes",
     )
     keyed = _banded(nodes, rows, bands)
-    shared = keyed.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1")
+    # Each band draws its own node to hold the others against, so a node of a
+    # large group meets many of its neighbours in one round.
+    drawn = F.min(F.struct(F.xxhash64("key", "node"), "node"))
+    shared = keyed.groupBy("key").agg(drawn.getField("node").alias("rep"), F.count("*").alias("n")).filter("n > 1")
     banded = stored(keyed.join(shared.select("key", "rep"), "key"), "bands")
-    stars = banded.filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
+    stars = banded.filter("node != rep").select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct()
     likely = stored(_near(stars, nodes, threshold), "stars")
     links = stored(_confirm(likely, nodes, sets_of, percent), "links")
     labels = components(links)
