@@ -54,23 +54,24 @@ def unique_rows(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array([len(p) for p in parts], np.int64)
 
 
-def registers(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(rows, REGISTERS) compressed registers; rows without values are 0."""
+def registers(values: np.ndarray, counts: np.ndarray, bits: int = BUCKET_BITS) -> np.ndarray:
+    """(rows, 2 ** bits) compressed registers; rows without values are 0."""
+    width = 1 << bits
     row = np.repeat(np.arange(len(counts)), counts)
-    bucket = (values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    place = row * REGISTERS + bucket
+    bucket = (values >> np.uint64(64 - bits)).astype(np.int64)
+    place = row * width + bucket
     lead = np.r_[True, place[1:] != place[:-1]] if len(place) else np.zeros(0, bool)
-    rest = (values[lead] << np.uint64(BUCKET_BITS)) >> np.uint64(BUCKET_BITS)
+    rest = (values[lead] << np.uint64(bits)) >> np.uint64(bits)
     length = np.frexp(rest.astype(np.float64))[1].astype(np.int64)  # bits in use
     down = np.maximum(length - 1 - MANTISSA, 0).astype(np.uint64)
     up = np.maximum(MANTISSA + 1 - length, 0).astype(np.uint64)
     mantissa = ((rest >> down) << up) & np.uint64((1 << MANTISSA) - 1)
-    zeros = np.clip(64 - BUCKET_BITS - length, 0, 62).astype(np.uint64)
-    out = np.zeros(len(counts) * REGISTERS, np.uint16)
+    zeros = np.clip(64 - bits - length, 0, 62).astype(np.uint64)
+    out = np.zeros(len(counts) * width, np.uint16)
     out[place[lead]] = ((zeros << np.uint64(MANTISSA)) | mantissa).astype(np.uint16) + np.uint16(1)
-    out = out.reshape(-1, REGISTERS)
+    out = out.reshape(-1, width)
     filled = out > 0
-    for order in _ORDER:
+    for order in _ORDER[:, :width] % width:
         r, c = np.nonzero((out == 0) & (counts > 0)[:, None])
         if not len(r):
             break

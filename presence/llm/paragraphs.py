@@ -30,7 +30,8 @@ from presence.llm.hyperminhash import _prints, link_sets, registers, unique_rows
 from presence.llm.textkit import Words, lists, mix, per_slice, stored
 
 SHINGLE = 5
-LEAST_LINE = 25
+LEAST_LINE = 40
+REGISTER_BITS = 6
 BAND_ROWS, BANDS = 3, 14
 CUT = 5
 LEAST_RUN, LEAST_IN_LINE = 30, 16
@@ -72,7 +73,7 @@ def _long_lines(docs: DataFrame, sets: bool) -> DataFrame:
         common = [pa.array(uid), pa.array(ids), _prints(values, counts)]
         if sets:
             return pa.RecordBatch.from_arrays([*common, lists(values.view(np.int64), counts)], names=["id", "doc_id", "fp", "shingles"])
-        regs = registers(values, counts)[:, : BAND_ROWS * BANDS * 2]
+        regs = registers(values, counts, REGISTER_BITS)
         places = [pa.array(x.astype(np.int64)) for x in (number, size, words.starts[begin] - words.offsets[row], words.ends[end - 1] - words.offsets[row])]
         return pa.RecordBatch.from_arrays(
             [*common, pa.array(counts), pa.array([r.tobytes() for r in regs], pa.binary()), *places],
@@ -110,14 +111,16 @@ def near_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """Pieces of at least three words: doc_id, piece, line, h, first_word,
-    n_words, byte_from, byte_to."""
+    """Pieces of at least three words: doc_id, piece, h, and their line and
+    places packed in two longs, since all of a corpus's pieces are joined."""
 
     def work(batch: pa.RecordBatch, words: Words) -> pa.RecordBatch:
         h, row, n = words.hash, words.row, len(words.starts)
+        if n <= CUT:
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(0, k)) for k in PIECE_KINDS], names=PIECE_NAMES)
         g = h * np.uint64(0x9E3779B97F4A7C15)
         for j in (1, 2):
-            g[: n - j] ^= mix(h[j:] + np.uint64(j))
+            g[:-j] ^= np.where(row[:-j] == row[j:], mix(h[j:] + np.uint64(j)), np.uint64(0))
         low = np.ones(n, bool)
         for k in range(1, CUT + 1):
             less = (g[:-k] < g[k:]) | (row[:-k] != row[k:])
@@ -133,33 +136,40 @@ def pieces(docs: DataFrame) -> DataFrame:
         parts = mix(h + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(parts, out=total[1:])
-        key = mix(total[end] - total[begin] + size.astype(np.uint64)) if len(begin) else total[:0]
+        key = mix(total[end] - total[begin] + size.astype(np.uint64))
         owner = row[begin]
         first_piece = np.searchsorted(owner, np.arange(len(words.first) - 1))
         ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)[owner].astype(np.int64)
         lines = np.cumsum(line[begin])
         keep = size >= 3
-        columns = (
-            ids, np.arange(len(begin)) - first_piece[owner], lines, key.view(np.int64), begin - words.first[owner], size,
-            words.starts[begin] - words.offsets[owner], words.ends[end - 1] - words.offsets[owner],
-        ) if n else [np.zeros(0, np.int64)] * 8
-        kinds = (np.int64, np.int32, np.int32, np.int64, np.int32, np.int32, np.int32, np.int32)
-        keep = keep if n else np.zeros(0, bool)
-        return pa.RecordBatch.from_arrays([pa.array(c[keep].astype(k)) for c, k in zip(columns, kinds, strict=True)], names=PIECE_NAMES)
-
-    return _texts(docs).mapInArrow(
-        per_slice("text", work),
-        "doc_id long, piece int, line int, h long, first_word int, n_words int, byte_from int, byte_to int",
-    )
+        base = words.offsets[owner]
+        from_, to = words.starts[begin] - base, words.ends[end - 1] - base
+        place = (lines.astype(np.int64) << 32) | size
+        spot = (from_ << 31) | (to - from_)
+        word = begin - words.first[owner]
+        out = (ids, np.arange(len(begin)) - first_piece[owner], key.view(np.int64), place, spot, word)
+        return pa.RecordBatch.from_arrays([pa.array(c[keep].astype(k)) for c, k in zip(out, PIECE_KINDS, strict=True)], names=PIECE_NAMES)
+
+    return _texts(docs).mapInArrow(per_slice("text", work), "doc_id long, piece int, h long, place long, spot long, word int")
 
 
-PIECE_NAMES = ["doc_id", "piece", "line", "h", "first_word", "n_words", "byte_from", "byte_to"]
+PIECE_NAMES = ["doc_id", "piece", "h", "place", "spot", "word"]
+PIECE_KINDS = (np.int64, np.int32, np.int64, np.int64, np.int64, np.int32)
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """SPANS rows of passages that stand in two or more documents."""
     shared = pieces(docs).groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo != hi").select("h", "lo")
-    held = pieces(docs).join(shared, "h").dropDuplicates(["doc_id", "piece", "h"])
+    held = (
+        pieces(docs)
+        .join(shared, "h")
+        .dropDuplicates(["doc_id", "piece", "h"])
+        .select(
+            "doc_id", "piece", "h", "lo", F.col("word").alias("first_word"),
+            F.shiftright("place", 32).alias("line"), F.expr("int(place & 4294967295)").alias("n_words"),
+            F.shiftright("spot", 31).alias("byte_from"), F.expr("shiftright(spot, 31) + (spot & 2147483647)").alias("byte_to"),
+        )
+    )
     by_doc = Window.partitionBy("doc_id").orderBy("piece")
     runs = held.withColumn("run", F.col("piece") - F.row_number().over(by_doc))
     line_words = F.sum("n_words").over(Window.partitionBy("doc_id", "run", "line"))
