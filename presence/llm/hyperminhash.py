@@ -9,9 +9,10 @@ similarity 0.8 share none of the 42 bands with probability 3e-6.
 
 Equal sets are one node. In a band, every node is first held against one of
 the band's nodes, drawn by hash. Bands whose nodes then lie in more than one component
-are compared in blocks, across components only, and emit only pairs whose
+are compared in blocks, across components only: nodes with a partner whose
 Jaccard estimate, corrected for register collisions, is within five standard
-deviations of the threshold. All links are confirmed on the full sets.
+deviations of the threshold fetch their full sets, and a block hands on the
+links that join its components. All links are confirmed on the full sets.
 
 Nulls: a null text is empty; a null id is a document of its own, linked with
 nothing. Repeated rows with one id are one document. Empty tables give no rows.
@@ -177,64 +178,130 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, sets_of: SetsOf, percent: int)
     return pairs.join(side("b"), "b").join(side("a"), "a").filter(100 * both >= percent * every).select("a", "b")
 
 
-def _across(keys: DataFrame, labelled: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs (a, b) that share a band and lie in different components.
+def _grouped(rows: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
+    """``work(cell, arrays)`` over the rows of each cell, streamed from sorted
+    partitions; a cell has at most two blocks of rows."""
 
-    A band's nodes are dealt to blocks of about BLOCK by hash; each pair of
-    blocks is compared in one small matrix, so no task holds a whole band.
-    """
-    of = keys.join(labelled, "node")
-    mixed = of.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
-    cells = (
-        of.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("g")), "key")
-        .withColumn("x", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-        .withColumn("y", F.explode(F.expr("sequence(0, g - 1)")))
-        .select("node", "label", F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("cell"), "x", "y")
-    )
-    rows = cells.join(nodes.select("node", "regs", "n_shingles"), "node")
-    rows = rows.repartition("cell").sortWithinPartitions("cell", "label", "node")
-
-    def pairs(group: list) -> tuple[np.ndarray, np.ndarray]:
-        ids, labels, side, regs, n = (np.concatenate(x) for x in zip(*group, strict=True))
-        out_a, out_b = [], []
-        for i in range(len(ids) - 1):
-            # labels are sorted: everything in another component lies behind
-            j = int(np.searchsorted(labels, labels[i], "right"))
-            if j == len(ids):
-                break
-            low, high = np.minimum(n[j:], n[i]), np.maximum(n[j:], n[i])
-            good = low >= threshold * high
-            good[good] = estimate(regs[i], regs[j:][good]) >= least_estimate(low[good], threshold, regs.shape[1])
-            out_b.append(ids[j:][good])
-            out_a.append(np.full(int(good.sum()), ids[i]))
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+    def arrays(batch: pa.RecordBatch, s: int, e: int) -> list:
+        out = []
+        for i in range(1, len(columns)):
+            col = batch.column(i).slice(s, e - s)
+            kind = col.type
+            out.append(col.to_pylist() if pa.types.is_binary(kind) or pa.types.is_list(kind) else col.to_numpy())
+        return out
 
     def run(batches):
         cell, group = None, []
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def flush():
-            a, b = pairs(group)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cells_ = batch.column(2).to_numpy()
-            regs = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-            ids, labels, side, n = (batch.column(i).to_numpy() for i in (0, 1, 3, 6))
-            cuts = np.flatnonzero(np.r_[True, cells_[1:] != cells_[:-1], True])
+            cells = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True])
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if group and cell != cells_[s]:
-                    yield flush()
+                if group and cell != cells[s]:
+                    yield work(cell, group)
                     group = []
-                cell = cells_[s]
-                group.append((ids[s:e], labels[s:e], side[s:e], regs[s:e], n[s:e]))
+                cell = cells[s]
+                group.append(arrays(batch, s, e))
         if group:
-            yield flush()
+            yield work(cell, group)
+
+    dealt = rows.select(*columns).repartition(columns[0]).sortWithinPartitions(*columns[:3])
+    return dealt.mapInArrow(run, schema)
 
-    return rows.select("node", "label", "cell", "x", "y", "regs", "n_shingles").mapInArrow(run, "a long, b long").distinct()
+
+def _joined(group: list, i: int) -> list | np.ndarray:
+    return [x for g in group for x in g[i]] if isinstance(group[0][i], list) else np.concatenate([g[i] for g in group])
+
+
+def _promising(cell, group: list, threshold: float) -> pa.RecordBatch:
+    """Nodes of a cell with a likely partner in another component: a row per
+    node at most, however many the partners."""
+    labels, ids, n = (_joined(group, i) for i in (0, 1, 3))
+    regs = np.frombuffer(b"".join(_joined(group, 2)), np.uint16).reshape(len(ids), -1)
+    flag = np.zeros(len(ids), bool)
+    for i in range(len(ids) - 1):
+        # labels are sorted: everything in another component lies behind
+        j = int(np.searchsorted(labels, labels[i], "right"))
+        if j == len(ids):
+            break
+        low, high = np.minimum(n[j:], n[i]), np.maximum(n[j:], n[i])
+        good = low >= threshold * high
+        good[good] = estimate(regs[i], regs[j:][good]) >= least_estimate(low[good], threshold, regs.shape[1])
+        flag[j:] |= good
+        flag[i] |= good.any()
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(int(flag.sum()), cell)), pa.array(labels[flag]), pa.array(ids[flag])], names=["cell", "label", "node"]
+    )
+
+
+def _bridges(cell, group: list, percent: int) -> pa.RecordBatch:
+    """Links on full sets that join a cell's components: at most one fewer
+    than there are components. Intersections are counted through the cell's
+    own index of shingles."""
+    labels, ids = _joined(group, 0), _joined(group, 1)
+    sets = [np.asarray(x, np.int64) for x in _joined(group, 2)]
+    sizes = np.array([len(x) for x in sets])
+    _, where = np.unique(labels, return_inverse=True)
+    root = list(range(where.max() + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    _, value = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(value, kind="stable")]
+    first = np.r_[0, np.cumsum(np.bincount(value))]
+    begin = np.r_[0, np.cumsum(sizes)]
+    commonest = np.argmax(np.bincount(where))
+    left = len(root) - 1
+    out = []
+    for i in np.flatnonzero(where != commonest):
+        if not left:
+            break
+        own = value[begin[i] : begin[i + 1]]
+        count = first[own + 1] - first[own]
+        at = np.arange(count.sum()) + np.repeat(first[own] - np.r_[0, np.cumsum(count)[:-1]], count)
+        both = np.bincount(owner[at], minlength=len(sets))
+        for j in np.flatnonzero(100 * both >= percent * (sizes + sizes[i] - both)):
+            x, y = find(where[i]), find(where[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                left -= 1
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _across(keys: DataFrame, labelled: DataFrame, nodes: DataFrame, sets_of: SetsOf, percent: int) -> DataFrame:
+    """Links (a, b) that share a band and join different components.
+
+    A band's nodes are dealt to blocks of about BLOCK by hash and each pair
+    of blocks is a cell, so no task holds a whole band. Registers first tell
+    which nodes of a cell have a likely partner; only their full sets are
+    fetched and compared, inside the cell.
+    """
+    of = keys.join(labelled, "node")
+    mixed = of.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
+    cells = (
+        of.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("g")), "key")
+        .withColumn("x", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+        .withColumn("y", F.explode(F.expr("sequence(0, g - 1)")))
+        .select("node", "label", F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("cell"))
+    )
+    rows = cells.join(nodes.select("node", "regs", "n_shingles"), "node")
+    likely = _grouped(
+        rows, ["cell", "label", "node", "regs", "n_shingles"],
+        lambda cell, group: _promising(cell, group, percent / 100), "cell long, label long, node long",
+    )
+    likely = stored(likely, "likely")
+    wanted = nodes.join(likely.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("id"), "fp")
+    sets = sets_of(wanted).dropDuplicates(["id", "fp"]).select(F.col("id").alias("node"), "shingles")
+    return _grouped(
+        likely.join(sets, "node"), ["cell", "label", "node", "shingles"], lambda cell, group: _bridges(cell, group, percent), "a long, b long"
+    )
 
 
 def link_sets(light: DataFrame, sets_of: SetsOf, percent: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -260,10 +327,7 @@ def link_sets(light: DataFrame, sets_of: SetsOf, percent: int, rows: int = ROWS,
     labels = components(links)
     inner = banded.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     inner = stored(inner, "labels")
-    # A pair that a star has already refused need not be read again.
-    across = _across(banded.select("node", "key"), inner, nodes, threshold)
-    more = stored(across.join(likely, ["a", "b"], "left_anti"), "across")
-    links = _confirm(more, nodes, sets_of, percent)
+    links = stored(_across(banded.select("node", "key"), inner, nodes, sets_of, percent), "across")
     side = lambda x: inner.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
     bridges = links.join(side("b"), "b").join(side("a"), "a").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
     merged = components(bridges).select(F.col("node").alias("label"), F.col("label").alias("root"))
