@@ -18,10 +18,13 @@ NOT_FINITE_PATTERN = r"(?i)^\s*[+-]?(nan|inf|infinity)\s*$"
 _OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4_PATTERN = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
 _H = r"[0-9A-Fa-f]{1,4}"
+_QUAD = rf"{_OCTET}(\.{_OCTET}){{3}}"
 IPV6_PATTERN = (
     rf"^(({_H}:){{7}}{_H}|({_H}:){{1,7}}:|({_H}:){{1,6}}:{_H}|({_H}:){{1,5}}(:{_H}){{1,2}}"
     rf"|({_H}:){{1,4}}(:{_H}){{1,3}}|({_H}:){{1,3}}(:{_H}){{1,4}}|({_H}:){{1,2}}(:{_H}){{1,5}}"
-    rf"|{_H}:(:{_H}){{1,6}}|:((:{_H}){{1,7}}|:))$"
+    rf"|{_H}:(:{_H}){{1,6}}|:((:{_H}){{1,7}}|:)"
+    # the last 32 bits as a dotted quad, and zone ids
+    rf"|({_H}:){{6}}{_QUAD}|::({_H}:){{0,5}}{_QUAD}|({_H}:){{1,5}}:({_H}:){{0,4}}{_QUAD})(%[^%\\s]+)?$"
 )
 
 
@@ -103,7 +106,7 @@ def ipv4_number(address: Column) -> Column:
 def is_loopback(address: Column) -> Column:
     return F.coalesce(
         (address.rlike(IPV4_PATTERN) & address.startswith("127."))
-        | address.rlike(r"^(0{0,4}:){1,7}:?0{0,3}1$"),
+        | (is_ip(address) & address.rlike(r"^(0{0,4}:){1,7}:?0{0,3}1$")),
         F.lit(False),
     )
 
