@@ -1,15 +1,15 @@
 """Challenge sessions: one-shot use, and judging the frames of an attempt.
 
-An attempt holds at most ``max_frames`` frames, so its frames are gathered
-into one sorted array after a map-side limit; every layer is then a column
-expression over that array and the whole verdict costs one exchange.
+Malformed attempts are refused before they touch a session. An accepted one
+holds at most ``max_frames`` frames, so its frames are gathered into one
+sorted array and every layer is a column expression over that array.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presence.config import CHALLENGE_STEPS, DEFAULTS, Settings
@@ -56,11 +56,14 @@ def consume_once(looked_up: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
     The winner is a partially aggregated minimum joined back, not a window,
     so a session hit by a flood of attempts is never gathered in one task.
+    Attempts with a ``shape_reject`` (where that column exists) are refused
+    before the lookup: they neither use the session nor learn its state.
     """
     ttl = int(s.session_ttl_s * MICROS)
     turn = F.struct("attempted_at", "attempt_id")
+    shaped = F.col("shape_reject").isNull() if "shape_reject" in looked_up.columns else F.lit(True)
     winners = (
-        looked_up.where(F.col("session_found") & (F.col("age_us") <= ttl))
+        looked_up.where(shaped & F.col("session_found") & (F.col("age_us") <= ttl))
         .groupBy("session_id")
         .agg(F.min(turn).alias("winner"))
     )
@@ -68,7 +71,8 @@ def consume_once(looked_up: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
         looked_up.join(winners, "session_id", "left")
         .withColumn(
             "session_error",
-            F.when(~F.col("session_found"), F.lit("SESSION_NOT_FOUND"))
+            F.when(~shaped, F.lit(None).cast("string"))
+            .when(~F.col("session_found"), F.lit("SESSION_NOT_FOUND"))
             .when(turn > F.col("winner"), F.lit("SESSION_ALREADY_USED"))
             .when(F.col("age_us") > ttl, F.lit("SESSION_EXPIRED")),
         )
@@ -78,11 +82,13 @@ def consume_once(looked_up: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 def bind_correlation(consumed: DataFrame) -> DataFrame:
     """A used session must carry the caller's correlation id; the check comes
-    after consumption, so a mismatch still burns the session."""
+    after consumption, so a mismatch still burns the session. Attempts of a
+    bad shape were never looked up and carry no error."""
+    shaped = F.col("shape_reject").isNull() if "shape_reject" in consumed.columns else F.lit(True)
     return consumed.withColumn(
         "session_error",
         F.when(F.col("session_error").isNotNull(), F.col("session_error")).when(
-            ~F.col("session_correlation_id").eqNullSafe(F.col("correlation_id")),
+            shaped & ~F.col("session_correlation_id").eqNullSafe(F.col("correlation_id")),
             F.lit("SESSION_CORRELATION_MISMATCH"),
         ),
     )
@@ -129,43 +135,71 @@ FRAME_FIELDS = (
 )
 
 
-def gather_frames(frames: DataFrame, key: str = "attempt_id", s: Settings = DEFAULTS) -> DataFrame:
-    """One row per attempt: ``frames`` sorted by sequence number.
+def attempt_shapes(frames: DataFrame, key: str = "attempt_id", s: Settings = DEFAULTS) -> DataFrame:
+    """``n_received`` and ``shape_reject`` of every attempt that has frames.
 
-    Only ``max_frames + 1`` rows per attempt survive the row-number filter,
-    which the planner applies before the exchange as well; an attempt that
-    reaches the extra row is over the limit and rejected whole, so nothing
-    that could change a verdict is lost.
+    Rows are counted per (attempt, sequence number) first, so an attempt of
+    any size is combined before it meets in one task.
     """
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("seq"))
+    per_seq = frames.groupBy(key, "seq").agg(F.count(F.lit(1)).alias("n"))
+    counts = per_seq.groupBy(key).agg(
+        F.sum("n").alias("n_received"),
+        F.max("n").alias("most"),
+        F.bool_or(F.col("seq").isNull() | (F.col("seq") < 0)).alias("negative"),
+    )
+    return counts.select(
+        key,
+        F.col("n_received").cast("int").alias("n_received"),
+        F.when(F.col("n_received") > s.max_frames, F.lit("FRAME_COUNT"))
+        .when(F.col("negative"), F.lit("NEGATIVE_SEQ"))
+        .when(F.col("most") > 1, F.lit("DUPLICATE_SEQ"))
+        .alias("shape_reject"),
+    )
+
+
+def guard_shapes(
+    attempts: DataFrame, frames: DataFrame, key: str = "attempt_id", s: Settings = DEFAULTS
+) -> DataFrame:
+    """Attempts with ``n_received`` and ``shape_reject``; no frames is a
+    FRAME_COUNT. To be applied before ``consume_once``."""
+    missing = F.when(F.col("n_received").isNull(), F.lit("FRAME_COUNT"))
+    return attempts.join(attempt_shapes(frames, key, s), key, "left").withColumns(
+        {
+            "shape_reject": F.coalesce(missing, F.col("shape_reject")),
+            "n_received": F.coalesce("n_received", F.lit(0)),
+        }
+    )
+
+
+def _frame_arrays(frames: DataFrame, accepted: DataFrame, key: str) -> DataFrame:
     present = [c for c in FRAME_FIELDS if c in frames.columns]
     return (
         frames.select(key, *present)
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") <= s.max_frames + 1)
+        .join(accepted.select(key), key, "left_semi")
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct(*present))).alias("frames"))
-        .withColumn(
-            "shape_reject",
-            F.when(F.size("frames") > s.max_frames, F.lit("FRAME_COUNT"))
-            .when(F.exists("frames", lambda f: f["seq"] < 0), F.lit("NEGATIVE_SEQ"))
-            .when(
-                F.size(F.array_distinct(F.col("frames.seq"))) != F.size("frames"),
-                F.lit("DUPLICATE_SEQ"),
-            ),
-        )
     )
 
 
+def gather_frames(frames: DataFrame, key: str = "attempt_id", s: Settings = DEFAULTS) -> DataFrame:
+    """One row per attempt: its shape, and ``frames`` sorted by sequence
+    number. Refused attempts keep their true count and have NULL frames, so
+    no array holds more than ``max_frames``."""
+    shapes = attempt_shapes(frames, key, s)
+    accepted = shapes.where(F.col("shape_reject").isNull())
+    return shapes.join(_frame_arrays(frames, accepted, key), key, "left")
+
+
 def valid_frames(frames: str = "frames") -> Column:
     return F.filter(frames, lambda f: f["qc_reason"].isNull())
 
 
 def frame_counts(frames: str = "frames") -> dict[str, Column]:
-    """Received and valid counts, and failures per quality reason."""
+    """Received and valid counts, and failures per quality reason, of rows
+    that carry ``n_received``."""
     reasons = F.filter(F.col(f"{frames}.qc_reason"), lambda r: r.isNotNull())
     return {
-        "n_received": F.size(frames),
+        "n_received": F.col("n_received"),
         "n_valid": F.size(valid_frames(frames)),
         "failed": F.map_from_entries(
             F.transform(
@@ -307,12 +341,13 @@ def session_verdict(
 ) -> DataFrame:
     """Verdict per attempt.
 
-    ``attempts`` come from ``bind_correlation`` (with ``steps``), ``frames``
-    carry the columns of ``FRAME_FIELDS``. Without a ``pad_label`` column,
+    ``attempts`` come from ``bind_correlation`` (with ``steps``, and the
+    columns of ``guard_shapes``, which went first). Attempts of a bad shape
+    have no verdict and no layer columns. ``frames`` carry the columns of ``FRAME_FIELDS``. Without a ``pad_label`` column,
     ``label_frames`` is called on the valid frames of attempts that are still
     undecided: Python scorers see no row whose outcome is already known.
     """
-    gathered = gather_frames(frames, "attempt_id", s)
+    gathered = _frame_arrays(frames, attempts.where(F.col("shape_reject").isNull()), "attempt_id")
     layered = session_layers(attempts.join(gathered, "attempt_id", "left"), s)
     layered = layered.withColumn("_early", _early_reason(s))
     if label_frames is None:
@@ -353,7 +388,7 @@ def session_verdict(
         .otherwise(F.lit(-1.0))
         .alias("frame_consistency_score"),
         F.when(F.col("verdict") == "live", F.col("best_seq")).alias("best_frame_seq"),
-        F.coalesce("n_received", F.lit(0)).alias("n_frames_received"),
+        F.col("n_received").alias("n_frames_received"),
         F.when(F.col("session_error").isNull(), F.coalesce("n_valid", F.lit(0)))
         .otherwise(F.lit(0))
         .alias("n_frames_valid"),

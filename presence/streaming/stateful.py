@@ -138,8 +138,11 @@ SESSION_EVENT = ("session_id", "ts", "is_use", "attempt_id", "correlation_id")
 def session_state(events: DataFrame, delay: str, s: Settings = DEFAULTS) -> DataFrame:
     """Outcome of every use event in a stream of creations and uses.
 
-    ``events`` carry ``SESSION_EVENT``; creations have a NULL attempt id.
+    ``events`` carry ``SESSION_EVENT``; creations have a NULL attempt id. Uses
+    with a ``shape_reject`` (where that column exists) never reach the state.
     """
+    if "shape_reject" in events.columns:
+        events = events.where(F.col("shape_reject").isNull())
     keyed = (
         events.select(*SESSION_EVENT)
         .withColumns({"us": F.unix_micros("ts"), "attempt_id": F.coalesce("attempt_id", F.lit(-1))})

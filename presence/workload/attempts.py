@@ -356,17 +356,26 @@ def judged_attempts(spark, sf_dir):
         "correlation_id",
         _steps(F.col("steps_kind")).alias("steps"),
     )
+    links = attempts.select("attempt_id", "session_id", "shape")
+    sent = session_frames(spark, sf_dir).drop("steps").join(links, "session_id").where("shape <> 1")
+    seq = F.col("seq")
+    numbers = (
+        F.when(F.col("shape") == 2, F.array(seq, seq + 5))
+        .when(F.col("shape") == 3, F.array(F.greatest(seq, F.lit(1))))
+        .when(F.col("shape") == 4, F.array(seq - 1))
+        .otherwise(F.array(seq))
+    )
+    frames = sent.withColumn("seq", F.explode(numbers)).drop("shape")
+    shaped = sessions.guard_shapes(attempts.drop("shape"), frames)
     bound = sessions.bind_correlation(
-        sessions.consume_once(sessions.lookup_session(attempts, known))
+        sessions.consume_once(sessions.lookup_session(shaped, known))
     )
-    frames = session_frames(spark, sf_dir).drop("steps")
-    links = attempts.select("attempt_id", "session_id")
-    return bound, frames.join(links, "session_id")
+    return bound, frames
 
 
 _SESSION_SQL = """attempted as (select a.*, s.session_id is not null as known, s.correlation_id as owner, attempted_s - created_s as age,
   row_number() over (partition by a.session_id order by case when attempted_s - created_s <= 90 then 0 else 1 end, attempted_s, attempt_id) as rn
-  from v_frame_attempts a left join v_frame_sessions s on s.session_id = a.session_id),
+  from v_frame_attempts a left join v_frame_sessions s on s.session_id = a.session_id where shape = 0),
  erred as (select *, case when not known then 'SESSION_NOT_FOUND' when rn > 1 then 'SESSION_ALREADY_USED'
   when age > 90 then case when exists (select 1 from attempted b where b.session_id = a.session_id and b.age <= 90 and
     b.attempted_s < a.attempted_s) then 'SESSION_ALREADY_USED' else 'SESSION_EXPIRED' end
@@ -384,8 +393,10 @@ SESSION_VERDICT = oracle(
          case when reason is null or reason in ('IDENTITY_SWAP_MID_SESSION', 'PASSIVE_PAD_SPOOF') then min_similarity else -1e0 end
           as frame_consistency_score,
          case when reason is null then best_seq end as best_frame_seq, n_received as n_frames_received,
-         case when session_error is null then n_valid else 0 end as n_frames_valid
-        from reasoned r left join best b on b.session_id = r.session_id""",
+         case when session_error is null then n_valid else 0 end as n_frames_valid, null as shape_reject
+        from reasoned r left join best b on b.session_id = r.session_id
+        union all select attempt_id, null, null, -1e0, null, case shape when 1 then 0 when 2 then 10 else 5 end, 0,
+         case shape when 3 then 'DUPLICATE_SEQ' when 4 then 'NEGATIVE_SEQ' else 'FRAME_COUNT' end from v_frame_attempts where shape > 0""",
         "v_session_frames",
         "v_frame_sessions",
         "v_frame_attempts",
@@ -404,6 +415,7 @@ def session_verdicts(spark, sf_dir):
         "best_frame_seq",
         "n_frames_received",
         "n_frames_valid",
+        "shape_reject",
     )
 
 

@@ -171,12 +171,13 @@ def _(spark, sf_dir):
 @query(
     "write_session_audit",
     f"""select 'liveness_verdict' as endpoint, cast(attempt_id as string) as attempt_ref, verdict, reason, frame_consistency_score,
-    n_frames_received, n_frames_valid from ({SESSION_VERDICT})""",
+    n_frames_received, n_frames_valid from ({SESSION_VERDICT}) where shape_reject is null""",
 )
 def _(spark, sf_dir):
     folder = shared_folder(spark, "session-audit")
     bound, frames = judged_attempts(spark, sf_dir)
-    verdicts = sessions.session_verdict(bound, frames).withColumns(
+    # a refused request gets an error, not a verdict, and no audit line
+    verdicts = sessions.session_verdict(bound, frames).where(F.col("shape_reject").isNull()).withColumns(
         {
             "ts": F.timestamp_seconds("attempt_id"),
             "transaction_type": F.lit("sale"),

@@ -70,7 +70,9 @@ from embeddings
 """
 
 # Challenge sessions and attempts for the frame sets above: most are sound, some
-# repeat, come late, carry a foreign correlation id or name no session.
+# repeat, come late, carry a foreign correlation id or name no session. Some
+# sessions are first tried with a malformed frame list: shape 1 sends nothing,
+# 2 sends every frame under two numbers, 3 repeats a number, 4 starts below 0.
 VIEWS["v_frame_sessions"] = """
 select vec_id as session_id, vec_id * 1000 as created_s, concat('c', cast(vec_id as string)) as correlation_id,
  vec_id / 5 % 3 as steps_kind from embeddings where vec_id % 5 = 0 and vec_id % 95 <> 0
@@ -79,8 +81,12 @@ select vec_id as session_id, vec_id * 1000 as created_s, concat('c', cast(vec_id
 VIEWS["v_frame_attempts"] = """
 select vec_id * 10 + vec_id % 5 as attempt_id, vec_id - vec_id % 5 as session_id,
  (vec_id - vec_id % 5) * 1000 + case when vec_id % 5 = 0 and vec_id % 55 = 0 then 100 else 30 + vec_id % 5 end as attempted_s,
- concat('c', cast(vec_id - vec_id % 5 + case when vec_id % 85 = 0 then 1 else 0 end as string)) as correlation_id
+ concat('c', cast(vec_id - vec_id % 5 + case when vec_id % 85 = 0 then 1 else 0 end as string)) as correlation_id,
+ 0 as shape
 from embeddings where vec_id % 5 = 0 or vec_id % 35 = 1
+union all
+select vec_id * 10 + 9, vec_id, vec_id * 1000 + 20, concat('c', cast(vec_id as string)), cast(1 + vec_id / 15 % 4 as int)
+from embeddings where vec_id % 15 = 0
 """
 
 VIEWS["v_detections"] = """

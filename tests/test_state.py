@@ -187,10 +187,37 @@ def test_scorer_sees_only_undecided_frames(spark):
 
 
 def test_oversized_attempt_is_refused_whole(spark):
-    rows = [("a", q) for q in range(9)] + [("b", q) for q in (0, 1, 1)] + [("c", 0)]
+    rows = [("a", q) for q in range(9)] + [("b", q) for q in (0, 1, 1)] + [("c", 0), ("d", -1), ("e", None)]
     df = spark.createDataFrame(rows, "attempt_id string, seq int")
-    got = {r["attempt_id"]: r["shape_reject"] for r in sessions.gather_frames(df).collect()}
-    assert got == {"a": "FRAME_COUNT", "b": "DUPLICATE_SEQ", "c": None}
+    got = {r["attempt_id"]: r for r in sessions.gather_frames(df).collect()}
+    assert {k: (r["shape_reject"], r["n_received"]) for k, r in got.items()} == {
+        "a": ("FRAME_COUNT", 9), "b": ("DUPLICATE_SEQ", 3), "c": (None, 1), "d": ("NEGATIVE_SEQ", 1), "e": ("NEGATIVE_SEQ", 1),
+    }
+    assert {k for k, r in got.items() if r["frames"] is not None} == {"c"}
+
+
+def test_malformed_attempts_do_not_use_the_session(spark):
+    made = spark.createDataFrame([(1, "c")], "session_id long, correlation_id string").withColumn(
+        "created_at", F.timestamp_seconds(F.lit(1000))
+    )
+    seqs = {1: [], 2: range(10), 3: [0, 1, 1, 2], 4: [-1, 0, 1, 2], 5: range(4), 6: range(4)}
+    uses = spark.createDataFrame([(i, 1, "c") for i in seqs], "attempt_id long, session_id long, correlation_id string")
+    uses = uses.withColumn("attempted_at", F.timestamp_seconds(F.col("attempt_id") + 1000))
+    frames = spark.createDataFrame([(i, q) for i, qs in seqs.items() for q in qs], "attempt_id long, seq int")
+    shaped = sessions.guard_shapes(uses, frames)
+    done = sessions.bind_correlation(sessions.consume_once(sessions.lookup_session(shaped, made)))
+    got = [(r["shape_reject"], r["session_error"], r["n_received"]) for r in done.orderBy("attempt_id").collect()]
+    assert got == [
+        ("FRAME_COUNT", None, 0), ("FRAME_COUNT", None, 10), ("DUPLICATE_SEQ", None, 4), ("NEGATIVE_SEQ", None, 4),
+        (None, None, 4), (None, "SESSION_ALREADY_USED", 4),
+    ]
+    created = made.select("session_id", F.col("created_at").alias("ts"), F.lit(False).alias("is_use"),
+                          F.lit(None).cast("long").alias("attempt_id"), "correlation_id", F.lit(None).cast("string").alias("shape_reject"))
+    events = created.unionByName(
+        shaped.select("session_id", F.col("attempted_at").alias("ts"), F.lit(True).alias("is_use"), "attempt_id", "correlation_id", "shape_reject")
+    ).withColumn("us", F.unix_micros("ts"))
+    out = run.drain(stateful.session_state(files(events, spark, "us", 3), "1 day"), shared_folder(spark, "shapes"))
+    assert {r["attempt_id"]: r["session_error"] for r in out.collect()} == {5: None, 6: "SESSION_ALREADY_USED"}
 
 
 def test_similarity_blocks_equal_brute(spark):
