@@ -8,8 +8,9 @@ texts can be banded too. Bands of six registers join documents: two sets of
 similarity 0.8 share none of the 42 bands with probability 3e-6.
 
 Equal sets are one node. In a band, every node is first held against one of
-the band's nodes, drawn by hash. Bands whose nodes then lie in more than one component
-are compared in blocks, across components only: nodes with a partner whose
+the band's nodes, drawn by hash in an order common to all bands; then, where
+a band still holds several components, against another one of its own. Bands
+that after this lie in more than one component are compared in blocks, across components only: nodes with a partner whose
 Jaccard estimate, corrected for register collisions, is within five standard
 deviations of the threshold fetch their full sets, and a block hands on the
 links that join its components. All links are confirmed on the full sets.
@@ -304,11 +305,24 @@ def _across(keys: DataFrame, labelled: DataFrame, nodes: DataFrame, sets_of: Set
     )
 
 
+def _star_links(stars: DataFrame, nodes: DataFrame, sets_of: SetsOf, percent: int) -> DataFrame:
+    """Links on full sets among the (node, rep) pairs."""
+    pairs = stars.select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct()
+    return stored(_confirm(stored(_near(pairs, nodes, percent / 100), "stars"), nodes, sets_of, percent), "links")
+
+
+def _relabelled(inner: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels of nodes once their components are joined by the links."""
+    side = lambda x: inner.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    bridges = links.join(side("b"), "b").join(side("a"), "a").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    merged = components(bridges).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    return stored(inner.join(merged, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+
+
 def link_sets(light: DataFrame, sets_of: SetsOf, percent: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """Components of sketched sets: (n_shingles, fp, root) per distinct set,
     root the smallest id reachable. ``light`` has id, n_shingles, fp, regs;
     ``sets_of(wanted)`` gives id, fp, shingles for rows of id and fp."""
-    threshold = percent / 100
     nodes = stored(
         light.filter("n_shingles > 0 and id is not null")
         .groupBy("n_shingles", "fp")
@@ -316,23 +330,24 @@ def link_sets(light: DataFrame, sets_of: SetsOf, percent: int, rows: int = ROWS,
         "nodes",
     )
     keyed = _banded(nodes, rows, bands)
-    # Each band draws its own node to hold the others against, so a node of a
-    # large group meets many of its neighbours in one round.
-    drawn = F.min(F.struct(F.xxhash64("key", "node"), "node"))
+    # First all bands draw in one order, so the bands of a large group mostly
+    # draw the same few nodes and repeat each other's pairs.
+    drawn = F.min(F.struct(F.xxhash64("node"), "node"))
     shared = keyed.groupBy("key").agg(drawn.getField("node").alias("rep"), F.count("*").alias("n")).filter("n > 1")
     banded = stored(keyed.join(shared.select("key", "rep"), "key"), "bands")
-    stars = banded.filter("node != rep").select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct()
-    likely = stored(_near(stars, nodes, threshold), "stars")
-    links = stored(_confirm(likely, nodes, sets_of, percent), "links")
+    links = _star_links(banded.filter("node != rep").select("node", "rep"), nodes, sets_of, percent)
     labels = components(links)
     inner = banded.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     inner = stored(inner, "labels")
-    links = stored(_across(banded.select("node", "key"), inner, nodes, sets_of, percent), "across")
-    side = lambda x: inner.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
-    bridges = links.join(side("b"), "b").join(side("a"), "a").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    merged = components(bridges).select(F.col("node").alias("label"), F.col("label").alias("root"))
-    roots = inner.join(merged, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
-    return nodes.join(roots, "node", "left").select("n_shingles", "fp", F.coalesce("root", "node").alias("root"))
+    # Then each band draws its own, and only nodes outside the drawn node's
+    # component are held against it.
+    of = banded.select("node", "key").join(inner, "node")
+    drawn = F.min(F.struct(F.xxhash64("key", "node"), "node", "label"))
+    mixed = of.groupBy("key").agg(drawn.alias("rep"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
+    apart = of.join(mixed.select("key", "rep"), "key").filter("label != rep.label").select("node", F.col("rep.node").alias("rep"))
+    inner = _relabelled(inner, _star_links(apart, nodes, sets_of, percent))
+    inner = _relabelled(inner, stored(_across(banded.select("node", "key"), inner, nodes, sets_of, percent), "across"))
+    return nodes.join(inner, "node", "left").select("n_shingles", "fp", F.coalesce("label", "node").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
