@@ -71,8 +71,8 @@ def weighted_signal_sum(df: DataFrame) -> DataFrame:
     """Normalised weighted sum of the signals present in a row.
 
     Reads one column per signal; ``recapture`` may be NULL and then drops out
-    of both sums. Triggers compare unrounded scores, the published ones carry
-    4 decimals.
+    of both sums; without any signal the sum is 0. Triggers compare unrounded
+    scores, the published ones carry 4 decimals.
     """
     total, weights = F.lit(0.0), F.lit(0.0)
     for name, weight in SIGNAL_WEIGHTS.items():
@@ -87,7 +87,7 @@ def weighted_signal_sum(df: DataFrame) -> DataFrame:
             "signal_scores": F.struct(
                 *[round_dp(F.col(n), 4).alias(n) for n in SIGNAL_WEIGHTS]
             ),
-            "spoof_probability": round_dp(total / weights, 4),
+            "spoof_probability": round_dp(F.when(weights > 0, total / weights).otherwise(F.lit(0.0)), 4),
             "signals_triggered": fired,
         }
     )

@@ -45,10 +45,11 @@ def test_fuse(spark):
 
 def test_signal_sum_drops_missing_recapture(spark):
     df = spark.createDataFrame(
-        [(0.3, 0.6, 0.0, 0.0, 0.0, 0.1, 0.5), (0.3, 0.6, 0.0, 0.0, 0.0, 0.1, None)],
+        [(0.3, 0.6, 0.0, 0.0, 0.0, 0.1, 0.5), (0.3, 0.6, 0.0, 0.0, 0.0, 0.1, None), (None,) * 7],
         "fft double, lbp double, color double, moire double, sharpness double, jpeg double, recapture double",
     )
-    full, part = scores.weighted_signal_sum(df).collect()
+    full, part, none = scores.weighted_signal_sum(df).collect()
+    assert none["spoof_probability"] == 0.0 and none["signals_triggered"] == []
     assert full["spoof_probability"] == pytest.approx(0.34)
     assert part["spoof_probability"] == pytest.approx(0.115 / 0.55, abs=5e-5)
     assert full["signals_triggered"] == ["fft", "lbp", "recapture"]
