@@ -21,6 +21,20 @@ def replay_guard_stream(
     return gates.replay_guard(requests, header, now, s)
 
 
+def _computed_once(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Keep a micro-batch while its several tables are written, so that its
+    scores are not computed for each of them."""
+
+    def kept(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            write(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    return kept
+
+
 def split_batches(reject: str, accepted: str, rejected: str) -> Callable[[DataFrame, int], None]:
     """Batch function: accepted rows to one table, refused ones to another.
     Paths carry the batch id, so a replayed batch replaces its own output."""
@@ -32,7 +46,7 @@ def split_batches(reject: str, accepted: str, rejected: str) -> Callable[[DataFr
         ):
             rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return write
+    return _computed_once(write)
 
 
 def drop_repeats(events: DataFrame, ts: str, delay: str, *ids: str) -> DataFrame:
@@ -52,7 +66,7 @@ def record_batches(folder: str, *ids: str, s: Settings = DEFAULTS) -> Callable[[
         faults = sinks.security_events(batch).select(*ids, "verdict", "reason")
         faults.write.mode("overwrite").parquet(f"{folder}/events/{part}")
 
-    return write
+    return _computed_once(write)
 
 
 def monitor_stream(
