@@ -6,13 +6,16 @@ pair of similarity 0.8 shares none with probability 4e-5), joined in their
 bands, verified by exact Jaccard and clustered by components; the first line
 of a component stays.
 
-A passage pasted into other text makes no similar line. Lines are therefore
-also cut where the text itself says so (before a word whose three-word hash
-is the smallest within CUT words either way), which cuts a pasted passage at
-the same words wherever it stands. Equal pieces agree in every band, so they
-meet on one hash; runs of consecutive pieces found in two or more documents
-are passages, if they hold at least LEAST_RUN words, or LEAST_IN_LINE within
-a line. The document with the smallest id keeps each piece.
+A passage pasted into other text makes no similar line, and its line breaks
+may differ. Of the runs of RUN words, whatever lines they are in, those that
+are the smallest by hash of some REACH in a row are anchors: a passage of RUN
++ REACH - 1 = LEAST_RUN words has one at the same words wherever it stands.
+Around anchors that two documents share all runs of RUN words are compared,
+up to where the next anchor would be, so a passage is found from its first
+to its last word. Consecutive shared runs are a passage if they cover at
+least LEAST_RUN words, or LEAST_IN_LINE within a line; the latter are found
+only where they hold a shared anchor. The document with the smallest id
+keeps each run.
 
 Nulls: null texts are empty; rows with a null id are left alone and give no
 rows. Repeated rows with one id are one document. Empty tables give no rows.
@@ -33,7 +36,7 @@ SHINGLE = 5
 LEAST_LINE = 40
 REGISTER_BITS = 6
 BAND_ROWS, BANDS = 3, 14
-CUT = 5
+RUN, REACH = 8, 23
 LEAST_RUN, LEAST_IN_LINE = 30, 16
 
 SPANS = "doc_id long, kind string, first_word long, n_words long, byte_from long, byte_to long, cluster long, removed boolean"
@@ -110,90 +113,169 @@ def near_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """Pieces of at least three words: doc_id, piece, h, and their line and
-    places packed in two longs, since all of a corpus's pieces are joined."""
+def _runs(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of the RUN words from each word on, and how many words its row
+    has from there; hashes mean nothing where fewer than RUN are left."""
+    h, n = words.hash.copy(), 1
+    while n < RUN:
+        h[:-n] = mix(h[:-n] * np.uint64(0xFF51AFD7ED558CCD) ^ (h[n:] + np.uint64(n))) if n < len(h) else h[:-n]
+        n *= 2
+    return h, words.first[words.row + 1] - np.arange(len(h))
+
+
+def _anchors(words: Words, h: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """First words of the runs that are the smallest of some REACH runs in a
+    row (of all, in shorter texts); the leftmost of equal ones."""
+    row = words.row
+    # rows stand REACH largest values apart, so none is another's smallest
+    spread = np.arange(len(h)) + row * REACH
+    apart = np.full(len(h) + (len(words.first) - 1) * REACH, np.uint64(0xFFFFFFFFFFFFFFFF))
+    whole = left >= RUN
+    apart[spread[whole]] = h[whole]
+    low, n = apart.copy(), 1
+    while n < REACH:
+        step = min(n, REACH - n)
+        low[:-step] = np.minimum(low[:-step], low[step:])
+        n += step
+    begin = whole & ((left >= RUN + REACH - 1) | (np.arange(len(h)) == words.first[row]))
+    moved = begin.copy()
+    # the smallest stays where it is until it is passed or undercut
+    at = spread[1:]
+    moved[1:] &= (row[1:] != row[:-1]) | (low[at] != low[at - 1]) | (apart[at - 1] == low[at - 1])
+    begin = np.flatnonzero(moved)
+    if not len(begin):
+        return begin
+    view = np.lib.stride_tricks.sliding_window_view(apart, REACH)
+    return np.unique(begin + view[spread[begin]].argmin(axis=1))
+
+
+def anchors(docs: DataFrame, sides: bool) -> DataFrame:
+    """(doc_id, h, place): the anchors; place holds first word and words to
+    the next anchor. With ``sides`` (doc_id, h, before, after): hashes of all
+    words from the anchor before, and up to the next; 0 where there is none."""
 
     def work(batch: pa.RecordBatch, words: Words) -> pa.RecordBatch:
-        h, row, n = words.hash, words.row, len(words.starts)
-        if n <= CUT:
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(0, k)) for k in PIECE_KINDS], names=PIECE_NAMES)
-        g = h * np.uint64(0x9E3779B97F4A7C15)
-        for j in (1, 2):
-            g[:-j] ^= np.where(row[:-j] == row[j:], mix(h[j:] + np.uint64(j)), np.uint64(0))
-        low = np.ones(n, bool)
-        for k in range(1, CUT + 1):
-            less = (g[:-k] < g[k:]) | (row[:-k] != row[k:])
-            low[: n - k] &= less
-            low[k:] &= (g[k:] < g[:-k]) | (row[:-k] != row[k:])
-        edge = _lines(words)
-        line = np.zeros(n, bool)
-        line[edge[:-1]] = True
-        begin = np.flatnonzero(low | line)
-        end = np.r_[begin[1:], n]
-        size = end - begin
-        place = np.arange(n) - np.repeat(begin, size)
-        parts = mix(h + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        if not len(words.starts):
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(0, np.int64))] * len(names), names=names)
+        h, left = _runs(words)
+        at = _anchors(words, h, left)
+        row = words.row[at]
+        ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)[row].astype(np.int64)
+        size = np.zeros(len(at), np.int64)
+        size[:-1] = np.where(row[1:] == row[:-1], np.diff(at), 0)
+        own = pa.array(h[at].view(np.int64))
+        if not sides:
+            return pa.RecordBatch.from_arrays([pa.array(ids), own, pa.array(((at - words.first[row]) << 8) | size)], names=names)
+        n = len(words.starts)
+        place = np.arange(n)
+        if len(at):
+            place -= np.repeat(np.r_[0, at], np.diff(np.r_[0, at, n]))
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(parts, out=total[1:])
-        key = mix(total[end] - total[begin] + size.astype(np.uint64))
-        owner = row[begin]
-        first_piece = np.searchsorted(owner, np.arange(len(words.first) - 1))
-        ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)[owner].astype(np.int64)
-        lines = np.cumsum(line[begin])
-        keep = size >= 3
-        base = words.offsets[owner]
-        from_, to = words.starts[begin] - base, words.ends[end - 1] - base
-        place = (lines.astype(np.int64) << 32) | size
-        spot = (from_ << 31) | (to - from_)
-        word = begin - words.first[owner]
-        out = (ids, np.arange(len(begin)) - first_piece[owner], key.view(np.int64), place, spot, word)
-        return pa.RecordBatch.from_arrays([pa.array(c[keep].astype(k)) for c, k in zip(out, PIECE_KINDS, strict=True)], names=PIECE_NAMES)
+        np.cumsum(mix(words.hash + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), out=total[1:])
+        after, before = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        after[:-1] = mix(total[at[1:]] - total[at[:-1]] + size[:-1].astype(np.uint64)) ^ mix(h[at[1:]])
+        after[size == 0] = 0
+        before[1:] = after[:-1]
+        return pa.RecordBatch.from_arrays([pa.array(ids), own, pa.array(before.view(np.int64)), pa.array(after.view(np.int64))], names=names)
 
-    return _texts(docs).mapInArrow(per_slice("text", work), "doc_id long, piece int, h long, place long, spot long, word int")
+    names = ["doc_id", "h", "before", "after"] if sides else ["doc_id", "h", "place"]
+    return _texts(docs).mapInArrow(per_slice("text", work), ", ".join(f"{x} long" for x in names))
 
 
-PIECE_NAMES = ["doc_id", "piece", "h", "place", "spot", "word"]
-PIECE_KINDS = (np.int64, np.int32, np.int64, np.int64, np.int64, np.int32)
+def shared_runs(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Runs around marked anchors (doc_id, place, lo, open_left, open_right).
+    Where all holders of an anchor agree up to the next one, one row stands
+    for the runs up to there, with the holders' smallest id in lo; elsewhere
+    each run that a passage can hold before another anchor has a row, with lo
+    -1. doc_id, word and last (the first and last run's first words), h, lo,
+    bytes, and the last run that ends LEAST_IN_LINE words of a line, or -1."""
+
+    def work(batch: pa.RecordBatch, words: Words) -> pa.RecordBatch:
+        h, left = _runs(words)
+        marks = batch.column(batch.schema.get_field_index("marks"))
+        held = marks.flatten()
+        place, lo, open_ = (held.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+        owner = np.repeat(np.arange(len(words.first) - 1), marks.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        size, word = place & 255, words.first[owner] + (place >> 8)
+        # rows of one id with other texts have other anchors
+        good = word + size + RUN <= words.first[owner + 1]
+        size, word, lo, open_, owner = size[good], word[good], lo[good], open_[good], owner[good]
+        step = np.zeros(len(h) + 1, np.int64)
+        for side, from_, to in ((2, np.maximum(word - REACH, words.first[owner]), word + 1), (1, word, np.minimum(word + REACH + 1, words.first[owner + 1]))):
+            np.add.at(step, from_[open_ & side > 0], 1)
+            np.add.at(step, to[open_ & side > 0], -1)
+        each = np.flatnonzero((np.cumsum(step[:-1]) > 0) & (left >= RUN))
+        joined = open_ & 1 == 0
+        begin, last = np.r_[each, word[joined]], np.r_[each, (word + size)[joined]]
+        smallest = np.r_[np.full(len(each), -1), lo[joined]]
+        closed = np.r_[np.zeros(len(each), bool), np.ones(joined.sum(), bool)]
+        end = last + RUN - 1
+        edge = _lines(words)
+        place = np.arange(len(h))
+        lined = place - edge[np.searchsorted(edge, place, "right") - 1] + 1 >= LEAST_IN_LINE
+        far = np.maximum.accumulate(np.where(lined, place, -1))[end] - RUN + 1 if len(h) else end
+        row = np.searchsorted(words.first, begin, "right") - 1
+        ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)[row].astype(np.int64)
+        base, first = words.offsets[row], words.first[row]
+        from_, to = words.starts[begin] - base, words.ends[end] - base
+        far = np.where(far >= begin, far - first, -1)
+        out = (ids, begin - first, last - first, h[begin].view(np.int64), smallest, closed, (from_ << 31) | (to - from_), far)
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(out, RUN_KINDS, strict=True)], names=RUN_NAMES)
+
+    mark = F.struct("place", "lo", F.expr("int(open_left) * 2 + int(open_right)").alias("open"))
+    marked = marks.groupBy("doc_id").agg(F.collect_list(mark).alias("marks"))
+    return _texts(docs).join(marked, "doc_id").mapInArrow(
+        per_slice("text", work), "doc_id long, word int, last int, h long, lo long, closed boolean, spot long, far int"
+    )
+
+
+RUN_NAMES = ["doc_id", "word", "last", "h", "lo", "closed", "spot", "far"]
+RUN_KINDS = (np.int64, np.int32, np.int32, np.int64, np.int64, bool, np.int64, np.int32)
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """SPANS rows of passages that stand in two or more documents."""
-    shared = pieces(docs).groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo != hi").select("h", "lo")
-    held = (
-        pieces(docs)
-        .join(shared, "h")
-        .dropDuplicates(["doc_id", "piece", "h"])
-        .select(
-            "doc_id", "piece", "h", "lo", F.col("word").alias("first_word"),
-            F.shiftright("place", 32).alias("line"), F.expr("int(place & 4294967295)").alias("n_words"),
-            F.shiftright("spot", 31).alias("byte_from"), F.expr("shiftright(spot, 31) + (spot & 2147483647)").alias("byte_to"),
-        )
-    )
-    by_doc = Window.partitionBy("doc_id").orderBy("piece")
-    runs = held.withColumn("run", F.col("piece") - F.row_number().over(by_doc))
-    line_words = F.sum("n_words").over(Window.partitionBy("doc_id", "run", "line"))
+    differ = lambda x: (F.min(x) != F.max(x)) | (F.min(x) == 0)
+    ends = F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")
+    shared = (
+        anchors(docs, True)
+        .groupBy("h")
+        .agg(*ends, differ("before").alias("open_left"), differ("after").alias("open_right"))
+        .filter("lo != hi")
+        .drop("hi")
+    )
+    near = stored(shared_runs(docs, anchors(docs, False).join(shared, "h").drop("h")), "runs")
+    single = near.filter("not closed").drop("lo")
+    met = single.groupBy("h").agg(*ends).filter("lo != hi").select("h", "lo")
+    held = near.filter("closed").unionByName(single.join(met, "h")).withColumn("removed", F.col("doc_id") != F.col("lo"))
+
+    def numbered(rows: DataFrame, name: str, keys: list[str]) -> DataFrame:
+        """Rows whose runs follow on each other get one number."""
+        over = Window.partitionBy(*keys).orderBy("word", "last")
+        before = F.max("last").over(over.rowsBetween(Window.unboundedPreceding, -1))
+        return rows.withColumn(name, (F.col("word") > before + 1).cast("int")).withColumn(name, F.sum(F.coalesce(name, F.lit(0))).over(over))
+
     whole = Window.partitionBy("doc_id", "run")
     sized = (
-        runs.withColumn("in_line", line_words)
-        .withColumn("total", F.sum("n_words").over(whole))
-        .withColumn("most", F.max("in_line").over(whole))
+        numbered(held, "run", ["doc_id"])
+        .withColumn("begin", F.min("word").over(whole))
+        .withColumn("total", F.max("last").over(whole) - F.col("begin") + RUN)
+        .withColumn("most", F.max("far").over(whole) - F.col("begin") + RUN)
         .filter((F.col("total") >= LEAST_RUN) | (F.col("most") >= LEAST_IN_LINE))
-        .withColumn("removed", F.col("doc_id") != F.col("lo"))
     )
-    part = Window.partitionBy("doc_id", "run", "removed").orderBy("piece")
     parts = stored(
-        sized.withColumn("part", F.col("piece") - F.row_number().over(part))
+        numbered(sized, "part", ["doc_id", "run", "removed"])
         .withColumn("span", F.xxhash64("doc_id", "run", "removed", "part"))
-        .select("doc_id", "span", "removed", "h", "first_word", "n_words", "byte_from", "byte_to"),
+        .select("doc_id", "span", "removed", "h", "word", "last", "spot"),
         "passages",
     )
     meet = parts.groupBy("h").agg(F.min("span").alias("rep"))
-    links = parts.join(meet, "h").select(F.col("rep").alias("a"), F.col("span").alias("b")).distinct()
+    links = parts.join(meet, "h").filter("rep != span").select(F.col("rep").alias("a"), F.col("span").alias("b")).distinct()
     clusters = components(links)
+    from_ = F.shiftright("spot", 31)
     spans = parts.groupBy("doc_id", "span", "removed").agg(
-        F.min("first_word").cast("long").alias("first_word"), F.sum("n_words").cast("long").alias("n_words"),
-        F.min("byte_from").cast("long").alias("byte_from"), F.max("byte_to").cast("long").alias("byte_to"),
+        F.min("word").cast("long").alias("first_word"), (F.max("last") - F.min("word") + RUN).cast("long").alias("n_words"),
+        F.min(from_).alias("byte_from"), F.max(from_ + F.expr("spot & 2147483647")).alias("byte_to"),
     )
     return spans.join(clusters, F.col("span") == F.col("node"), "left").select(
         "doc_id", F.lit("passage").alias("kind"), "first_word", "n_words", "byte_from", "byte_to",

@@ -253,3 +253,31 @@ def test_empty_and_odd_tables(spark, docs, empty):
     assert decontaminate.leaks(docs, bench).count() == decontaminate.leaks(empty, bench).count() == 0
     assert packing.pack(packing.token_pieces(empty, PATH)).count() == paragraphs.duplicate_spans(empty).count() == 0
     assert ledger.ledger(empty).count() == 0
+
+
+def test_passages_in_short_lines_against_brute_force(spark):
+    r, made, want = random.Random(11), [], {}
+    for k in range(60):
+        # a 51-word passage, its lines broken elsewhere in the second text
+        passage = prose(1000 + k, 51).split()
+        for side in (0, 1):
+            w = [*prose(2000 + 2 * k + side, 40).split(), *passage, *prose(3000 + 2 * k + side, 40).split()]
+            width = r.choice((8, 10, 12))
+            made.append((2 * k + side, "\n".join(" ".join(w[i : i + width]) for i in range(0, len(w), width))))
+        want[2 * k + 1] = (40, 51)
+    # brute force: the shared run of each pair is the passage, or longer by chance
+    for k in range(60):
+        a, b = (words(made[2 * k + side][1]) for side in (0, 1))
+        from_, n = want[2 * k + 1]
+        while a[from_ - 1] == b[from_ - 1]:
+            from_, n = from_ - 1, n + 1
+        while a[from_ + n] == b[from_ + n]:
+            n += 1
+        want[2 * k + 1] = (from_, n)
+    table = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    got = [x for x in paragraphs.passages(table).collect() if x.removed]
+    assert {x.doc_id: (x.first_word, x.n_words) for x in got} == want and len(got) == len(want)
+    texts = dict(made)
+    for x in got:
+        span = texts[x.doc_id].encode()[x.byte_from : x.byte_to].decode().split()
+        assert span == texts[x.doc_id].split()[x.first_word : x.first_word + x.n_words]
