@@ -7,8 +7,8 @@ at least two plain words are the templates. Benchmark windows are hashed into
 a filter of fixed size (FILTER_BITS, combined with bit_or and broadcast);
 documents emit only windows that pass it, and those meet the benchmark's in a
 hash join. An item leaks into a document where at least 80 % of its windows
-are found there and the slots agree: each value of an item's slot stands for
-one value in the document. Slots all equal make a verbatim copy, consistent
+are found in one copy there and its slots agree: each value of an item's slot
+stands for one value in the copy. Slots all equal make a verbatim copy, consistent
 new values a re-parameterised one.
 
 Items without a template window (under five words, or nearly all slots) are
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from presence.llm.textkit import Words, hash_spans, lists, lookup, mix, per_slice, word_hashes
@@ -159,12 +159,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame
     sides = items.select(F.col("id").alias("item_id"), "pos", "h", "total", F.col("slots").alias("item_slots"))
     met = found.join(sides, "h").filter("(pos < 0) = (at < 0)")
     pairs = F.expr("filter(arrays_zip(item_slots, doc_slots), p -> p.item_slots != 0)")
-    # One row per (document, item, window) before the last count: a window
-    # that a document repeats is found once.
-    per_window = met.groupBy("doc_id", "item_id", "pos").agg(
+    # Copies in one document have slot values of their own, so each is judged
+    # alone: by equal offsets, by offsets within half an item (words put in or
+    # left out shift a copy's rest), and all places as one.
+    over = Window.partitionBy("doc_id", "item_id").orderBy("offset", "pos", "at")
+    new = F.coalesce((F.col("offset") - F.lag("offset").over(over) > F.col("total") / 2).cast("int"), F.lit(0))
+    chained = met.withColumn("offset", F.col("at") - F.col("pos")).withColumn("new", new).withColumn("chain", F.sum("new").over(over))
+    copies = chained.withColumn(
+        "copy", F.explode(F.array(F.struct(F.lit(0).alias("by"), F.col("offset").cast("long").alias("k")), F.struct(F.lit(1).alias("by"), F.col("chain").alias("k")), F.struct(F.lit(2).alias("by"), F.lit(0).cast("long").alias("k"))))
+    )
+    # One row per (document, item, copy, window) before the last count: a
+    # window that a copy repeats is found once.
+    per_window = copies.groupBy("doc_id", "item_id", "copy", "pos").agg(
         F.max("total").alias("total"), F.min(F.struct(F.expr("aggregate(arrays_zip(item_slots, doc_slots), 0, (n, p) -> n + int(p.item_slots != p.doc_slots))").alias("n"), pairs.alias("p"))).alias("best")
     )
-    per_item = per_window.groupBy("doc_id", "item_id").agg(
+    per_copy = per_window.groupBy("doc_id", "item_id", "copy").agg(
         F.max("total").alias("n_windows"),
         F.count("*").alias("n_found"),
         F.sum("best.n").alias("n_changed"),
@@ -173,10 +182,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame
     distinct = F.array_distinct("slots")
     one_each = F.size(distinct) == F.size(F.array_distinct(F.transform(distinct, lambda p: p["item_slots"])))
     # All slots of one kind with one value each way: a re-parameterised copy.
-    return per_item.filter((100 * F.col("n_found") >= percent * F.col("n_windows")) & ((F.col("n_changed") == 0) | one_each)).select(
+    passed = per_copy.filter((100 * F.col("n_found") >= percent * F.col("n_windows")) & ((F.col("n_changed") == 0) | one_each))
+    best = passed.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_changed") == 0).alias("verbatim"), "n_found", "n_windows")).alias("best"))
+    return best.select(
         "doc_id",
         "item_id",
-        F.col("n_windows").cast("long").alias("n_windows"),
-        F.col("n_found").cast("long").alias("n_found"),
-        F.when(F.col("n_changed") == 0, "verbatim").otherwise("reparameterised").alias("kind"),
+        F.col("best.n_windows").cast("long").alias("n_windows"),
+        F.col("best.n_found").cast("long").alias("n_found"),
+        F.when(F.col("best.verbatim"), "verbatim").otherwise("reparameterised").alias("kind"),
     )

@@ -281,3 +281,17 @@ def test_passages_in_short_lines_against_brute_force(spark):
     for x in got:
         span = texts[x.doc_id].encode()[x.byte_from : x.byte_to].decode().split()
         assert span == texts[x.doc_id].split()[x.first_word : x.first_word + x.n_words]
+
+
+def test_leaks_of_several_copies(spark):
+    item = "A train leaves Rome at 9 with 120 seats and travels 300 km in 4 hours before Anna boards it near the old bridge"
+    copy = lambda a, b, c: item.replace("120", a).replace("300", b).replace("Anna", c)
+    made = [
+        (1, " ".join([prose(21), copy("85", "410", "Peter"), copy("77", "95", "Maria"), prose(22)])),
+        (2, " ".join([copy("66", "12", "Olga"), prose(23), copy("52", "71", "Ines"), prose(24), copy("31", "8", "Hugo")])),
+        (3, " ".join([copy("85", "410", "Peter"), prose(25), item])),
+        (4, " ".join([prose(26), copy("85", "410", "Peter").replace("old bridge", "old stone bridge")])),
+    ]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r.kind for r in decontaminate.leaks(spark.createDataFrame(made, "doc_id long, text string"), bench).collect()}
+    assert got == {1: "reparameterised", 2: "reparameterised", 3: "verbatim", 4: "reparameterised"}
