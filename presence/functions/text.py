@@ -19,12 +19,12 @@ _OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4_PATTERN = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
 _H = r"[0-9A-Fa-f]{1,4}"
 _QUAD = rf"{_OCTET}(\.{_OCTET}){{3}}"
+# "::" stands for at least one group, so at most seven are written (five
+# beside a dotted quad, which is two): counted ahead, then the form.
 IPV6_PATTERN = (
-    rf"^(({_H}:){{7}}{_H}|({_H}:){{1,7}}:|({_H}:){{1,6}}:{_H}|({_H}:){{1,5}}(:{_H}){{1,2}}"
-    rf"|({_H}:){{1,4}}(:{_H}){{1,3}}|({_H}:){{1,3}}(:{_H}){{1,4}}|({_H}:){{1,2}}(:{_H}){{1,5}}"
-    rf"|{_H}:(:{_H}){{1,6}}|:((:{_H}){{1,7}}|:)"
-    # the last 32 bits as a dotted quad, and zone ids
-    rf"|({_H}:){{6}}{_QUAD}|::({_H}:){{0,5}}{_QUAD}|({_H}:){{1,5}}:({_H}:){{0,4}}{_QUAD})(%[^%\\s]+)?$"
+    rf"^((({_H}:){{7}}{_H}|({_H}:){{6}}{_QUAD})"
+    rf"|(?=(:{{0,2}}[0-9A-Fa-f]+){{0,7}}(::)?(%|$))({_H}(:{_H})*)?::({_H}(:{_H})*)?"
+    rf"|(?=(:{{0,2}}[0-9A-Fa-f]+(?!\.)){{0,5}}:{{1,2}}[0-9]+\.)({_H}(:{_H})*)?::({_H}:)*{_QUAD})(%[^%]+)?\z"
 )
 
 

@@ -116,6 +116,21 @@ select event_id as request_id, user_id % 8 as client_key, ts,
 from events
 """
 
+# zoned, plain, mapped and malformed addresses of the longer family beside v_access
+VIEWS["v_addresses"] = """
+select event_id as request_id, case event_id % 9
+ when 0 then concat('fe80::', cast(user_id % 10 as string), case user_id % 4 when 0 then '%ens3' when 1 then '%wlp2s0'
+   when 2 then '%s' else '%eth0' end)
+ when 1 then concat('2001:db8:0:', cast(user_id % 10 as string), '::', cast(event_id % 10 as string))
+ when 2 then concat('1:2:3:4:5::1:2:', cast(user_id % 10 as string), ':10.0.0.1')
+ when 3 then concat('::ffff:10.0.0.', cast(user_id % 250 as string))
+ when 4 then concat('1:2:3:4:5:6:7::', cast(user_id % 10 as string), ':9')
+ else concat(case event_id % 6 when 0 then '10.' when 1 then '192.168.' when 2 then '172.16.' when 3 then '8.8.'
+   when 4 then '127.0.' else '172.40.' end, cast(event_id % 2 as string), '.', cast(user_id % 250 as string),
+   case when event_id % 6 = 0 then '.9' else '' end) end as client_ip
+from events
+"""
+
 VIEWS["v_vlm"] = """
 select doc_id as frame_id, case doc_id % 8
  when 0 then concat('LABEL=STUDIO_BACKGROUND CONFIDENCE=90 ', text)
