@@ -185,9 +185,11 @@ def fullest(counts: dict[int, int], room: int) -> list[int]:
     """Lengths, longest first, whose sum is the largest of at most ``room``
     that the counts allow. Bit s of ``reach[i]`` says that sum s is made of
     the first i bundles of pieces; bundles of 1, 2, 4, ... pieces of one
-    length make any number of them. The way back prefers longer lengths."""
+    length make any number of them. Bundles join from the longest length down
+    and the first full sum ends the search, so that short pieces are left to
+    fill later bins."""
     bundles = []
-    for length in sorted(x for x in counts if x <= room):
+    for length in sorted((x for x in counts if x <= room), reverse=True):
         left, take = min(counts[length], room // length), 1
         while left > 0:
             bundles.append((length, min(take, left)))
@@ -204,7 +206,7 @@ def fullest(counts: dict[int, int], room: int) -> list[int]:
             length, n = bundles[i - 1]
             out += [length] * n
             goal -= length * n
-    return out
+    return sorted(out, reverse=True)
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[list[int], int]]:

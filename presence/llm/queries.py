@@ -82,8 +82,8 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 cls AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY n, k) AS node
         FROM (SELECT doc_id, count(*) AS n, md5(string_agg(g, '' ORDER BY g)) AS k FROM s GROUP BY doc_id)),
 u AS (SELECT s.doc_id, g FROM s JOIN cls ON s.doc_id = cls.doc_id AND s.doc_id = cls.node),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 80 * (x.n + y.n - both)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= 80 * (x.n + y.n - n_both)),
 r AS (SELECT doc_id AS node, doc_id AS seen FROM u GROUP BY doc_id UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
 c AS (SELECT node, min(seen) AS root FROM r GROUP BY node)
 SELECT d.doc_id, CAST(coalesce(cls.n, 0) AS BIGINT) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id,

@@ -295,3 +295,29 @@ def test_leaks_of_several_copies(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = {r.doc_id: r.kind for r in decontaminate.leaks(spark.createDataFrame(made, "doc_id long, text string"), bench).collect()}
     assert got == {1: "reparameterised", 2: "reparameterised", 3: "verbatim", 4: "reparameterised"}
+
+
+def least_bins(lengths, size):
+    """Martello and Toth's L2 bound: no packing needs fewer bins."""
+    best = 0
+    for k in range(size // 2 + 1):
+        large = sum(x > size - k for x in lengths)
+        middle = [x for x in lengths if size - k >= x > size / 2]
+        small = sum(x for x in lengths if size / 2 >= x >= k)
+        best = max(best, large + len(middle) + max(0, -(-(small - (len(middle) * size - sum(middle))) // size)))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_comes_close_to_the_bound(seed):
+    r = random.Random(seed)
+    lengths = [min(2048, 1 + int(r.lognormvariate(5 + seed / 3, 1))) for _ in range(3000)]
+    counts = {x: lengths.count(x) for x in set(lengths)}
+    lines = packing.plan(counts)
+    used = {}
+    for bin_, times in lines:
+        assert sum(bin_) <= 2048
+        for x in bin_:
+            used[x] = used.get(x, 0) + times
+    assert used == counts
+    assert sum(times for _, times in lines) <= least_bins(lengths, 2048) + 1
