@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, and SQL where it can say it."""
+"""The thirteen operators over their whole tables, and SQL where it can say it."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from presence.llm import (
+    collocations,
     decontaminate,
     hyperminhash,
     langid,
@@ -15,7 +16,9 @@ from presence.llm import (
     pagediff,
     paragraphs,
     pu_quality,
+    simhash,
     toxgrammar,
+    whitening,
 )
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,9 +69,22 @@ def op10_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_read(spark, sf_dir, "documents"))
 
 
+def op11_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op13_fm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     op1_template_leaks, op2_language_fusion, op3_bin_slack, op4_hyperminhash, op5_page_differencing,
     op6_rule_ledger, op7_pu_quality, op8_toxicity_grammar, op9_paragraph_dedup, op10_licence_dice,
+    op11_spectrum_whitening, op12_simhash_bytes, op13_fm_collocations,
 )
 
 QUERIES = {f.__name__: f for f in OPERATORS}
@@ -91,4 +107,4 @@ SELECT d.doc_id, CAST(coalesce(cls.n, 0) AS BIGINT) AS n_shingles, coalesce(c.ro
 FROM d LEFT JOIN cls USING (doc_id) LEFT JOIN c ON c.node = cls.node
 """
 
-ORACLES = {"op4_hyperminhash": NEAR_SQL, "op6_rule_ledger": ledger.SQL}
+ORACLES = {"op4_hyperminhash": NEAR_SQL, "op6_rule_ledger": ledger.SQL, "op13_fm_collocations": collocations.SQL}
