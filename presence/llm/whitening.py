@@ -223,12 +223,9 @@ def _solved(v: np.ndarray, shift: float, q: np.ndarray, scale: float) -> np.ndar
     raise ArithmeticError("the shifted covariance stays singular")
 
 
-def _vector(v: np.ndarray, low: float, high: float, found: list[tuple[float, np.ndarray]], number: int, scale: float) -> tuple[float, np.ndarray]:
-    """The eigenpair numbered ``number`` in the interval: inverse iteration
-    from its middle, then Rayleigh quotients while they stay inside."""
-    rng = np.random.default_rng(number)
-    q = rng.standard_normal(len(v))
-    near = [x for e, x in found if abs(e - high) <= 1e-2 * scale or low <= e <= high]
+def _vector(v: np.ndarray, shift: float, near: list[np.ndarray], number: int, scale: float) -> tuple[float, float, np.ndarray]:
+    """(residual, value, unit vector) that inverse iteration at ``shift`` and
+    then Rayleigh quotients lead to, orthogonal to ``near``."""
 
     def clean(z: np.ndarray) -> np.ndarray:
         for _ in range(2):
@@ -236,21 +233,16 @@ def _vector(v: np.ndarray, low: float, high: float, found: list[tuple[float, np.
                 z = z - (x @ z) * x
         return z / np.linalg.norm(z)
 
-    q, shift, best = clean(q), low + (high - low) / 2, None
-    for step in range(60):
+    q, best = clean(np.random.default_rng(number).standard_normal(len(v))), None
+    for step in range(16):
         q = clean(_solved(v, shift, q, scale))
         e = float(q @ v @ q)
         error = float(np.linalg.norm(v @ q - e * q))
-        inside = low - error <= e <= high + error
-        if inside and (best is None or error < best[0]):
-            best = (error, e, q)
-        elif best is not None and step > 3:
+        if best is not None and step > 3 and error >= best[0]:
             break  # no smaller residual: as exact as doubles are
-        # outside, the middle's own vector is sought for a while longer
-        shift = e if inside and step > 0 else low + (high - low) / 2
-    if best is None:
-        raise ArithmeticError(f"no eigenvalue {number} found in its interval")
-    return best[1], best[2]
+        best = (error, e, q) if best is None or error < best[0] else best
+        shift = e if step > 0 else shift
+    return best
 
 
 def leading(v: np.ndarray, wanted: int = COMPONENTS) -> tuple[np.ndarray, np.ndarray]:
@@ -259,13 +251,21 @@ def leading(v: np.ndarray, wanted: int = COMPONENTS) -> tuple[np.ndarray, np.nda
     d, scale = len(v), float(np.abs(v).sum(axis=1).max(initial=0.0))
     if scale == 0.0:
         return np.zeros(0), np.zeros((0, d))
+    slack = 64 * d * EPS * scale
     found: list[tuple[float, np.ndarray]] = []
     for low, high, first, last in slices(v, wanted, 16 * d * EPS * scale):
-        group = []
+        group: list[tuple[float, np.ndarray]] = []
         for number in range(first, last + 1):
-            group.append(_vector(v, low, high, found + group, number, scale))
+            while True:
+                near = [x for e, x in found + group if e - high <= 1e-2 * scale]
+                error, e, q = _vector(v, low + (high - low) / 2, near, number, scale)
+                if (error <= slack and low - slack <= e <= high + slack) or high - low <= slack:
+                    break
+                # a neighbour stands nearer to the middle than the value sought
+                middle = low + (high - low) / 2
+                low, high = (middle, high) if d - below(v, middle) >= number else (low, middle)
+            group.append((e, q))
         group.sort(key=lambda x: -x[0])
-        slack = 64 * d * EPS * scale
         if d - below(v, group[0][0] + slack) > first - 1 or d - below(v, group[-1][0] - slack) < last:
             raise ArithmeticError(f"eigenvalues {first} to {last} fail their counts")
         found += group
