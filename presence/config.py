@@ -33,7 +33,8 @@ class Settings:
     max_payload_bytes: int = 8 * 1024 * 1024
     max_dimension: int = 4000
     max_batch: int = 16
-    # gates
+    # gates; the document question runs where replies are given
+    geometry_check: bool = True
     detector_confidence: float = 0.4
     face_ratio_reject: float = 0.27
     document_reject: float = 0.70

@@ -22,18 +22,6 @@ GRID = 4
 BLOCK = 8
 
 
-def spread(rows: DataFrame, key: str = "image_id") -> DataFrame:
-    """Use all cores for heavy per-row work on an input with few splits.
-
-    An image row grows ten-thousandfold when exploded, so a scan of a few
-    small files is redistributed by id first; larger inputs keep their splits.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores, key)
-
-
 def explode_pixels(images: DataFrame, *planes: str) -> DataFrame:
     """One row per pixel beside the (shared) plane arrays.
 

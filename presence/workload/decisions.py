@@ -10,7 +10,6 @@ from presence.config import DEFAULTS, SIGNAL_WEIGHTS
 from presence.functions import numeric, text, vector
 from presence.functions.numeric import round_dp
 from presence.operators import gates, scores
-from presence.operators.pixels import spread
 from presence.workload.base import query
 from presence.workload.views import oracle, rnd, table, view
 
@@ -369,7 +368,7 @@ _VLM = r"""parsed as (select frame_id, response, upper(regexp_extract(response,
 
 
 def _replies(spark, sf_dir):
-    return spread(view(spark, sf_dir, "v_vlm"), "frame_id")
+    return view(spark, sf_dir, "v_vlm")
 
 
 @query(

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presence.functions import numeric
 from presence.functions.numeric import round_dp
-from presence.operators import pixels, spectral
+from presence.operators import measures, pixels
+from presence.plans import pad
 from presence.workload.base import query
 from presence.workload.views import IMAGE_WIDTH as W
 from presence.workload.views import oracle, rnd, text_images
 
 
+def _score(name: str):
+    return measures.texture_scores()[name]
+
+
 def _var(c: str) -> str:
     """Variance from exact integer sums, as the operators form it."""
     n = "count(*)"
@@ -38,9 +42,8 @@ _PX = f"""near as (select *, lag(v, {W + 1}) over o as p00, lag(v, {W}) over o a
     ),
 )
 def _(spark, sf_dir):
-    return pixels.lbp(text_images(spark, sf_dir)).withColumn(
-        "lbp_entropy", round_dp(F.col("lbp_entropy"), 6)
-    )
+    out = measures.measure(text_images(spark, sf_dir), "lbp")
+    return out.select("image_id", round_dp(F.col("lbp_entropy"), 6).alias("lbp_entropy"), _score("lbp").alias("lbp"))
 
 
 def _bgr(spark, sf_dir):
@@ -68,7 +71,7 @@ def _bgr(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    out = pixels.color(_bgr(spark, sf_dir))
+    out = measures.measure(_bgr(spark, sf_dir), "color").withColumn("color", _score("color"))
     return out.withColumns({c: round_dp(F.col(c), 6) for c in ("cr_std", "cb_std")})
 
 
@@ -87,7 +90,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    out = pixels.sharpness(text_images(spark, sf_dir))
+    out = measures.measure(text_images(spark, sf_dir), "sharpness").withColumn("sharpness", _score("sharpness"))
     return out.withColumn("sharpness_cv", round_dp(F.col("sharpness_cv"), 6))
 
 
@@ -108,7 +111,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    out = pixels.jpeg(text_images(spark, sf_dir))
+    out = measures.measure(text_images(spark, sf_dir), "jpeg").withColumn("jpeg", _score("jpeg"))
     return out.withColumn("jpeg_ratio", round_dp(F.col("jpeg_ratio"), 6))
 
 
@@ -137,7 +140,7 @@ _REFLECTED = f"""{_PX}, side as (select image_id, h, w, v, y, x,
     ),
 )
 def _(spark, sf_dir):
-    out = pixels.detail_stats(text_images(spark, sf_dir))
+    out = measures.measure(text_images(spark, sf_dir), "detail")
     return out.withColumns(
         {
             "lap": round_dp(F.col("lap"), 4),
@@ -155,9 +158,9 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    out = pixels.qc_metrics(text_images(spark, sf_dir))
-    return out.withColumns(
-        {"sharpness": round_dp(F.col("sharpness"), 4), "brightness": round_dp(F.col("brightness"), 6)}
+    out = measures.measure(text_images(spark, sf_dir), "detail")
+    return out.select(
+        "image_id", round_dp(F.col("lap"), 4).alias("sharpness"), round_dp(F.col("brightness"), 6).alias("brightness")
     )
 
 
@@ -185,35 +188,36 @@ def _(spark, sf_dir):
     )
 
 
+# The signals' own views: texture at 160 pixels, detail at 224, resampled in the
+# same pass that measures them.
+def textured(spark, sf_dir, *parts):
+    return measures.measure(text_images(spark, sf_dir), *parts, size=pad.SIGNAL_SIZE)
+
+
+def detailed(spark, sf_dir):
+    images = text_images(spark, sf_dir).withColumn("face_px", F.col("h").cast("long") * F.col("w"))
+    rows = measures.measure(images, *measures.DETAIL, size=pad.DETAIL_SIZE, keep=("face_px",))
+    return rows.withColumns(measures.recapture(F.col("face_px")))
+
+
 @query("fft")
 def _(spark, sf_dir):
-    out = spectral.fft(text_images(spark, sf_dir))
+    out = textured(spark, sf_dir, "fft").withColumn("fft", _score("fft"))
     return out.withColumn("peak_ratio", round_dp(F.col("peak_ratio"), 6))
 
 
 @query("moire")
 def _(spark, sf_dir):
-    out = spectral.moire(text_images(spark, sf_dir))
+    out = textured(spark, sf_dir, "moire").withColumn("moire", _score("moire"))
     return out.withColumns({c: round_dp(F.col(c), 6) for c in ("p95", "density")})
 
 
-def recapture_parts(images):
-    """Recapture components of images that carry ``face_px``."""
-    parts = pixels.detail_stats(images).join(spectral.hf(images), "image_id")
-    parts = parts.join(images.select("image_id", "face_px"), "image_id")
-    scored = numeric.recapture_score(*[F.col(c) for c in ("lap", "teng", "resid", "hf", "face_px")])
-    return parts.withColumns(scored)
-
-
 @query("recapture_components")
 def _(spark, sf_dir):
-    images = text_images(spark, sf_dir).withColumn("face_px", F.col("h") * F.col("w"))
-    out = recapture_parts(images)
     cols = ("lap", "teng", "resid", "hf", "s_lap", "s_teng", "s_resid", "s_hf", "s_res", "detail", "recapture")
-    return out.select("image_id", "face_px", *[round_dp(F.col(c), 4).alias(c) for c in cols])
+    return detailed(spark, sf_dir).select("image_id", "face_px", *[round_dp(F.col(c), 4).alias(c) for c in cols])
 
 
 @query("recapture")
 def _(spark, sf_dir):
-    images = text_images(spark, sf_dir).withColumn("face_px", F.col("h") * F.col("w"))
-    return recapture_parts(images).select("image_id", round_dp(F.col("recapture"), 4).alias("recapture"))
+    return detailed(spark, sf_dir).select("image_id", round_dp(F.col("recapture"), 4).alias("recapture"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presence.functions.numeric import round_dp
-from presence.operators import gates, pixels, scores, scoring, spectral
+from presence.operators import gates, scores, scoring, spectral
 from presence.plans import pad
 from presence.session import shared_folder
 from presence.sources import scan, sinks
@@ -15,7 +15,7 @@ from presence.workload.attempts import SESSION_VERDICT, judged_attempts
 from presence.operators import sessions
 from presence.workload.base import query
 from presence.workload.decisions import LABELLED, judged
-from presence.workload.views import oracle, rnd, table, text_images, view
+from presence.workload.views import dealt, oracle, rnd, table, text_images, view
 
 # -- request files ----------------------------------------------------------
 
@@ -391,7 +391,7 @@ def packed_images(spark, sf_dir) -> DataFrame:
     """Documents as packed three-channel images: the text's bytes, repeated
     only to fill 192-byte lines and at least 48 of them."""
     docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
-    docs = pixels.spread(docs.select(F.col("doc_id").alias("image_id"), "text"))
+    docs = dealt(spark, docs.select(F.col("doc_id").alias("image_id"), "text"), "image_id")
     n = F.octet_length("text")
     h = F.greatest(F.lit(48), F.ceil(n / 192)).cast("int")
     times = F.ceil(h * 192 / n).cast("int")

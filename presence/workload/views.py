@@ -11,7 +11,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presence.operators.pixels import spread
 
 VIEWS: dict[str, str] = {}
 SPARK_TEXT: dict[str, str] = {}
@@ -188,10 +187,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
 
 
+def dealt(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
+    """Compact rows dealt to the tasks that will make images of them: the
+    given tables come as one row group, and images are cut from their rows.
+    The plan is the same at every size."""
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def text_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_pixels`` as one row per image: ``image_id, h, w, gray ARRAY<INT>``."""
     docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
-    docs = spread(docs.select(F.col("doc_id").alias("image_id"), "text"))
+    docs = dealt(spark, docs.select(F.col("doc_id").alias("image_id"), "text"), "image_id")
     n = F.length("text")
     return (
         docs.select(
