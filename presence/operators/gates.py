@@ -197,16 +197,23 @@ def qc_reason(s: Settings = DEFAULTS) -> Column:
 
 
 def frame_qc(df: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Quality verdict plus the metrics as published (1 decimal)."""
+    """Quality verdict plus the metrics as published: none without a face,
+    the head count with several, else the face edge, and what was measured on
+    an edge that is long enough (1 decimal; detection score 3)."""
     reason = qc_reason(s)
+    single = F.col("face_detected") & (F.col("n_faces") <= 1)
+    measured = single & (F.col("face_edge") >= s.min_face_edge)
+    more = {"det_score": ("det_score", 3), "pose_yaw": ("yaw", 1), "pose_pitch": ("pitch", 1)}
     return df.withColumns(
         {
             "qc_reason": reason,
             "qc_valid": reason.isNull(),
             "qc_metrics": F.struct(
-                round_dp(F.col("face_edge"), 1).alias("face_edge_px"),
-                round_dp(F.col("sharpness"), 1).alias("sharpness"),
-                round_dp(F.col("brightness"), 1).alias("brightness"),
+                F.when(F.col("face_detected") & (F.col("n_faces") > 1), F.col("n_faces")).alias("n_faces_detected"),
+                F.when(single, round_dp(F.col("face_edge"), 1)).alias("face_edge_px"),
+                F.when(measured, round_dp(F.col("sharpness"), 1)).alias("sharpness"),
+                F.when(measured, round_dp(F.col("brightness"), 1)).alias("brightness"),
+                *[F.when(measured, round_dp(F.col(c), d)).alias(n) for n, (c, d) in more.items() if c in df.columns],
             ),
         }
     )

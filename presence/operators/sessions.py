@@ -132,6 +132,10 @@ FRAME_FIELDS = (
     "sharpness",
     "embedding",
     "pad_label",
+    "pad_score",
+    "qc_metrics",
+    "fault",
+    "took_ms",
 )
 
 
@@ -333,6 +337,15 @@ _SPOOF_REASONS = (
 )
 
 
+def fault_reason(frames: str = "frames", s: Settings = DEFAULTS) -> Column:
+    """Why an attempt could not be judged: its frames took longer than the
+    budget together, or one of them failed for a reason of the service."""
+    took = F.aggregate(F.col(f"{frames}.took_ms"), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    return F.when(took > s.session_budget_ms, F.lit("TIMEOUT")).when(
+        F.exists(frames, lambda f: f["fault"].isNotNull()), F.lit("INTERNAL_ERROR")
+    )
+
+
 def session_verdict(
     attempts: DataFrame,
     frames: DataFrame,
@@ -363,6 +376,40 @@ def session_verdict(
             .agg(F.bool_or(F.col("pad_label") == "spoof").alias("_passive"))
         )
         layered = layered.join(hits, "attempt_id", "left")
+    return decide(layered, s)
+
+
+def judge_frames(attempts: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Verdict per attempt that carries its own sorted ``frames`` with every
+    layer's outcome on them, faults included, beside the columns that
+    ``bind_correlation`` leaves. Adds ``frame_signals``: each frame's quality
+    reason and metrics, document ratio, and the passive label and score where
+    that layer was reached."""
+    layered = session_layers(attempts, s)
+    early = F.coalesce(F.col("session_error"), fault_reason(s=s), _early_reason(s))
+    layered = layered.withColumn("_early", early).withColumn("_passive", passive_spoof(F.col("_valid")))
+    layered = layered.withColumn("_faulty", F.col("_early").isin("TIMEOUT", "INTERNAL_ERROR"))
+    for c in ("n_valid", "failed", "document_ratios", "missing_steps", "pairwise"):
+        layered = layered.withColumn(c, F.when(~F.coalesce("_faulty", F.lit(False)), F.col(c)))
+    judged = F.col("session_error").isNull() & ~F.coalesce("_faulty", F.lit(False)) & F.col("shape_reject").isNull()
+    signals = F.transform(
+        "frames",
+        lambda f: F.struct(
+            f["seq"].alias("seq"),
+            f["qc_reason"].isNull().alias("valid"),
+            f["qc_reason"].alias("reason"),
+            f["qc_metrics"].alias("metrics"),
+            F.when(f["is_document"], round_dp(f["area_ratio"], 4)).alias("document_ratio"),
+            F.when(F.col("_early").isNull() & f["qc_reason"].isNull(), f["pad_label"]).alias("label"),
+            F.when(F.col("_early").isNull() & f["qc_reason"].isNull(), round_dp(f["pad_score"], 4)).alias("score"),
+        ),
+    )
+    return decide(layered.withColumn("frame_signals", F.when(judged, signals)), s, "frame_signals")
+
+
+def decide(layered: DataFrame, s: Settings = DEFAULTS, *more: str) -> DataFrame:
+    """Reason, verdict and published columns of attempts whose layers are
+    known (``_early`` and ``_passive``)."""
     reason = F.coalesce(
         F.col("_early"),
         F.when(F.coalesce(F.col("_passive"), F.lit(False)), F.lit("PASSIVE_PAD_SPOOF")),
@@ -396,4 +443,5 @@ def session_verdict(
         "document_ratios",
         "missing_steps",
         "pairwise",
+        *more,
     )

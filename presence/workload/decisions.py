@@ -251,7 +251,9 @@ def _qc_frames(spark, sf_dir):
     "frame_qc",
     oracle(
         f"""select frame_id, {_QC_SQL} as qc_reason, {_QC_SQL} is null as qc_valid,
-        {rnd('sharpness', 1)} as sharpness, {rnd('brightness', 1)} as brightness from v_faces""",
+        case when face_detected and n_faces > 1 then n_faces end as n_faces_detected,
+        case when face_detected and n_faces <= 1 and least(w, h) >= 60 then {rnd('sharpness', 1)} end as sharpness,
+        case when face_detected and n_faces <= 1 and least(w, h) >= 60 then {rnd('brightness', 1)} end as brightness from v_faces""",
         "v_faces",
     ),
 )
@@ -260,6 +262,7 @@ def _(spark, sf_dir):
         "frame_id",
         "qc_reason",
         "qc_valid",
+        F.col("qc_metrics.n_faces_detected").alias("n_faces_detected"),
         F.col("qc_metrics.sharpness").alias("sharpness"),
         F.col("qc_metrics.brightness").alias("brightness"),
     )
