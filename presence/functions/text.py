@@ -136,6 +136,6 @@ def challenge_steps(session_id: Column, pool: str, count: int, random: bool = Fa
     if random:
         return F.slice(F.shuffle(F.array(*[F.lit(s) for s in steps])), 1, k)
     keyed = F.array(
-        *[F.struct(F.xxhash64(session_id, F.lit(s)).alias("k"), F.lit(s).alias("s")) for s in steps]
+        *[F.struct(F.sha2(F.concat_ws("|", session_id, F.lit(s)).cast("binary"), 256).alias("k"), F.lit(s).alias("s")) for s in steps]
     )
     return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda e: e["s"])

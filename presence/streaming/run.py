@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def start(
@@ -18,12 +19,18 @@ def start(
     each_batch: Callable[[DataFrame, int], None] | None = None,
     available_now: bool = True,
     interval: str = "10 seconds",
+    idle_batches: bool = True,
 ) -> StreamingQuery:
     """Start a stream into ``folder``/out (or a batch function) with its
-    checkpoint beside it. The state store keeps state off the JVM heap."""
+    checkpoint beside it. The state store keeps state off the JVM heap.
+    Event-time streams need a batch without input to close their last windows;
+    one whose state expires by the clock would ask for them for ever, so it
+    ends with its input (``idle_batches`` false)."""
     spark = stream.sparkSession
-    before = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKSDB)
+    settings = {STATE_STORE: ROCKSDB, IDLE: str(idle_batches).lower()}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
@@ -31,10 +38,11 @@ def start(
             return writer.foreachBatch(each_batch).start()
         return writer.format("parquet").option("path", f"{folder}/out").start()
     finally:
-        if before is None:
-            spark.conf.unset(STATE_STORE)
-        else:
-            spark.conf.set(STATE_STORE, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def drain(stream: DataFrame, folder: str, **kwargs) -> DataFrame:

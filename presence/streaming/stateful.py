@@ -75,15 +75,18 @@ def rate_limit_stream(
 
 class SessionProcessor(StatefulProcessor):
     """One challenge session: created, used at most once, forgotten after its
-    retention. Creation sorts before use at the same instant."""
+    retention. Creation sorts before use at the same instant. With ``timed``
+    false the state expires by the clock, and no input counts as late."""
 
-    def __init__(self, s: Settings) -> None:
+    def __init__(self, s: Settings, timed: bool = True) -> None:
         self.ttl = int(s.session_ttl_s * MICROS)
         self.retention = int(s.session_retention_s * MICROS)
+        self.timed = timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.session = handle.getValueState("session", "created long, owner string, used boolean")
+        kept_ms = None if self.timed else self.retention // 1000 + 1
+        self.session = handle.getValueState("session", "created long, owner string, used boolean", kept_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _gather(rows, ["us", "is_use", "attempt_id"])
@@ -112,7 +115,7 @@ class SessionProcessor(StatefulProcessor):
         if created is not None:
             self.session.update((created, owner, used))
             forget_ms = (created + self.retention) // 1000 + 1
-            if forget_ms > timerValues.getCurrentWatermarkInMs():
+            if self.timed and forget_ms > timerValues.getCurrentWatermarkInMs():
                 _rearm(self.handle, forget_ms)
         if not ids:
             return
@@ -135,20 +138,34 @@ class SessionProcessor(StatefulProcessor):
 SESSION_EVENT = ("session_id", "ts", "is_use", "attempt_id", "correlation_id")
 
 
+def _session_rows(events: DataFrame) -> DataFrame:
+    if "shape_reject" in events.columns:
+        events = events.where(F.col("shape_reject").isNull())
+    return events.select(*SESSION_EVENT).withColumns(
+        {"us": F.unix_micros("ts"), "attempt_id": F.coalesce("attempt_id", F.lit(-1))}
+    )
+
+
+ANSWER = "session_id long, attempt_id long, session_error string"
+
+
 def session_state(events: DataFrame, delay: str, s: Settings = DEFAULTS) -> DataFrame:
-    """Outcome of every use event in a stream of creations and uses.
+    """Outcome of every use event in a stream of creations and uses, state
+    forgotten by event time; input behind the watermark is dropped.
 
     ``events`` carry ``SESSION_EVENT``; creations have a NULL attempt id. Uses
     with a ``shape_reject`` (where that column exists) never reach the state.
     """
-    if "shape_reject" in events.columns:
-        events = events.where(F.col("shape_reject").isNull())
-    keyed = (
-        events.select(*SESSION_EVENT)
-        .withColumns({"us": F.unix_micros("ts"), "attempt_id": F.coalesce("attempt_id", F.lit(-1))})
-        .withWatermark("ts", delay)
-        .groupBy("session_id")
-    )
-    return keyed.transformWithStateInPandas(
-        SessionProcessor(s), "session_id long, attempt_id long, session_error string", "append", "eventTime"
-    )
+    keyed = _session_rows(events).withWatermark("ts", delay).groupBy("session_id")
+    return keyed.transformWithStateInPandas(SessionProcessor(s), ANSWER, "append", "eventTime")
+
+
+def session_answers(events: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """``session_state`` for callers that wait for an answer: every use gets
+    one row with its reason, however late it arrives. Uses are settled in the
+    order of arrival (micro-batches, then event time inside one); their age is
+    the event's own, so a use past its session's life is EXPIRED, past its
+    retention, or of a session not yet seen, NOT_FOUND. State lives for the
+    retention by the clock after its last change."""
+    keyed = _session_rows(events).groupBy("session_id")
+    return keyed.transformWithStateInPandas(SessionProcessor(s, False), ANSWER, "append", "processingTime")

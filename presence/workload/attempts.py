@@ -79,7 +79,8 @@ def _(spark, sf_dir):
     "issue_challenges",
     oracle(
         """select request_id, sha256(concat('c', cast(request_id as string), '|', cast(request_id as string), '|',
-          cast(epoch_us(ts) as string))) as session_id, 2 as n_steps, 4 as min_frames, 6 as max_frames, 90 as valid_s from v_access""",
+          cast(epoch_us(ts) as string))) as session_id, case when sha256(concat(session_id, '|TURN_LEFT')) < sha256(concat(session_id, '|TURN_RIGHT'))
+          then ['TURN_LEFT', 'TURN_RIGHT'] else ['TURN_RIGHT', 'TURN_LEFT'] end as steps, 4 as min_frames, 6 as max_frames, 90 as valid_s from v_access""",
         "v_access",
     ),
 )
@@ -94,7 +95,7 @@ def _(spark, sf_dir):
     return issued.select(
         F.col("transaction_ref").cast("long").alias("request_id"),
         "session_id",
-        F.size(F.array_distinct("steps")).alias("n_steps"),
+        "steps",
         "min_frames",
         "max_frames",
         (F.unix_seconds("expires_at") - F.unix_seconds("created_at")).alias("valid_s"),

@@ -9,10 +9,10 @@ from presence.operators import gates, scores
 from presence.session import shared_folder
 from presence.sources import scan
 from presence.streaming import run, stateful, stateless
-from presence.workload.attempts import _LOOKED, LONG_TTL, SLOW, limit_sql
+from presence.workload.attempts import _LOOKED, KEPT_US, LONG_TTL, SLOW, TTL_US, limit_sql
 from presence.workload.base import query
 from presence.workload.decisions import FUSED
-from presence.workload.views import SPARK_TEXT, VIEWS, oracle, rnd
+from presence.workload.views import SPARK_TEXT, VIEWS, oracle, rnd, table
 
 MONTH = "30 days"
 
@@ -70,22 +70,43 @@ def _(spark, sf_dir):
     return run.drain(out, shared_folder(spark, "sessions"))
 
 
+FILES = 4  # per arrival
+
+
+def arriving(spark, sf_dir) -> DataFrame:
+    """Session events as a file stream in four arrivals: the month by thirds,
+    then uses (one in nine) and creations (one in seventeen) that were held up
+    until everything else had come."""
+    folder = shared_folder(spark, "arrivals")
+    key = F.col("event_id")
+    late = (key % 9 == 0) & (F.col("event_type") == "purchase") | (key % 17 == 3) & (F.col("event_type") == "signup")
+    events = table(spark, sf_dir, "events")
+    arrival = F.when(late, 3).otherwise(F.least(F.lit(2), F.floor((F.dayofmonth("ts") - 1) / 10)))
+    for k in range(4):
+        events.where(arrival == k).repartition(FILES).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
+
+
+_ARRIVED = f"""seen as (select *, case when (event_id % 9 = 0 and event_type = 'purchase') or (event_id % 17 = 3 and event_type = 'signup') then 3
+   else least(2, (day(ts) - 1) // 10) end as arrival from events),
+ made as (select user_id as session_id, arg_min(ts, (arrival, ts)) as created_at, min(arrival) as known_from from seen where event_type = 'signup' group by user_id),
+ used as (select event_id as attempt_id, user_id + case when event_id % 19 = 0 then 100000 else 0 end as session_id, ts, arrival,
+   concat('c', cast(user_id + case when event_id % 13 = 0 then 1 else 0 end as string)) as caller from seen where event_type = 'purchase'),
+ aged as (select u.*, epoch_us(u.ts) - epoch_us(m.created_at) as age, coalesce(u.arrival >= m.known_from and epoch_us(u.ts) - epoch_us(m.created_at) between 0 and {KEPT_US}, false) as found
+   from used u left join made m on m.session_id = u.session_id),
+ turns as (select *, row_number() over (partition by session_id order by arrival, ts, attempt_id) as turn from aged),
+ won as (select session_id, min(turn) as won from turns where found and age <= {TTL_US} group by session_id)"""
+
+
 @query(
     "late_data",
-    oracle(
-        """select coalesce(session_error, 'OK') as outcome, count(*) as n from consumed group by 1""",
-        "v_sessions",
-        "v_attempts",
-        extra=_LOOKED,
-    ),
+    f"""with {_ARRIVED} select attempt_id, t.session_id, case when not found then 'SESSION_NOT_FOUND' when turn > won then 'SESSION_ALREADY_USED'
+     when age > {TTL_US} then 'SESSION_EXPIRED' when caller <> concat('c', cast(t.session_id as string)) then 'SESSION_CORRELATION_MISMATCH' end as session_error
+     from turns t left join won w on w.session_id = t.session_id""",
 )
 def _(spark, sf_dir):
-    out = stateful.session_state(session_events(stream(spark, sf_dir)), MONTH, LONG_TTL)
-    kind = F.when(F.col("session_error") == "SESSION_CORRELATION_MISMATCH", F.lit("OK")).otherwise(
-        F.coalesce("session_error", F.lit("OK"))
-    )
-    drained = run.drain(out, shared_folder(spark, "late"))
-    return drained.groupBy(kind.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    out = stateful.session_answers(session_events(arriving(spark, sf_dir)), LONG_TTL)
+    return run.drain(out, shared_folder(spark, "late"), idle_batches=False)
 
 
 @query(

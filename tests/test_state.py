@@ -245,3 +245,29 @@ def test_replayed_batch_replaces_itself(spark):
     write(df, 0)
     assert spark.read.parquet(f"{folder}/ok").count() == 1
     assert spark.read.parquet(f"{folder}/no").count() == 1
+
+
+def test_late_uses_are_answered(spark, tmp_path):
+    """Three arrivals; the last holds uses far behind the watermark."""
+    import datetime
+
+    from presence.streaming import run, stateful
+
+    at = lambda m: datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(minutes=m)
+    fields = "session_id long, ts timestamp, is_use boolean, attempt_id long, correlation_id string"
+    arrivals = [
+        [(1, at(0), False, None, "a"), (2, at(0), False, None, "b"), (1, at(1), True, 10, "a")],
+        [(3, at(600), False, None, "c"), (3, at(601), True, 11, "c")],
+        [(1, at(1), True, 12, "a"), (2, at(1), True, 13, "b"), (2, at(2), True, 14, "b"), (9, at(1), True, 15, "x"), (3, at(603), True, 16, "c")],
+    ]
+    folder = str(tmp_path / "in")
+    for rows in arrivals:
+        spark.createDataFrame(rows, fields).coalesce(1).write.mode("append").parquet(folder)
+    events = spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = run.drain(stateful.session_answers(events), str(tmp_path / "answers"), idle_batches=False)
+    got = {r.attempt_id: r.session_error for r in out.collect()}
+    assert got == {
+        10: None, 11: None, 12: "SESSION_ALREADY_USED", 13: None, 14: "SESSION_ALREADY_USED", 15: "SESSION_NOT_FOUND", 16: "SESSION_ALREADY_USED",
+    }
+    timed = run.drain(stateful.session_state(events, "1 minute"), str(tmp_path / "timed"))
+    assert {r.attempt_id for r in timed.collect()} == {10, 11, 16}  # what lies behind the watermark has no answer there
