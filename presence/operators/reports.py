@@ -46,26 +46,35 @@ def confusion_counts(df: DataFrame, weight: str | None = None) -> DataFrame:
 def apcer_bpcer(df: DataFrame, weight: str | None = None) -> DataFrame:
     """Attack acceptance per species and bona fide rejection.
 
-    ``species`` NULL is the overall row: pooled rates and the worst species.
+    ``overall`` marks the pooled row, whose ``species`` is NULL; rows without
+    a species have one of their own. It carries the worst rate of all species
+    and the species that has it (the first by name at a tie).
     """
     live, attack = F.col("verdict") == "live", ~F.col("bona_fide")
+    counts = ("attacks", "accepted", "bona_fide", "rejected")
     per = df.groupBy("species").agg(
         _sum_if(attack, weight).alias("attacks"),
         _sum_if(attack & live, weight).alias("accepted"),
         _sum_if(~attack, weight).alias("bona_fide"),
         _sum_if(~attack & ~live, weight).alias("rejected"),
     )
-    rates = {
-        "apcer": F.try_divide(F.col("accepted"), F.col("attacks")),
-        "bpcer": F.try_divide(F.col("rejected"), F.col("bona_fide")),
-    }
-    per = per.withColumns(rates)
-    overall = per.agg(
-        F.lit(None).cast(df.schema["species"].dataType).alias("species"),
-        *[F.sum(c).alias(c) for c in ("attacks", "accepted", "bona_fide", "rejected")],
-        F.max("apcer").alias("apcer_max"),
-    ).withColumns(rates)
-    return per.withColumn("apcer_max", F.col("apcer")).unionByName(overall)
+    # the rollup is over one row per species
+    apcer = F.try_divide(F.col("accepted"), F.col("attacks"))
+    rows = per.rollup("species").agg(
+        F.grouping_id().alias("_g"),
+        *[F.sum(c).alias(c) for c in counts],
+        F.max(apcer).alias("apcer_max"),
+        F.min(F.when(apcer.isNotNull(), F.struct((-apcer).alias("rate"), "species")))["species"].alias("_worst"),
+    )
+    return rows.select(
+        "species",
+        (F.col("_g") == 1).alias("overall"),
+        *counts,
+        "apcer_max",
+        apcer.alias("apcer"),
+        F.try_divide(F.col("rejected"), F.col("bona_fide")).alias("bpcer"),
+        F.when(F.col("_g") == 1, F.col("_worst")).alias("worst_species"),
+    )
 
 
 def signal_distribution(

@@ -150,8 +150,9 @@ ANSWER = "session_id long, attempt_id long, session_error string"
 
 
 def session_state(events: DataFrame, delay: str, s: Settings = DEFAULTS) -> DataFrame:
-    """Outcome of every use event in a stream of creations and uses, state
-    forgotten by event time; input behind the watermark is dropped.
+    """Outcome of every use event in a stream of creations and uses. A session
+    is forgotten when the watermark has passed its retention: a use that
+    arrives after that finds nothing, whatever its own time.
 
     ``events`` carry ``SESSION_EVENT``; creations have a NULL attempt id. Uses
     with a ``shape_reject`` (where that column exists) never reach the state.

@@ -52,10 +52,12 @@ _APCER = f"""{TRUTH}, per as (select species, count(*) filter (where not bona_fi
     "apcer_bpcer",
     oracle(
         f"""select species, attacks, accepted, genuine as bona_fide, rejected, {rnd('accepted * 1e0 / attacks', 6)} as apcer,
-          {rnd('rejected * 1e0 / genuine', 6)} as bpcer, {rnd('accepted * 1e0 / attacks', 6)} as apcer_max from per
+          {rnd('rejected * 1e0 / genuine', 6)} as bpcer, {rnd('accepted * 1e0 / attacks', 6)} as apcer_max,
+          false as overall, null as worst_species from per
          union all select null, cast(sum(attacks) as bigint), cast(sum(accepted) as bigint), cast(sum(genuine) as bigint),
           cast(sum(rejected) as bigint), {rnd('sum(accepted) * 1e0 / sum(attacks)', 6)}, {rnd('sum(rejected) * 1e0 / sum(genuine)', 6)},
-          {rnd('max(accepted * 1e0 / attacks)', 6)} from per""",
+          {rnd('max(accepted * 1e0 / attacks)', 6)}, true,
+          (select species from per where attacks > 0 order by accepted * 1e0 / attacks desc, species nulls first limit 1) from per""",
         *_JUDGED,
         extra=_APCER,
     ),
