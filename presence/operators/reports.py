@@ -1,13 +1,14 @@
 """Calibration, error-rate, latency and monitoring reports.
 
 Reports aggregate to small per-class or per-value tables on the map side
-first; anything ordered (percentiles, sweeps) then runs over distinct values
-or grid cells, never over raw rows. Every report takes a ``weight`` column so
+first; anything ordered (percentiles, sweeps) then runs over grid cells, and
+exact ranks inside the few cells that hold them, never over raw rows. Every report takes a ``weight`` column so
 it can also read a pre-counted table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -77,31 +78,65 @@ def apcer_bpcer(df: DataFrame, weight: str | None = None) -> DataFrame:
     )
 
 
+CELLS = 64  # per doubling
+
+
+def _cell(v: Column) -> Column:
+    """A number's place on a logarithmic grid, in the order of the numbers:
+    some thousand cells hold whatever doubles the data has."""
+    size = F.floor(F.log2(F.abs(v)) * CELLS) + 1100 * CELLS
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("long") * size)
+
+
+def order_statistics(values: DataFrame, keys: list[str], value: str, wanted: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Exact elements of each key's sorted ``value`` (not NULL or NaN), at
+    full precision: ``wanted`` maps a name to an index from 0 as a function of
+    the count. ``values`` carry a count ``n``.
+
+    Two passes: rows are counted per grid cell, which tells the cell that holds
+    each index; then only those cells are ranked, each on its own.
+    """
+    counted = values.groupBy(*keys, F.col(value).alias("_v")).agg(F.sum("n").alias("n")).withColumn("_cell", _cell(F.col("_v")))
+    cells = counted.groupBy(*keys, "_cell").agg(F.sum("n").alias("n"))
+    along = Window.partitionBy(*keys).orderBy("_cell")
+    cells = cells.withColumns({"_upto": F.sum("n").over(along), "_total": F.sum("n").over(Window.partitionBy(*keys))})
+    places = F.array(*[F.struct(F.lit(name).alias("name"), at(F.col("_total")).cast("long").alias("at")) for name, at in wanted.items()])
+    held = (
+        cells.withColumn("_w", F.explode(places))
+        .where((F.col("_w.at") < F.col("_upto")) & (F.col("_w.at") >= F.col("_upto") - F.col("n")))
+        .groupBy(*keys, "_cell")
+        .agg(F.collect_list(F.struct(F.col("_w.name").alias("name"), (F.col("_w.at") - F.col("_upto") + F.col("n")).alias("at"))).alias("_held"))
+    )
+    inside = Window.partitionBy(*keys, "_cell").orderBy("_v")
+    on = F.lit(True)
+    for k in (*keys, "_cell"):
+        on = on & F.col(f"c.{k}").eqNullSafe(F.col(f"h.{k}"))
+    ranked = counted.alias("c").join(held.alias("h"), on).select("c.*", "_held").withColumn("_upto", F.sum("n").over(inside))
+    hit = ranked.withColumn("_w", F.explode("_held")).where(F.col("_w.at") < F.col("_upto"))
+    element = hit.groupBy(*keys, F.col("_w.name").alias("_name")).agg(F.min("_v").alias("_v"))
+    return element.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in wanted])
+
+
 def signal_distribution(
     df: DataFrame, signals: list[str], by: str = "bona_fide", weight: str | None = None
 ) -> DataFrame:
-    """n, min, median, max and mean of each signal per class.
-
-    Scores carry 4 decimals, so the exact median keeps at most ten thousand
-    distinct values per class and signal.
-    """
-    aggs = []
-    for name in signals:
-        c, n = F.col(name), F.when(F.col(name).isNotNull(), _weight(weight))
-        aggs.append(
-            F.struct(
-                F.coalesce(F.sum(n), F.lit(0)).alias("n"),
-                F.min(c).alias("min"),
-                F.percentile(c, F.lit(0.5), _weight(weight)).alias("median"),
-                F.max(c).alias("max"),
-                F.try_divide(F.sum(c * n), F.sum(n)).alias("mean"),
-            ).alias(name)
-        )
-    wide = df.groupBy(by).agg(*aggs)
-    long = F.explode(
-        F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("d")) for s in signals])
+    """n, min, exact median, max and mean of each signal per class; a signal
+    that a class never has keeps its row."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("v")) for s in signals]))
+    rows = df.select(by, _weight(weight).alias("w"), pairs.alias("e")).select(by, "e.signal", "e.v", F.when(F.col("e.v").isNotNull(), F.col("w")).alias("n"))
+    out = rows.groupBy(by, "signal").agg(
+        F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n"),
+        F.min("v").alias("min"),
+        F.max("v").alias("max"),
+        F.try_divide(F.sum(F.col("v") * F.col("n")), F.sum("n")).alias("mean"),
     )
-    return wide.select(by, long.alias("e")).select(by, "e.signal", "e.d.*")
+    middle = order_statistics(
+        rows.where(F.col("v").isNotNull()), [by, "signal"], "v", {"_a": lambda n: F.floor((n - 1) / 2), "_b": lambda n: F.floor(n / 2)}
+    )
+    on = F.col(f"o.{by}").eqNullSafe(F.col(f"m.{by}")) & (F.col("o.signal") == F.col("m.signal"))
+    joined = out.alias("o").join(middle.alias("m"), on, "left")
+    median = (F.col("_a") + F.col("_b")) / 2
+    return joined.select(f"o.{by}", "o.signal", "o.n", "o.min", median.alias("median"), "o.max", "o.mean")
 
 
 def threshold_margin(df: DataFrame, score: str, threshold: float) -> DataFrame:
@@ -165,28 +200,34 @@ def latency_summary(df: DataFrame, by: str = "endpoint", ms: str = "processing_m
 
     ``p50, p95, p99`` are the elements at ``n // 2``, ``int(.95 n)`` and
     ``int(.99 n)`` of the sorted list; ``median`` and ``p95_low`` the second
-    convention (middle of the list, element ``int(.95 n) - 1``). Latencies
-    have one or two decimals, so ranks are taken over counted distinct values.
+    convention (middle of the list, element ``int(.95 n) - 1``).
     """
-    hist = df.where(F.col(ms).isNotNull()).groupBy(by, ms).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(by).orderBy(ms))
-    total = F.sum("n").over(Window.partitionBy(by))
-    ranked = hist.withColumns({"upto": upto, "total": total})
-
-    def element(index: Column) -> Column:
-        return F.min(F.when(F.col("upto") > index, F.col(ms)))
-
-    n = F.col("total")
-    p95_low = F.floor(n * 0.95) - 1
-    return ranked.groupBy(by).agg(
-        F.max("total").alias("n"),
-        (F.sum(F.col(ms) * F.col("n")) / F.max("total")).alias("avg_ms"),
-        element(F.floor(n / 2)).alias("p50"),
-        element(F.floor(n * 0.95)).alias("p95"),
-        element(F.floor(n * 0.99)).alias("p99"),
-        ((element(F.floor((n - 1) / 2)) + element(F.floor(n / 2))) / 2).alias("median"),
-        element(F.when(p95_low < 0, n - 1).otherwise(p95_low)).alias("p95_low"),
-        (F.max("total") * 1000.0 / F.sum(F.col(ms) * F.col("n"))).alias("per_busy_second"),
+    timed = df.where(F.col(ms).isNotNull()).select(by, F.col(ms).alias("v"), F.lit(1).cast("long").alias("n"))
+    low = lambda n: F.floor(n * 0.95) - 1
+    ranks = order_statistics(
+        timed,
+        [by],
+        "v",
+        {
+            "p50": lambda n: F.floor(n / 2),
+            "p95": lambda n: F.floor(n * 0.95),
+            "p99": lambda n: F.floor(n * 0.99),
+            "_below": lambda n: F.floor((n - 1) / 2),
+            "p95_low": lambda n: F.when(low(n) < 0, n - 1).otherwise(low(n)),
+        },
+    )
+    totals = timed.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("_sum"))
+    joined = totals.alias("t").join(ranks.alias("r"), F.col(f"t.{by}").eqNullSafe(F.col(f"r.{by}")))
+    return joined.select(
+        f"t.{by}",
+        "n",
+        (F.col("_sum") / F.col("n")).alias("avg_ms"),
+        "p50",
+        "p95",
+        "p99",
+        ((F.col("_below") + F.col("p50")) / 2).alias("median"),
+        "p95_low",
+        (F.col("n") * 1000.0 / F.col("_sum")).alias("per_busy_second"),
     )
 
 
