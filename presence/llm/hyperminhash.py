@@ -20,11 +20,11 @@ nothing. Repeated rows with one id are one document. Empty tables give no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presence.llm.components import components
@@ -51,8 +51,26 @@ _ORDER = (mix(np.arange(64 * REGISTERS, dtype=np.uint64)) % np.uint64(REGISTERS)
 
 def unique_rows(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of each row, ascending, and how many."""
-    parts = [np.unique(values[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array([len(p) for p in parts], np.int64)
+    n = len(first) - 1
+    row = np.repeat(np.arange(n), np.diff(first))
+    order = np.argsort(values)
+    row = row[order].astype(np.uint16 if n <= 1 << 16 else np.int64)  # two bytes sort in linear time
+    by_row = np.argsort(row, kind="stable")
+    values, row = values[order[by_row]], row[by_row]
+    lead = np.ones(len(values), bool)
+    lead[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
+    return values[lead], np.bincount(row[lead], minlength=n).astype(np.int64)
+
+
+def fixed_binary(rows: np.ndarray, known: np.ndarray | None = None) -> pa.Array:
+    """Rows of numbers as binary values of one length, null where not known."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    offsets = np.arange(len(rows) + 1, dtype=np.int64) * width
+    if len(rows) and offsets[-1] > np.iinfo(np.int32).max:
+        return pa.array([r.tobytes() for r in rows], pa.binary(), mask=None if known is None else ~known)
+    mask = None if known is None else pa.array(known).buffers()[1]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [mask, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(rows)])
 
 
 def registers(values: np.ndarray, counts: np.ndarray, bits: int = BUCKET_BITS) -> np.ndarray:
@@ -72,14 +90,15 @@ def registers(values: np.ndarray, counts: np.ndarray, bits: int = BUCKET_BITS) -
     out[place[lead]] = ((zeros << np.uint64(MANTISSA)) | mantissa).astype(np.uint16) + np.uint16(1)
     out = out.reshape(-1, width)
     filled = out > 0
+    r, c = np.nonzero(~filled & (counts > 0)[:, None])
     for order in _ORDER[:, :width] % width:
-        r, c = np.nonzero((out == 0) & (counts > 0)[:, None])
         if not len(r):
             break
-        take = filled[r, order[c]]
-        out[r[take], c[take]] = out[r[take], order[c[take]]]
+        source = order[c]
+        take = filled[r, source]
+        out[r[take], c[take]] = out[r[take], source[take]]
+        r, c = r[~take], c[~take]
     else:
-        r, c = np.nonzero((out == 0) & (counts > 0)[:, None])
         out[r, c] = out[r, np.argmax(filled[r], axis=1)]
     return out
 
@@ -95,15 +114,14 @@ def least_estimate(smaller: np.ndarray, threshold: float, width: int) -> np.ndar
 
 
 def _prints(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """16 bytes that stand for a whole set."""
-    out = []
+    """16 bytes that stand for a whole set; null for the empty one."""
     scrambled = mix(values ^ np.uint64(0x5851F42D4C957F2D))
-    end = np.cumsum(counts)
-    for e, n in zip(end, counts, strict=True):
-        s = slice(e - n, e)
-        pair = np.array([values[s].sum(dtype=np.uint64), scrambled[s].sum(dtype=np.uint64)], np.uint64)
-        out.append(pair.tobytes() if n else None)
-    return pa.array(out, pa.binary())
+    out = np.zeros((len(counts), 2), np.uint64)
+    some = counts > 0
+    begin = (np.cumsum(counts) - counts)[some]
+    if len(begin):
+        out[some, 0], out[some, 1] = np.add.reduceat(values, begin), np.add.reduceat(scrambled, begin)
+    return fixed_binary(out, some)
 
 
 def _ids(batch: pa.RecordBatch) -> pa.Array:
@@ -124,7 +142,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 _ids(batch),
                 pa.array(counts),
                 _prints(values, counts),
-                pa.array([r.tobytes() if n else None for r, n in zip(regs, counts, strict=True)], pa.binary()),
+                fixed_binary(regs, counts > 0),
             ],
             names=["doc_id", "n_shingles", "fp", "regs"],
         )
@@ -186,8 +204,11 @@ def _grouped(rows: DataFrame, columns: list[str], work, schema: str) -> DataFram
         out = []
         for i in range(1, len(columns)):
             col = batch.column(i).slice(s, e - s)
-            kind = col.type
-            out.append(col.to_pylist() if pa.types.is_binary(kind) or pa.types.is_list(kind) else col.to_numpy())
+            if pa.types.is_list(col.type):  # sets, one after the other, and their ends
+                ends = np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+                out.append(np.split(col.flatten().to_numpy(), ends[:-1]))
+            else:
+                out.append(col.to_pylist() if pa.types.is_binary(col.type) else col.to_numpy())
         return out
 
     def run(batches):
@@ -240,7 +261,7 @@ def _bridges(cell, group: list, percent: int) -> pa.RecordBatch:
     than there are components. Intersections are counted through the cell's
     own index of shingles."""
     labels, ids = _joined(group, 0), _joined(group, 1)
-    sets = [np.asarray(x, np.int64) for x in _joined(group, 2)]
+    sets = _joined(group, 2)
     sizes = np.array([len(x) for x in sets])
     _, where = np.unique(labels, return_inverse=True)
     root = list(range(where.max() + 1))
@@ -304,18 +325,24 @@ def _across(keys: DataFrame, labelled: DataFrame, nodes: DataFrame, sets_of: Set
     )
 
 
-def link_sets(light: DataFrame, sets_of: SetsOf, percent: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """Components of sketched sets: (n_shingles, fp, root) per distinct set,
-    root the smallest id reachable. ``light`` has id, n_shingles, fp, regs;
-    ``sets_of(wanted)`` gives id, fp, shingles for rows of id and fp."""
+def link_sets(
+    light: DataFrame, sets_of: SetsOf, percent: int, rows: int = ROWS, bands: int = BANDS, more: Sequence[Column] = ()
+) -> DataFrame:
+    """Components of sketched sets: (n_shingles, fp, root, banded) per distinct
+    set: the smallest id reachable, and whether it shares a band with another
+    set; ``more`` aggregates over its rows.
+    ``light`` has id, n_shingles, fp, regs; ``sets_of(wanted)`` gives id, fp,
+    shingles for rows of id and fp."""
     threshold = percent / 100
     nodes = stored(
         light.filter("n_shingles > 0 and id is not null")
         .groupBy("n_shingles", "fp")
-        .agg(F.min("id").alias("node"), F.first("regs").alias("regs")),
+        .agg(F.min("id").alias("node"), F.first("regs").alias("regs"), *more),
         "nodes",
     )
-    keyed = _banded(nodes, rows, bands)
+    # A set so small that one more element falls below the threshold matches
+    # its equals only, which are one node.
+    keyed = _banded(nodes.filter(f"n_shingles * {100 - percent} >= {percent}"), rows, bands)
     # Each band draws its own node to hold the others against, so a node of a
     # large group meets many of its neighbours in one round.
     drawn = F.min(F.struct(F.xxhash64("key", "node"), "node"))
@@ -332,7 +359,9 @@ def link_sets(light: DataFrame, sets_of: SetsOf, percent: int, rows: int = ROWS,
     bridges = links.join(side("b"), "b").join(side("a"), "a").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
     merged = components(bridges).select(F.col("node").alias("label"), F.col("label").alias("root"))
     roots = inner.join(merged, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
-    return nodes.join(roots, "node", "left").select("n_shingles", "fp", F.coalesce("root", "node").alias("root"))
+    kept = [c for c in nodes.columns if c not in ("node", "regs")]
+    root = F.coalesce("root", "node").alias("root")
+    return nodes.drop("regs").join(roots, "node", "left").select(*kept, root, F.col("root").isNotNull().alias("banded"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -346,7 +375,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         return shingle_sets(texts, shingle).withColumnRenamed("doc_id", "id").join(wanted, ["id", "fp"], "left_semi")
 
     classes = link_sets(light.withColumnRenamed("doc_id", "id"), sets_of, percent)
-    found = light.drop("regs").join(classes, ["n_shingles", "fp"], "left")
+    found = light.drop("regs").join(classes.drop("banded"), ["n_shingles", "fp"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return found.select(
         "doc_id",

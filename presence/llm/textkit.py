@@ -8,6 +8,7 @@ slice of its own, hashed piece by piece.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -189,6 +190,50 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FILTER_BITS = 1 << 26
+FILTER_BLOCKS = 256
+
+
+def _filter_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    mask = np.uint64(FILTER_BITS // FILTER_BLOCKS - 1)
+    block = (h >> np.uint64(48)) & np.uint64(FILTER_BLOCKS - 1)
+    return block.astype(np.int64), (h & mask).astype(np.int64), ((h >> np.uint64(20)) & mask).astype(np.int64)
+
+
+def hash_filter(hashes: DataFrame) -> np.ndarray:
+    """A filter of the well mixed 64-bit hashes in column ``h``, as packed
+    bits. Its size is fixed, so the driver and the tasks that load it hold
+    8 MiB however many hashes there are; with tens of millions of them it lets
+    more others pass, but never fewer of its own."""
+    per = FILTER_BITS // FILTER_BLOCKS
+
+    def folded(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block, a, b = _filter_places(batch.column(0).to_numpy().view(np.uint64))
+            for k in np.unique(block).tolist():
+                flags = held.setdefault(k, np.zeros(per, bool))
+                flags[a[block == k]] = flags[b[block == k]] = True
+        for k, flags in held.items():
+            bits = zlib.compress(np.packbits(flags, bitorder="little").tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([bits])], names=["k", "bits"])
+
+    # the expression repeats _filter_places: all hashes of a block meet
+    dealt = hashes.select("h").repartition(F.shiftrightunsigned("h", 48).bitwiseAND(F.lit(FILTER_BLOCKS - 1)))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in dealt.mapInArrow(folded, "k long, bits binary").collect():  # at most FILTER_BLOCKS rows
+        out[r["k"] * per // 8 : (r["k"] + 1) * per // 8] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out
+
+
+def in_filter(h: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which hashes may be among those of the filter."""
+    block, a, b = _filter_places(h)
+    base = block * (FILTER_BITS // FILTER_BLOCKS)
+    a, b = base + a, base + b
+    return (held[a >> 3] >> (a & 7) & 1 & (held[b >> 3] >> (b & 7))).astype(bool)
+
+
 def lookup(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """For each value its place in ``known`` (sorted, distinct), or -1. A
     table of the low 16 bits settles nearly all values that are not known."""
