@@ -24,17 +24,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles,
-    similarity 0.8), and of repeated rows one."""
+    similarity 0.8), and of repeated rows (same id and text) one."""
     found = hyperminhash.near_duplicates(docs)
     gone = found.filter("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    named = left.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(left.filter("doc_id is null"))
+    named = left.filter("doc_id is not null").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
+    return named.drop("__text").unionByName(left.filter("doc_id is null"))
 
 
 def duplicate_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the paragraphs and passages that another document keeps."""
-    return paragraphs.cut_spans(docs, stored(paragraphs.duplicate_spans(docs), "spans"))
+    return paragraphs.cut_spans(docs, stored(paragraphs.duplicate_spans(docs, clustered=False), "spans"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
