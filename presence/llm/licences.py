@@ -5,8 +5,9 @@ their ends. A template is the set of its word bigrams. In a text, the places
 whose bigram belongs to a template are gathered into spans (a gap ends a span
 where more words pass than the template's size bound allows); a span is
 compared with a template only if its size could reach the threshold:
-Dice >= t needs |A| between t/(2-t) |B| and (2-t)/t |B|. Overlapping finds
-keep the best template.
+Dice >= t needs |A| between t/(2-t) |B| and (2-t)/t |B|. For each place where
+a copy can begin, running counts of distinct bigrams give the best end. Of
+overlapping finds the one that holds most of its template stays.
 
 Nulls: a null text is empty; a null id is kept as null. Repeated rows are
 scanned each. An empty table gives no rows.
@@ -14,6 +15,8 @@ scanned each. An empty table gives no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -77,35 +80,63 @@ def dice(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _finds(pair: np.ndarray, at: np.ndarray, hit: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(template, first word, words, Dice) over one row's bigrams."""
+    """(template, first word, words, Dice) over one row's bigrams. Where finds
+    overlap, the one that holds most of its template's bigrams stays, so a
+    whole text is not hidden by a short form that opens it."""
     sets, _ = templates()
+    before = _before(pair)
     out = []
     for t, own in enumerate(sets):
         mine = hit[lookup(pair[hit], own) >= 0]
-        most = (2 - THRESHOLD) / THRESHOLD * len(own)
-        for span in np.split(mine, np.flatnonzero(np.diff(mine) > max(1, most - len(own))) + 1):
-            # the size bound also bounds the words between first and last
-            if len(np.unique(pair[span])) < THRESHOLD / (2 - THRESHOLD) * len(own):
+        most = int((2 - THRESHOLD) / THRESHOLD * len(own))
+        for region in np.split(mine, np.flatnonzero(np.diff(mine) > max(1, most - len(own))) + 1):
+            if len(np.unique(pair[region])) < THRESHOLD / (2 - THRESHOLD) * len(own):
                 continue
-            for a, b in _cuts(span, most):
-                score = dice(np.unique(pair[a : b + 1]), own)
-                if score >= THRESHOLD:
-                    out.append((t, int(at[a]), int(at[b] - at[a] + 2), score))
-    out.sort(key=lambda f: (-f[3], -f[2], f[1], f[0]))
-    kept: list = []
-    for f in out:
-        if all(f[1] + f[2] <= k[1] or k[1] + k[2] <= f[1] for k in kept):
+            for a, b, matched, score in _copies(region, before, len(own), most):
+                out.append((matched, score, t, int(at[a]), int(at[b] - at[a] + 2)))
+    out.sort(key=lambda f: (-f[0], -f[1], f[3], f[2]))
+    kept = _apart(out, lambda f: (f[3], f[3] + f[4] - 1))
+    return sorted(((t, start, n, score) for _, score, t, start, n in kept), key=lambda f: f[1])
+
+
+def _apart(found: list, ends: Callable[[tuple], tuple[int, int]]) -> list:
+    """Those that overlap none before them in the list."""
+    kept, taken = [], []  # taken: (first, last), in order
+    for f in found:
+        place = ends(f)
+        i = bisect_right(taken, place)
+        if (not i or taken[i - 1][1] < place[0]) and (i == len(taken) or place[1] < taken[i][0]):
+            taken.insert(i, place)
             kept.append(f)
-    return sorted(kept, key=lambda f: f[1])
-
-
-def _cuts(span: np.ndarray, most: float) -> list[tuple[int, int]]:
-    """The span, or where it is too long (copies in a row) the stretches from
-    each hit that the size bound allows."""
-    if span[-1] - span[0] + 1 <= most:
-        return [(int(span[0]), int(span[-1]))]
-    ends = np.searchsorted(span, span + most, "left") - 1
-    return [(int(a), int(span[e])) for a, e in zip(span, ends, strict=True)]
+    return kept
+
+
+def _before(pair: np.ndarray) -> np.ndarray:
+    """Where each bigram stood last before, or -1."""
+    order = np.argsort(pair, kind="stable")
+    out = np.full(len(pair), -1, np.int64)
+    same = pair[order[1:]] == pair[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _copies(region: np.ndarray, before: np.ndarray, size: int, most: int) -> list[tuple[int, int, int, float]]:
+    """(first and last bigram, template bigrams held, Dice) of the copies of
+    one template among hits that lie close: for every hit as the first, the
+    best of all hits as the last within the size bound, from running counts
+    of distinct bigrams; of overlapping ones the best."""
+    found = []
+    for i, a in enumerate(region.tolist()):
+        ends = region[i : np.searchsorted(region, a + most)]
+        new = before[a : ends[-1] + 1] < a
+        total = np.cumsum(new)[ends - a]
+        matched = np.cumsum(new[ends - a])
+        score = 2 * matched / (total + size)
+        k = len(score) - 1 - int(np.argmax(score[::-1]))  # the longest of equal ones
+        if score[k] >= THRESHOLD:
+            found.append((a, int(ends[k]), int(matched[k]), float(score[k])))
+    found.sort(key=lambda f: (-f[3], f[0] - f[1], f[0]))
+    return _apart(found, lambda f: f[:2])
 
 
 def scan(docs: DataFrame) -> DataFrame:
