@@ -150,3 +150,12 @@ f AS (SELECT *, CAST((CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, failures,
        (failures & 3) <> 0 AS base_failed, 2 AS policy, (failures & 103) = 0 AS kept FROM f
 """
+
+# bits of policy 2 and their names, as in rules()
+ABLATIONS_SQL = f"""
+SELECT CAST(bit AS INTEGER) AS bit, rule, CAST(sum(n) AS BIGINT) AS n_failed, CAST(sum(CASE WHEN bit_count(f) = 1 THEN n ELSE 0 END) AS BIGINT) AS n_only_this,
+       bit_or(f) AS any_with, bit_and(f) AS all_with
+FROM (SELECT failures & 103 AS f, count(*) AS n FROM ({SQL}) GROUP BY 1),
+     (VALUES (0, 'too_few_words'), (1, 'repeated_windows'), (2, 'symbols'), (5, 'repeated_lines'), (6, 'capitals')) r(bit, rule)
+WHERE (f >> bit) & 1 = 1 GROUP BY bit, rule
+"""

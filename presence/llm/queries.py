@@ -53,6 +53,11 @@ def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.apply_policy(ledger.ledger(_read(spark, sf_dir, "documents")), version=2)
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of op6's policy does to the whole table."""
+    return ledger.ablations(ledger.ledger(_read(spark, sf_dir, "documents")), version=2)
+
+
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), folds=3, held=1)
 
@@ -87,7 +92,7 @@ OPERATORS = (
     op11_spectrum_whitening, op12_simhash_bytes, op13_fm_collocations,
 )
 
-QUERIES = {f.__name__: f for f in OPERATORS}
+QUERIES = {f.__name__: f for f in (*OPERATORS, rule_ablations)}
 
 NEAR_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -107,4 +112,4 @@ SELECT d.doc_id, CAST(coalesce(cls.n, 0) AS BIGINT) AS n_shingles, coalesce(c.ro
 FROM d LEFT JOIN cls USING (doc_id) LEFT JOIN c ON c.node = cls.node
 """
 
-ORACLES = {"op4_hyperminhash": NEAR_SQL, "op6_rule_ledger": ledger.SQL, "op13_fm_collocations": collocations.SQL}
+ORACLES = {"op4_hyperminhash": NEAR_SQL, "op6_rule_ledger": ledger.SQL, "rule_ablations": ledger.ABLATIONS_SQL, "op13_fm_collocations": collocations.SQL}
