@@ -117,10 +117,10 @@ def windows(frame: DataFrame, id_: str, passes: np.ndarray | None) -> DataFrame:
 
 
 def _whole(code: np.ndarray) -> int:
-    value = np.array([len(code) + 1], np.uint64)
-    for x in code:
-        value = mix(value ^ x) * np.uint64(0xFF51AFD7ED558CCD)
-    return int(value[0])
+    """A hash of all words of a text, in their order."""
+    place = np.arange(1, len(code) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    total = mix(code ^ mix(place)).sum(dtype=np.uint64)
+    return int(mix(np.array([total + np.uint64(len(code))], np.uint64))[0])
 
 
 def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
