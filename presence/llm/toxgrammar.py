@@ -1,8 +1,8 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become symbols of a small alphabet (INSULT, THREAT, TARGET, NEGATION,
-REPORT, LEARNED, OTHER). LEARNED are stems, the first 3 to 6 bytes of words,
-that stand out in the toxic training rows by a likelihood ratio test. Clauses run to the next sign of punctuation or line break.
+REPORT, LEARNED, OTHER). LEARNED are whole words and stems (the first 3 to 8
+bytes) that stand out in the toxic training rows by a likelihood ratio test. Clauses run to the next sign of punctuation or line break.
 Over a clause's symbols, transducers are composed, each rewriting the stream
 of the one before: reported speech marks what follows a verb of saying,
 negation marks an insult or threat within three words, targets mark an
@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presence.llm.textkit import Words, crc_mod, hash_spans, lookup, per_slice, stored, word_hashes
+from presence.llm.textkit import Words, crc_mod, hash_spans, lookup, mix, per_slice, stored, word_hashes
 
 SAMPLE = 20_000
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, LEARNED = range(7)
 HOSTILE = (INSULT, THREAT, LEARNED)
-STEMS = (3, 4, 5, 6)
+STEMS = (3, 4, 5, 6, 8, 0)  # bytes from the word's start; 0 is the whole word
 # Least ratio statistic of a stem (about one in 10,000 by chance) and least
 # share of toxic rows among those that hold it.
 LEAST_RATIO, LEAST_SHARE = 15.0, 0.9
@@ -134,8 +134,11 @@ _BREAK[list(b".!?;:,|")] = True
 
 
 def stems(words: Words, s: np.ndarray, e: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words of at least ``length`` bytes and the hashes of their stems."""
-    long = np.flatnonzero(e - s >= length)
+    """The words of at least ``length`` bytes and the hashes of their stems;
+    length 0 gives all words, whole, with hashes apart from those of stems."""
+    long = np.flatnonzero(e - s >= max(length, 1))
+    if not length:
+        return long, mix(hash_spans(words.data, s[long], e[long]) + np.uint64(1))
     return long, hash_spans(words.data, s[long], s[long] + length)
 
 
