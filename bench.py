@@ -58,7 +58,7 @@ HEADLINE = [
     "score_model",
     "write_audit_log",
 ]
-ONCE = ["rate_limit_stream", "session_state", "pad_check"]
+ONCE = ["rate_limit_stream", "session_state", "pad_check", "pad_requests", "judge_attempts"]
 
 
 def timed(spark: SparkSession, name: str) -> float:
