@@ -39,10 +39,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from presence.llm.textkit import LOWER, column, mix, raw, slices, stored
+from presence.llm.textkit import LOWER, column, hash_filter, in_filter, mix, raw, slices, stored
 
-SHARD = 1 << 20
-FILTER_BITS = 1 << 26
+SHARD = 1 << 18
+ROWS = 1 << 16
 SALTS = 32
 LEAST, DEPTH, TOP, SHARE = 10, 3, 2000, 50
 
@@ -74,29 +74,29 @@ def _cut(col: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     sizes = np.zeros(len(starts) + 1, np.int32)
     np.cumsum(stops - starts, out=sizes[1:])
     words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(sizes), pa.py_buffer(np.ascontiguousarray(data[inside])))
-    breaks = np.searchsorted(starts, np.r_[np.flatnonzero(ends), offsets[1:]])
-    return words.dictionary_encode(), np.unique(breaks)
+    breaks = np.searchsorted(starts, np.sort(np.r_[np.flatnonzero(ends), offsets[1:]]))
+    return words.dictionary_encode(), breaks[np.r_[True, breaks[1:] != breaks[:-1]]]
 
 
 class Shard:
-    """Word numbers (1 and up; 0 is the break) and the words' hashes."""
+    """The distinct words of some pieces, their hashes and counts, and the
+    text as word numbers (1 and up) with the break 0 between pieces."""
 
     def __init__(self, parts: list[tuple[pa.DictionaryArray, np.ndarray]], seed: int):
         words = pa.chunked_array([d for d, _ in parts]).unify_dictionaries()
         self.words = words.chunk(0).dictionary
-        codes = np.concatenate([c.indices.to_numpy() for c in words.chunks]).astype(np.int64) + 1
-        at, before = [], 0
-        for d, breaks in parts:
-            at.append(breaks + before)
-            before += len(d)
-        self.n = len(codes)
-        self.counts = np.bincount(codes, minlength=len(self.words) + 1)[1:]
-        self.text = np.insert(codes, np.unique(np.concatenate([[0], *at, [len(codes)]])), 0)
+        self.codes = np.concatenate([c.indices.to_numpy() for c in words.chunks]).astype(np.int64)
+        self.counts = np.bincount(self.codes, minlength=len(self.words))
+        before = np.cumsum([0, *[len(d) for d, _ in parts]])
+        self.breaks = np.concatenate([[0], *[b + n for (_, b), n in zip(parts, before[:-1], strict=True)], before[-1:]])
         self.hash = np.array([xxhash.xxh64_intdigest(w, seed) for w in self.words.cast(pa.binary()).to_pylist()], np.uint64)
 
-    def without(self, keep: np.ndarray) -> np.ndarray:
-        """The text with breaks in place of words that are not kept."""
-        return np.where(np.r_[False, keep][self.text], self.text, 0)
+    def text(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The text of the kept words, numbered anew, with breaks in place of
+        the others; and the hashes by number."""
+        number = np.where(keep, np.cumsum(keep), 0)
+        breaks = self.breaks[np.r_[True, self.breaks[1:] != self.breaks[:-1]]]
+        return np.insert(number[self.codes], breaks, 0), np.r_[np.zeros(1, np.uint64), self.hash[keep]]
 
 
 def _shards(batches, seed: int, size: int):
@@ -117,6 +117,7 @@ def _shards(batches, seed: int, size: int):
                 if counts[lang] >= size:
                     yield lang, Shard(parts.pop(lang), seed)
                     counts[lang] = 0
+                    pa.default_memory_pool().release_unused()  # workers share an executor's memory
     for lang, held in parts.items():
         if counts[lang]:
             yield lang, Shard(held, seed)
@@ -128,23 +129,30 @@ def _shards(batches, seed: int, size: int):
 class FMIndex:
     """A depth-limited FM-index of a text of numbers that starts and ends with
     the break 0: suffixes in the order of their first ``depth`` symbols, read
-    as a circle, with the symbol before each and the LF order."""
+    as a circle, with the symbol before each and the LF order. Phrases of up
+    to ``depth`` symbols have intervals; extensions count one more."""
 
     def __init__(self, text: np.ndarray, depth: int):
         self.size, self.text = len(text), text
-        width = int(text.max(initial=0)).bit_length()
-        order = np.arange(len(text))
-        # radix passes, the last symbols first, as many symbols a pass as fit
-        per = max(1, 62 // max(width, 1))
-        for hi in range(depth, 0, -per):
-            lo = max(0, hi - per)
-            key = np.zeros(len(text), np.int64)
-            for j in range(lo, hi):
+        width, self.bits = int(text.max(initial=0)).bit_length(), len(text).bit_length()
+        if depth * width + self.bits <= 63:
+            key = text
+            for j in range(1, depth):
                 key = (key << width) | np.roll(text, -j)
-            order = order[np.argsort(key[order], kind="stable")]
-        self.suffix = order
-        self.bwt = text[order - 1]
-        self.by_symbol = np.argsort(self.bwt, kind="stable")  # place in F -> place in the transform
+            self.suffix = self._ordered(key)
+        else:  # passes from the last symbols to the first
+            self.suffix, per = np.arange(len(text)), max(1, 62 // max(width, 1))
+            for hi in range(depth, 0, -per):
+                key = np.zeros(len(text), np.int64)
+                for j in range(max(0, hi - per), hi):
+                    key = (key << width) | np.roll(text, -j)
+                self.suffix = self.suffix[np.argsort(key[self.suffix], kind="stable")]
+        self.bwt = text[self.suffix - 1]
+        self.by_symbol = self._ordered(self.bwt)  # place in F -> place in the transform
+
+    def _ordered(self, key: np.ndarray) -> np.ndarray:
+        """Stable order of small keys: sorted together with their places."""
+        return np.sort((key << self.bits) | np.arange(self.size)) & ((1 << self.bits) - 1)
 
     def level(self) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the intervals of single symbols."""
@@ -173,7 +181,7 @@ def _step(index: FMIndex, starts: np.ndarray, other: np.ndarray, sizes: np.ndarr
     order = np.argsort(starts)
     source, symbol, lo, hi = index.extended(starts[order], (starts + sizes)[order])
     source, size = order[source], hi - lo
-    by = np.lexsort((symbol, source))
+    by = np.argsort(source * (int(symbol.max(initial=0)) + 1) + symbol)  # all differ
     before = np.cumsum(size[by]) - size[by]
     lead = np.flatnonzero(np.r_[True, source[by][1:] != source[by][:-1]]) if len(by) else by
     moved = np.empty(len(by), np.int64)
@@ -185,7 +193,7 @@ def phrases(text: np.ndarray, depth: int, allowed):
     """Yields (words (rows, level), counts) of the phrases without a break, of
     2 to ``depth`` symbols, growing to the left and to the right in turn.
     ``allowed(words)`` says which are handed on and grow."""
-    forward, backward = FMIndex(text, depth), FMIndex(text[::-1].copy(), depth)
+    forward, backward = FMIndex(text, max(1, depth - 1)), FMIndex(text[::-1].copy(), max(1, depth - 1))
     starts, ends = forward.level()
     words = text[forward.suffix[starts]][:, None]
     some = words[:, 0] > 0
@@ -215,6 +223,16 @@ def _binary(h: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(offsets), pa.py_buffer(h.view(np.uint8))])
 
 
+def _rows(lang: str, h: np.ndarray, counts: np.ndarray, words: pa.Array | None = None):
+    """Batches of at most ROWS grams of a shard."""
+    for k in range(0, len(h), ROWS):
+        part = slice(k, k + ROWS)
+        columns = {"lang": pa.repeat(lang, len(h[part])), "gram": _binary(h[part]), "f": pa.array(counts[part])}
+        if words is not None:
+            columns["word"] = words[part].cast(pa.string())
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
@@ -225,10 +243,7 @@ def word_counts(docs: DataFrame, seed: int, shard: int) -> DataFrame:
 
     def run(batches):
         for lang, s in _shards(batches, seed, shard):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(s.words)), _binary(s.hash[:, None]), pa.array(s.counts), s.words.cast(pa.string())],
-                names=["lang", "gram", "f", "word"],
-            )
+            yield from _rows(lang, s.hash[:, None], s.counts, s.words)
 
     counted = _texts(docs).mapInArrow(run, "lang string, gram binary, f long, word string")
     return counted.groupBy("lang", "gram").agg(F.sum("f").alias("f"), F.min("word").alias("word"), F.max("word").alias("other"))
@@ -238,11 +253,6 @@ def _lang_hash(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(lang.encode()))
 
 
-def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(bits - 1)
-    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
-
-
 def _gram_hash(lang: str, h: np.ndarray) -> np.ndarray:
     out = np.full(len(h), _lang_hash(lang))
     for j in range(h.shape[1]):
@@ -250,42 +260,17 @@ def _gram_hash(lang: str, h: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def known_filter(grams: DataFrame, bits: int) -> np.ndarray:
-    """A filter of ``bits`` bits (a power of two) of the grams, as bytes: what
-    reaches the driver is bounded by it, however many grams there are."""
-    blocks = 1 << 8
-    per = bits // blocks
+def known_filter(grams: DataFrame) -> np.ndarray:
+    """A fixed-size filter of the grams' hashes."""
 
     def hashed(batches):
         for batch in batches:
             for lang in batch.column(0).unique().to_pylist():
                 own = batch.filter(pc.equal(batch.column(0), lang)).column(1)
-                if not len(own):
-                    continue
                 h = _gram_hash(lang, np.frombuffer(b"".join(own.to_pylist()), np.uint64).reshape(len(own), -1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(h, bits)))], names=["p"])
-
-    def folded(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            p = batch.column(0).to_numpy()
-            for block in np.unique(p // per).tolist():
-                flags = held.setdefault(block, np.zeros(per, bool))
-                flags[p[p // per == block] % per] = True
-        for block, flags in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.packbits(flags, bitorder="little").tobytes()])], names=["block", "b"])
-
-    places = grams.select("lang", "gram").mapInArrow(hashed, "p long")
-    blocked = places.repartition(F.expr(f"p div {per}")).mapInArrow(folded, "block long, b binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for r in blocked.toLocalIterator():
-        out[r["block"] * per // 8 : (r["block"] + 1) * per // 8] = np.frombuffer(r["b"], np.uint8)
-    return out
-
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
-def _passes(h: np.ndarray, held: np.ndarray) -> np.ndarray:
-    a, b = _places(h, 8 * len(held))
-    return (held[a >> 3] >> (a & 7) & 1 & (held[b >> 3] >> (b & 7))).astype(bool)
+    return hash_filter(grams.select("lang", "gram").mapInArrow(hashed, "h long"))
 
 
 def phrase_counts(docs: DataFrame, level: int, filters: list, seed: int, shard: int) -> DataFrame:
@@ -295,10 +280,9 @@ def phrase_counts(docs: DataFrame, level: int, filters: list, seed: int, shard:
     def run(batches):
         held = [f.value for f in filters]
         for lang, s in _shards(batches, seed, shard):
-            text = s.without(_passes(_gram_hash(lang, s.hash[:, None]), held[0]))
+            text, h = s.text(in_filter(_gram_hash(lang, s.hash[:, None]), held[0]))
             if not text.any():
                 continue
-            h = np.r_[np.zeros(1, np.uint64), s.hash]
 
             def allowed(words: np.ndarray) -> np.ndarray:
                 n = words.shape[1]
@@ -306,12 +290,12 @@ def phrase_counts(docs: DataFrame, level: int, filters: list, seed: int, shard:
                 # both parts of a phrase, and the phrase itself if it grows
                 for part, k in ((slice(0, n - 1), n - 2), (slice(1, n), n - 2), (slice(0, n), n - 1)):
                     if 0 < k < len(held):
-                        good[good] = _passes(_gram_hash(lang, h[words[good, part]]), held[k])  # noqa: B023
+                        good[good] = in_filter(_gram_hash(lang, h[words[good, part]]), held[k])  # noqa: B023
                 return good
 
             for words, counts in phrases(text, level, allowed):
                 if words.shape[1] == level and len(words):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), _binary(h[words]), pa.array(counts)], names=["lang", "gram", "f"])
+                    yield from _rows(lang, h[words], counts)
 
     counted = _texts(docs).mapInArrow(run, "lang string, gram binary, f long")
     return counted.groupBy("lang", "gram").agg(F.sum("f").alias("f"))
@@ -320,12 +304,6 @@ def phrase_counts(docs: DataFrame, level: int, filters: list, seed: int, shard:
 # -- scores -------------------------------------------------------------------
 
 
-def _filter_bits(n: int) -> int:
-    """Sixteen bits a phrase, up to the fixed bound; beyond it more phrases
-    pass the filter, and their sums are dropped later."""
-    return 1 << min(FILTER_BITS.bit_length() - 1, max(16, (16 * n).bit_length()))
-
-
 def counted(docs: DataFrame, least: int, depth: int, shard: int = SHARD) -> tuple[DataFrame, list[DataFrame]]:
     """All words with their counts, and for each level from 1 word up the
     phrases that occur ``least`` times (lang, gram, f)."""
@@ -338,8 +316,7 @@ def counted(docs: DataFrame, least: int, depth: int, shard: int = SHARD) -> tupl
         seed += 1  # two words with one hash
     levels, filters = [words.filter(F.col("f") >= least).select("lang", "gram", "f")], []
     for level in range(2, depth + 1):
-        bits = _filter_bits(levels[-1].count())
-        filters.append(spark.sparkContext.broadcast(known_filter(levels[-1], bits)))
+        filters.append(spark.sparkContext.broadcast(known_filter(levels[-1])))
         levels.append(stored(phrase_counts(docs, level, filters, seed, shard).filter(F.col("f") >= least), f"phrases{level}"))
     return words, levels
 
