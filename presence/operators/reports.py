@@ -258,17 +258,65 @@ def worst_k(df: DataFrame, score: str, k: int, order: str, by: str | None = None
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+MOST_BLOCKS, BLOCK_ROWS, TILE = 32, 16_384, (512, 512)
+
+
+def cell_extremes(
+    left: np.ndarray, right: np.ndarray, ra: np.ndarray, rb: np.ndarray, mask: Callable | None = None
+) -> tuple[np.ndarray, ...]:
+    """Count, least, sum and greatest of ``left @ right.T`` per pair of runs.
+
+    Runs of rows start at ``ra`` and ``rb``. Products are formed a tile at a
+    time; counts and sums need none, they come from the runs' own sums.
+    ``mask(rows, columns)`` says which pairs of a tile count; without it all do.
+    """
+    shape = (len(ra), len(rb))
+    n, low, total, high = np.zeros(shape, np.int64), np.full(shape, np.inf), np.zeros(shape), np.full(shape, -np.inf)
+    if mask is None:
+        n = np.outer(np.diff(np.r_[ra, len(left)]), np.diff(np.r_[rb, len(right)]))
+        total = np.add.reduceat(left, ra, axis=0) @ np.add.reduceat(right, rb, axis=0).T
+
+    def runs(starts: np.ndarray, lo: int, hi: int) -> tuple[slice, np.ndarray]:
+        first, last = np.searchsorted(starts, lo, "right") - 1, np.searchsorted(starts, hi, "left")
+        return slice(first, last), np.maximum(starts[first:last] - lo, 0)
+
+    for r in range(0, len(left), TILE[0]):
+        rows = slice(r, min(r + TILE[0], len(left)))
+        at, cuts = runs(ra, rows.start, rows.stop)
+        spans = [slice(*x) for x in zip(cuts, np.r_[cuts[1:], rows.stop - rows.start], strict=True)]
+        for c in range(0, len(right), TILE[1]):
+            columns = slice(c, min(c + TILE[1], len(right)))
+            to, edges = runs(rb, columns.start, columns.stop)
+            sims = left[rows] @ right[columns].T
+            least = most = sims
+            if mask is not None:
+                wanted = mask(rows, columns)
+                least, most = np.where(wanted, sims, np.inf), np.where(wanted, sims, -np.inf)
+                for k, x in enumerate(spans):
+                    n[at.start + k, to] += np.add.reduceat(wanted[x].sum(axis=0), edges)
+                    total[at.start + k, to] += np.add.reduceat(np.where(wanted[x], sims[x], 0.0).sum(axis=0), edges)
+            down = np.stack([least[x].min(axis=0) for x in spans])
+            up = np.stack([most[x].max(axis=0) for x in spans])
+            low[at, to] = np.minimum(low[at, to], np.minimum.reduceat(down, edges, axis=1))
+            high[at, to] = np.maximum(high[at, to], np.maximum.reduceat(up, edges, axis=1))
+    return n, low, total, high
+
+
 def cross_file_similarity(
     vectors: DataFrame, key: str, cls: str, embedding: str, block: int = 1024
 ) -> DataFrame:
     """Pair count, min, mean and max cosine over all unordered pairs, per pair
     of classes.
 
-    Vectors hash into blocks of about ``block`` rows; a cell of two blocks is
-    one task's matrix product, so no class or key can skew a task, and a cell
-    hands on one row per pair of classes, never the pairs themselves.
+    Vectors hash into blocks of about ``block`` rows, of more once there are
+    MOST_BLOCKS, and of at most about BLOCK_ROWS; a cell of two blocks is one
+    group's tiled matrix product, so no class or key can skew a task, and a
+    cell hands on one row per pair of classes, never the pairs themselves. A
+    vector is copied once per block: the number of blocks stays at MOST_BLOCKS
+    until blocks are full. The products remain quadratic in the rows.
     """
-    blocks = max(1, -(-vectors.count() // block))
+    rows = vectors.count()
+    blocks = max(1, min(-(-rows // block), MOST_BLOCKS), -(-rows // BLOCK_ROWS))
     own = F.pmod(F.xxhash64(key), F.lit(blocks))
     cells = vectors.select(
         F.col(key).alias("id"),
@@ -307,19 +355,12 @@ def cross_file_similarity(
             c = rows["c"].to_numpy()
             return np.concatenate([[0], np.flatnonzero(c[1:] != c[:-1]) + 1])
 
-        sims = unit(left) @ unit(right).T
-        mask = np.ones_like(sims, dtype=bool)
+        once = None
         if p == q:  # each pair once
-            mask = left["id"].to_numpy()[:, None] < right["id"].to_numpy()[None, :]
+            ids = left["id"].to_numpy(), right["id"].to_numpy()
+            once = lambda a, b: ids[0][a][:, None] < ids[1][b][None, :]
         ra, rb = edges(left), edges(right)
-
-        def fold(op, values: np.ndarray) -> np.ndarray:
-            return op.reduceat(op.reduceat(values, ra, axis=0), rb, axis=1)
-
-        n = fold(np.add, mask.astype(np.int64))
-        low = fold(np.minimum, np.where(mask, sims, np.inf))
-        high = fold(np.maximum, np.where(mask, sims, -np.inf))
-        total = fold(np.add, np.where(mask, sims, 0.0))
+        n, low, total, high = cell_extremes(unit(left), unit(right), ra, rb, once)
         ca, cb = left["c"].to_numpy()[ra], right["c"].to_numpy()[rb]
         i, j = np.nonzero(n)
         return pd.DataFrame(
@@ -333,7 +374,9 @@ def cross_file_similarity(
             }
         )
 
-    partial = cells.groupBy("p", "q").applyInPandas(cell, schema)
+    # as many partitions as cells, so that small cells are not put together
+    dealt = cells.repartition(blocks * (blocks + 1) // 2, "p", "q")
+    partial = dealt.groupBy("p", "q").applyInPandas(cell, schema)
     return partial.groupBy("class_a", "class_b").agg(
         F.sum("n").alias("pairs"),
         F.min("low").alias("min_cos"),
