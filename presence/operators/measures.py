@@ -126,18 +126,38 @@ def block_ratio(gray: np.ndarray) -> np.ndarray:
 
 def detail(gray: np.ndarray) -> tuple[np.ndarray, ...]:
     """Laplacian variance, mean gradient, spread of the 3 x 3 blur residual
-    and mean brightness."""
-    p = gray.astype(np.int64)
-    (up, down), (left, right) = _reflected(p, 1), _reflected(p, 2)
-    (ul, ur), (dl, dr) = _reflected(up, 2), _reflected(down, 2)
-    gx, gy = (ur + 2 * right + dr) - (ul + 2 * left + dl), (dl + 2 * down + dr) - (ul + 2 * up + ur)
-    blur16 = ul + ur + dl + dr + 2 * (up + down + left + right) + 4 * p
-    return (
-        _deviation(up + down + left + right - 4 * p, (1, 2)),
-        np.sqrt((gx * gx + gy * gy).astype(float)).mean(axis=(1, 2)),
-        np.sqrt(_deviation(16 * p - blur16, (1, 2))) / 16.0,
-        p.mean(axis=(1, 2)),
-    )
+    and mean brightness; one plane at a time, which stays in the cache."""
+    each = [_detail(plane) for plane in gray]
+    return tuple(np.concatenate(x) for x in zip(*each, strict=True))
+
+
+def _detail(plane: np.ndarray) -> tuple[np.ndarray, ...]:
+    p = plane.astype(np.int16)  # no value here passes 16 * 255, squares are formed as doubles
+    wide = p
+    for axis in (0, 1):  # the inner neighbour outside the border
+        n = p.shape[axis]
+        wide = np.take(wide, (n - 1) - np.abs((n - 1) - np.abs(np.arange(-1, n + 1))), axis=axis)
+    up, mid, down = wide[:-2], wide[1:-1], wide[2:]
+    column, step = up + 2 * mid + down, down - up  # smoothed and differenced down the columns
+    gx = column[:, 2:] - column[:, :-2]
+    gy = step[:, :-2] + 2 * step[:, 1:-1] + step[:, 2:]
+    blur16 = column[:, :-2] + 2 * column[:, 1:-1] + column[:, 2:]
+    lap = up[:, 1:-1] + down[:, 1:-1] + mid[:, :-2] + mid[:, 2:] - 4 * p
+    a, b = np.empty(p.shape), np.empty(p.shape)
+
+    def variance(x: np.ndarray) -> float:
+        np.copyto(a, x)
+        total, squares = a.sum(), np.dot(a.ravel(), a.ravel())  # whole, below 2 ** 53: exact
+        mean = total / x.size
+        return max(squares / x.size - mean * mean, 0.0)
+
+    out = [variance(lap), 0.0, np.sqrt(variance(16 * p - blur16)) / 16.0, p.mean()]
+    np.copyto(a, gx)
+    np.square(a, out=a)
+    np.copyto(b, gy)
+    np.square(b, out=b)
+    out[1] = np.sqrt(np.add(a, b, out=a), out=a).mean()
+    return tuple(np.array([x]) for x in out)
 
 
 def _values(part: str, gray: np.ndarray, bgr: np.ndarray | None) -> tuple[np.ndarray, ...]:
@@ -165,12 +185,22 @@ def names(*parts: str) -> list[str]:
     return [n for p in parts for n in MEASURES[p]]
 
 
+def _planes(column: pa.Array, text: bool) -> Callable[[int], np.ndarray]:
+    """Reader of one row's pixels; a row is unpacked when it is asked for."""
+    if text:
+        return lambda i: np.frombuffer(column[i].as_py().encode("utf-32-le"), np.uint32).astype(np.uint8)
+    starts, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return lambda i: flat[starts[i] : starts[i + 1]].astype(np.int64) & 255
+
+
 def measure(images: DataFrame, *parts: str, size: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Raw measures of plane images (``image_id, h, w`` and ``gray``, or ``b,
-    g, r`` where colour is asked for), NULL where an image has none. ``size``
-    resamples to a square first."""
+    g, r`` where colour is asked for; arrays, or text whose characters modulo
+    256 are the pixels), NULL where an image has none. ``size`` resamples to a square first. Rows are
+    unpacked as they are measured, STACK images of one shape at a time."""
     colour = "color" in parts
     planes = ["b", "g", "r"] if colour else ["gray"]
+    text = {p: images.schema[p].dataType.typeName() == "string" for p in planes}
     fields = [images.schema[c].simpleString().replace(":", " ", 1) for c in ("image_id", *keep)]
     schema = ", ".join([*fields, *[f"{n} double" for n in names(*parts)]])
 
@@ -178,16 +208,19 @@ def measure(images: DataFrame, *parts: str, size: int | None = None, keep: tuple
         for batch in batches:
             col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
             h, w = (col(c).to_numpy().astype(np.int64) for c in ("h", "w"))
-            flat = [(col(p).flatten().to_numpy().astype(np.int64) & 255) for p in planes]
-            first = np.r_[0, np.cumsum(h * w)]
-            shape = h * (1 << 32) + w
+            read = [_planes(col(p), text[p]) for p in planes]
+
+            def plane(get: Callable[[int], np.ndarray], i: int) -> np.ndarray:
+                image = get(i).reshape(h[i], w[i])  # noqa: B023
+                return image if size is None else spectral.resample(image, size)
+
+            # images of one size need no shape in common before it
+            shape = h * (1 << 32) + w if size is None else np.zeros(len(h), np.int64)
             for one in np.unique(shape):
                 at = np.flatnonzero(shape == one)
                 for k in range(0, len(at), STACK):
                     some = at[k : k + STACK]
-                    stack = [np.stack([f[first[i] : first[i + 1]].reshape(h[i], w[i]) for i in some]) for f in flat]
-                    if size is not None:
-                        stack = [np.stack([spectral.resample(x[:, :, None], size)[:, :, 0] for x in s]) for s in stack]
+                    stack = [np.stack([plane(get, i) for i in some]).astype(np.int64) for get in read]
                     bgr = np.stack(stack, axis=-1) if colour else None
                     gray = luma(bgr) if colour else stack[0]
                     out = measured(parts, gray, bgr)

@@ -9,7 +9,7 @@ from presence.operators import measures, pixels
 from presence.plans import pad
 from presence.workload.base import query
 from presence.workload.views import IMAGE_WIDTH as W
-from presence.workload.views import oracle, rnd, text_images
+from presence.workload.views import oracle, rnd, text_images, text_planes
 
 
 def _score(name: str):
@@ -42,7 +42,7 @@ _PX = f"""near as (select *, lag(v, {W + 1}) over o as p00, lag(v, {W}) over o a
     ),
 )
 def _(spark, sf_dir):
-    out = measures.measure(text_images(spark, sf_dir), "lbp")
+    out = measures.measure(text_planes(spark, sf_dir), "lbp")
     return out.select("image_id", round_dp(F.col("lbp_entropy"), 6).alias("lbp_entropy"), _score("lbp").alias("lbp"))
 
 
@@ -90,7 +90,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    out = measures.measure(text_images(spark, sf_dir), "sharpness").withColumn("sharpness", _score("sharpness"))
+    out = measures.measure(text_planes(spark, sf_dir), "sharpness").withColumn("sharpness", _score("sharpness"))
     return out.withColumn("sharpness_cv", round_dp(F.col("sharpness_cv"), 6))
 
 
@@ -111,7 +111,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    out = measures.measure(text_images(spark, sf_dir), "jpeg").withColumn("jpeg", _score("jpeg"))
+    out = measures.measure(text_planes(spark, sf_dir), "jpeg").withColumn("jpeg", _score("jpeg"))
     return out.withColumn("jpeg_ratio", round_dp(F.col("jpeg_ratio"), 6))
 
 
@@ -140,7 +140,7 @@ _REFLECTED = f"""{_PX}, side as (select image_id, h, w, v, y, x,
     ),
 )
 def _(spark, sf_dir):
-    out = measures.measure(text_images(spark, sf_dir), "detail")
+    out = measures.measure(text_planes(spark, sf_dir), "detail")
     return out.withColumns(
         {
             "lap": round_dp(F.col("lap"), 4),
@@ -158,7 +158,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    out = measures.measure(text_images(spark, sf_dir), "detail")
+    out = measures.measure(text_planes(spark, sf_dir), "detail")
     return out.select(
         "image_id", round_dp(F.col("lap"), 4).alias("sharpness"), round_dp(F.col("brightness"), 6).alias("brightness")
     )
@@ -191,11 +191,11 @@ def _(spark, sf_dir):
 # The signals' own views: texture at 160 pixels, detail at 224, resampled in the
 # same pass that measures them.
 def textured(spark, sf_dir, *parts):
-    return measures.measure(text_images(spark, sf_dir), *parts, size=pad.SIGNAL_SIZE)
+    return measures.measure(text_planes(spark, sf_dir), *parts, size=pad.SIGNAL_SIZE)
 
 
 def detailed(spark, sf_dir):
-    images = text_images(spark, sf_dir).withColumn("face_px", F.col("h").cast("long") * F.col("w"))
+    images = text_planes(spark, sf_dir).withColumn("face_px", F.col("h").cast("long") * F.col("w"))
     rows = measures.measure(images, *measures.DETAIL, size=pad.DETAIL_SIZE, keep=("face_px",))
     return rows.withColumns(measures.recapture(F.col("face_px")))
 

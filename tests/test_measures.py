@@ -82,3 +82,41 @@ def test_best_detection(spark):
     rows = spark.createDataFrame([(1, [(0.5, 1.0, 0.0, 0.0, 0.0), (0.7, 2.0, 0.0, 0.0, 0.0), (0.7, 3.0, 0.0, 0.0, 0.0)]), (2, []), (3, None)], kind)
     got = {r.k: r.b for r in rows.select("k", measures.best_of(F.col("found")).alias("b")).collect()}
     assert (got[1].conf, got[1].l) == (0.7, 2.0) and got[2] is None and got[3] is None
+
+
+def test_text_planes_equal_arrays_and_shapes_share_stacks(spark):
+    """A plane as text (a character a pixel) measures like an array, with and
+    without resampling, whatever shapes lie side by side."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(20):
+        h, w = 16 + i % 5, 64 + i % 3
+        text = "".join(map(chr, rng.choice([33, 77, 126, 228, 8364, 128512], h * w)))
+        rows.append((i, h, w, text, [ord(c) % 256 for c in text]))
+    df = spark.createDataFrame(rows, "image_id long, h int, w int, text string, codes array<int>").coalesce(1)
+    for parts, size in ((("lbp", "detail"), None), (("fft", "moire"), 160), (("detail", "hf"), 224)):
+        a, b = (
+            {r["image_id"]: r for r in measures.measure(df.select("image_id", "h", "w", df[c].alias("gray")), *parts, size=size).collect()}
+            for c in ("text", "codes")
+        )
+        assert len(a) == 20
+        for i in a:
+            assert np.allclose(list(a[i].asDict().values()), list(b[i].asDict().values()), rtol=1e-9), (parts, i)
+
+
+def test_half_spectra_and_percentiles_equal_whole_ones():
+    from presence.operators import spectral
+
+    rng = np.random.default_rng(6)
+    for h, w in ((160, 160), (33, 64), (31, 47), (224, 224)):
+        stack = rng.integers(0, 256, (2, h, w)).astype(float)
+        whole = np.fft.fftshift(np.abs(np.fft.fft2(stack)), axes=(1, 2))
+        far = whole[:, spectral._radius(h, w) > spectral.HF_RADIUS].sum(axis=1) / (whole.sum(axis=(1, 2)) + 1e-9)
+        assert np.allclose(spectral.hf_share(stack), far, rtol=1e-12)
+        whole = np.fft.fftshift(np.abs(np.fft.fft2(stack * np.hanning(h)[:, None] * np.hanning(w))), axes=(1, 2))
+        side, dist = min(h, w), spectral._radius(h, w)
+        ring = whole[:, (dist >= max(5, side // 6)) & (dist <= side // 2 - 2)]
+        assert np.allclose(spectral.peak_ratio(stack), ring.max(axis=1) / (ring.mean(axis=1) + 1e-10), rtol=1e-12)
+        flat = spectral.blur_residual(stack).reshape(2, -1)
+        p95, density = spectral.residual_density(stack)
+        assert (p95 == np.percentile(flat, 95, axis=1)).all() and (density == (flat > p95[:, None]).mean(axis=1)).all()
