@@ -42,11 +42,12 @@ def lbp_entropy(gray: np.ndarray) -> np.ndarray:
     n, h, w = gray.shape
     if h < 3 or w < 3:
         return np.full(n, np.nan)
-    centre, code = gray[:, 1:-1, 1:-1], np.zeros((n, h - 2, w - 2), np.int64)
-    for bit, (y, x) in zip(range(7, -1, -1), ((0, 0), (0, 1), (0, 2), (1, 2), (2, 2), (2, 1), (2, 0), (1, 0))):
-        code |= (gray[:, y : y + h - 2, x : x + w - 2] >= centre).astype(np.int64) << bit
-    code += 256 * np.arange(n)[:, None, None]
-    count = np.bincount(code.ravel(), minlength=256 * n).reshape(n, 256).astype(float)
+    count = np.empty((n, 256))
+    for i, plane in enumerate(gray.astype(np.uint8)):
+        centre, code = plane[1:-1, 1:-1], np.zeros((h - 2, w - 2), np.uint8)
+        for bit, (y, x) in zip(range(7, -1, -1), ((0, 0), (0, 1), (0, 2), (1, 2), (2, 2), (2, 1), (2, 0), (1, 0))):
+            code |= (plane[y : y + h - 2, x : x + w - 2] >= centre).view(np.uint8) << bit
+        count[i] = np.bincount(code.ravel(), minlength=256)
     total = count.sum(axis=1)
     logs = np.where(count > 0, np.log2(np.maximum(count, 1)), 0.0)
     return (np.log2(total) - (count * logs).sum(axis=1) / total) / 8
@@ -54,15 +55,18 @@ def lbp_entropy(gray: np.ndarray) -> np.ndarray:
 
 def _deviation(x: np.ndarray, axes: tuple[int, ...]) -> np.ndarray:
     """Variance over ``axes`` from exact whole sums."""
-    x = x.astype(np.int64)
+    x = x.astype(np.float64)  # whole sums below 2 ** 53 are exact
     n = np.prod([x.shape[a] for a in axes])
     mean = x.sum(axis=axes) / n
-    return np.maximum((x * x).sum(axis=axes) / n - mean * mean, 0.0)
+    return np.maximum(np.square(x, out=x).sum(axis=axes) / n - mean * mean, 0.0)
 
 
 def luma(bgr: np.ndarray) -> np.ndarray:
-    b, g, r = (bgr[..., c].astype(np.int64) for c in range(3))
-    return (b * 1868 + g * 9617 + r * 4899 + 8192) >> 14
+    out = np.empty(bgr.shape[:-1], np.int32)  # 255 << 14 fits
+    for i, image in enumerate(bgr):
+        b, g, r = (image[..., c].astype(np.int32) for c in range(3))
+        out[i] = (b * 1868 + g * 9617 + r * 4899 + 8192) >> 14
+    return out
 
 
 def chroma_spread(bgr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +74,7 @@ def chroma_spread(bgr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     y = luma(bgr)
 
     def spread(channel: int, weight: int) -> np.ndarray:
-        plane = ((bgr[..., channel].astype(np.int64) - y) * weight + (128 << 14) + 8192) >> 14
+        plane = ((bgr[..., channel].astype(np.int32) - y) * weight + (128 << 14) + 8192) >> 14
         return np.sqrt(_deviation(np.clip(plane, 0, 255), (1, 2)))
 
     return spread(2, 11682), spread(0, 9241)
@@ -96,7 +100,7 @@ def sharpness_cv(gray: np.ndarray) -> np.ndarray:
     ch, cw = h // GRID, w // GRID
     if not ch or not cw:
         return np.full(n, np.nan)
-    cells = gray[:, : ch * GRID, : cw * GRID].astype(np.int64).reshape(n, GRID, ch, GRID, cw)
+    cells = gray[:, : ch * GRID, : cw * GRID].astype(np.int32).reshape(n, GRID, ch, GRID, cw)
     variance = _deviation(_laplacian(cells, (2, 4)), (2, 4)).reshape(n, -1)
     return variance.std(axis=1) / (variance.mean(axis=1) + 1e-10)
 
@@ -104,7 +108,7 @@ def sharpness_cv(gray: np.ndarray) -> np.ndarray:
 def block_ratio(gray: np.ndarray) -> np.ndarray:
     """Steps across 8-pixel block edges over steps inside blocks; NaN where
     there are none of either."""
-    g = gray.astype(np.int64)
+    g = gray.astype(np.int32)
     n, h, w = g.shape
 
     def steps(offset: int) -> tuple[np.ndarray, int]:
@@ -220,7 +224,7 @@ def measure(images: DataFrame, *parts: str, size: int | None = None, keep: tuple
                 at = np.flatnonzero(shape == one)
                 for k in range(0, len(at), STACK):
                     some = at[k : k + STACK]
-                    stack = [np.stack([plane(get, i) for i in some]).astype(np.int64) for get in read]
+                    stack = [np.stack([plane(get, i) for i in some]).astype(np.int32) for get in read]
                     bgr = np.stack(stack, axis=-1) if colour else None
                     gray = luma(bgr) if colour else stack[0]
                     out = measured(parts, gray, bgr)

@@ -120,3 +120,15 @@ def test_half_spectra_and_percentiles_equal_whole_ones():
         flat = spectral.blur_residual(stack).reshape(2, -1)
         p95, density = spectral.residual_density(stack)
         assert (p95 == np.percentile(flat, 95, axis=1)).all() and (density == (flat > p95[:, None]).mean(axis=1)).all()
+
+
+def test_plane_sums(spark):
+    """Sums of byte planes, wrapped values included, over several stacks."""
+    from presence.operators import spectral
+
+    rng = np.random.default_rng(8)
+    planes = rng.integers(0, 256, (40, 12))
+    rows = [(i, 3, 4, [int(v) for v in p.astype(np.uint8).view(np.int8)], [int(p[0]) - 256 if p[0] > 127 else int(p[0])] * 12) for i, p in enumerate(planes)]
+    df = spark.createDataFrame(rows, "image_id long, h int, w int, b array<byte>, gray array<byte>").coalesce(1)
+    for r in spectral.plane_sums(df, "b", "gray").collect():
+        assert (r["sum_b"], r["sum_gray"]) == (planes[r["image_id"]].sum(), planes[r["image_id"], 0] * 12)
