@@ -17,6 +17,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from presence.functions import numeric
 from presence.operators import spectral
@@ -260,12 +262,43 @@ def recapture(face_px: Column | None) -> dict[str, Column]:
 # -- photos -------------------------------------------------------------------
 
 
+UNPACKED = 4 * STACK  # rows of a batch that stand as Python objects at a time
+
+
 def per_row(run: Callable, schema: str):
     """A column function over structs, run by ``run(iterator of frames)``.
 
-    Only the arguments go to Python; rows and their other columns stay. It
-    counts as nondeterministic so that no rewrite evaluates it twice."""
-    return F.pandas_udf(run, schema).asNondeterministic()
+    Only the arguments go to Python; rows and their other columns stay. A batch
+    stays in Arrow: UNPACKED rows of it become a frame, and their answers Arrow
+    again, before the next. It counts as nondeterministic so that no rewrite
+    evaluates it twice."""
+    kind = to_arrow_type(T._parse_datatype_string(schema))
+
+    def parts(batch: pa.Array, sizes: list[int]) -> Iterator[pd.DataFrame]:
+        whole = pa.RecordBatch.from_struct_array(batch)
+        for lo in range(0, len(batch), UNPACKED):
+            yield whole.slice(lo, UNPACKED).to_pandas()
+        sizes.append(len(batch))
+
+    def column(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        sizes: list[int] = []
+        done: list[pa.Array] = []
+        empty = pa.array([], kind)
+        frames = (frame for batch in it for frame in parts(batch, sizes))
+        # a batch has ended when the next frame is asked for, or none is left
+        for answer in run(frames):
+            while sizes:
+                sizes.pop()
+                yield pa.concat_arrays(done) if done else empty
+                done = []
+            done.append(pa.RecordBatch.from_pandas(answer, pa.schema(list(kind)), preserve_index=False).to_struct_array())
+        while sizes:
+            sizes.pop()
+            yield pa.concat_arrays(done) if done else empty
+            done = []
+
+    column.__annotations__ = {"it": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(column, schema).asNondeterministic()
 
 
 def iterated(make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]):
@@ -309,7 +342,7 @@ def decoded(payload: Column, decoder: Callable[[], Callable[[bytes], np.ndarray
 
         return work
 
-    return per_row(_frames(iterated(make)), IMAGE)(F.struct(payload.alias("raw")))
+    return per_row(iterated(make), IMAGE)(F.struct(payload.alias("raw")))
 
 
 def detections(data: Column, h: Column, w: Column, factory: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> Column:
@@ -332,7 +365,7 @@ def detections(data: Column, h: Column, w: Column, factory: Callable[[], Callabl
         return work
 
     kind = "found array<struct<conf double, l double, t double, r double, b double>>"
-    return per_row(_frames(iterated(make)), kind)(F.struct(data.alias("data"), h.alias("h"), w.alias("w")))["found"]
+    return per_row(iterated(make), kind)(F.struct(data.alias("data"), h.alias("h"), w.alias("w")))["found"]
 
 
 def best_of(found: Column) -> Column:
@@ -341,14 +374,6 @@ def best_of(found: Column) -> Column:
     return F.array_max(ranked)
 
 
-def _frames(run: Callable):
-    def frames(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from run(it)
-
-    frames.__annotations__ = {"it": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-    return frames
-
-
 def photo_measures(
     data: Column,
     h: Column,
@@ -402,4 +427,4 @@ def photo_measures(
 
     schema = ", ".join([*[f"{c} double" for c in fields], "probs array<double>"])
     cells = [data.alias("data"), h.alias("h"), w.alias("w"), *[c.alias(name) for name, c in windows.items()]]
-    return per_row(_frames(iterated(make)), schema)(F.struct(*cells))
+    return per_row(iterated(make), schema)(F.struct(*cells))

@@ -78,7 +78,7 @@ def analysed(data, h, w, factory):
 
         return work
 
-    udf = measures.per_row(measures._frames(measures.iterated(make)), SEEN)
+    udf = measures.per_row(measures.iterated(make), SEEN)
     return udf(F.struct(data.alias("data"), h.alias("h"), w.alias("w")))
 
 
@@ -102,7 +102,7 @@ def embedded(aligned, side, factory):
 
         return work
 
-    return measures.per_row(measures._frames(measures.iterated(make)), "v array<double>")(F.struct(aligned.alias("aligned"), side.alias("side")))["v"]
+    return measures.per_row(measures.iterated(make), "v array<double>")(F.struct(aligned.alias("aligned"), side.alias("side")))["v"]
 
 
 def frame_stage(frames: DataFrame, models: SessionModels, s: Settings = DEFAULTS) -> DataFrame:
