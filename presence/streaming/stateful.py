@@ -90,7 +90,7 @@ class SessionProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _gather(rows, ["us", "is_use", "attempt_id"])
-        held = self.session.get() if self.session.exists() else None
+        held = self.session.get()  # every call to the state is a message to the executor
         created, owner, used = held if held is not None else (None, None, False)
         ids, errors = [], []
         for us, is_use, attempt, caller in zip(
@@ -112,7 +112,7 @@ class SessionProcessor(StatefulProcessor):
                 error = None if owner == caller else "SESSION_CORRELATION_MISMATCH"
             ids.append(int(attempt))
             errors.append(error)
-        if created is not None:
+        if created is not None and (held is None or bool(held[2]) != used):
             self.session.update((created, owner, used))
             forget_ms = (created + self.retention) // 1000 + 1
             if self.timed and forget_ms > timerValues.getCurrentWatermarkInMs():
