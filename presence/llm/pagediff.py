@@ -2,16 +2,21 @@
 
 A page is read as blocks of text. Elements that are never article text
 (navigation, headers, footers, asides, forms, scripts, adverts, notices,
-comments, by tag, role or class) are dropped while reading. A page that marks
-its article (article, main, role=main) keeps the blocks inside it: the mark
-is the publisher's own, and pages of one host may carry the same paragraph in
-two articles, which differencing would delete from both.
-
-On the other pages the template is what the page shares with its neighbour:
-pages are paired with the page of the same host whose path sorts next to
-theirs and has the longer common prefix, block sequences are aligned by
-longest common subsequence, and shared blocks are deleted. A page equal to
-its neighbour, block for block, keeps its text (a copy is no template).
+comments, by tag, role or class) are dropped while reading.
+
+The template is what a page shares with its neighbour: every page is paired
+with the page of the same host whose path sorts next to its own and has the
+longer common prefix, their block sequences are aligned by longest common
+subsequence, and what is left unshared is the page's own text. A page equal to
+its neighbour, block for block, has no template (a copy is none).
+
+* A page that marks no article (article, main, role=main) is its own text.
+* On a page that marks both, the own text tells which mark is the article's:
+  ``article`` if half of the marked own text stands there, else ``main``.
+* Inside the mark, a box (div, section, list, table) of which every block is
+  shared is template and deleted, unless such boxes hold most of the marked
+  text. Paragraphs that are not boxed off stay: two articles of a host may
+  carry the same one, and differencing would delete it from both.
 
 Neighbours are found in cells of the sorted addresses; cells have stored
 bounds and know the last address before and the first after them, so a host
@@ -26,12 +31,15 @@ from __future__ import annotations
 import bisect
 import html as entities
 import re
+from collections.abc import Collection
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from presence.llm.textkit import column, slices, stored
+from presence.llm.textkit import column, hash_filter, in_filter, lists, slices, stored
 
 CELL_ROWS = 2_000
 MOST_CELLS = 1_024
@@ -55,6 +63,7 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_PARTS = re.compile(r"[\s_-]+")
 HOST = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)")
+BOXES = frozenset("address center details div dl figure ol section table ul".split())
 
 
 def _dropped(name: str, attributes: str) -> bool:
@@ -70,13 +79,15 @@ def _dropped(name: str, attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> tuple[list[str], list[bool]]:
-    """Texts of the blocks that are not dropped, in page order, and whether
-    each stands inside an article (else main) element."""
+def read_blocks(page: str) -> tuple[list[str], list[int], list[tuple[int, int]]]:
+    """Texts of the blocks that are not dropped, in page order; whether each
+    stands in an article (2), else main (1) element; and the boxes inside
+    those, as the places of their first block and after their last."""
     out: list[str] = []
     where: list[int] = []
     buffer: list[str] = []
-    stack: list[tuple[str, int]] = []  # name; 0 plain, 1 dropped, 2 main, 3 article
+    boxes: list[tuple[int, int]] = []
+    stack: list[tuple[str, int, int]] = []  # name; 0 plain, 1 dropped, 2 main, 3 article; a box's first block, else -1
     dropped = main = article = at = 0
 
     def text(piece: str) -> None:
@@ -92,7 +103,9 @@ def blocks(page: str) -> tuple[list[str], list[bool]]:
 
     def close(index: int) -> None:
         nonlocal dropped, main, article
-        for _, kind in stack[index:]:
+        for _, kind, begin in stack[index:]:
+            if 0 <= begin < len(out):
+                boxes.append((begin, len(out)))
             dropped -= kind == 1
             main -= kind == 2
             article -= kind == 3
@@ -133,7 +146,8 @@ def blocks(page: str) -> tuple[list[str], list[bool]]:
             kind = 2
         else:
             kind = 0
-        stack.append((name, kind))
+        boxed = name in BOXES and not kind and not dropped and (main or article)
+        stack.append((name, kind, len(out) if boxed else -1))
         dropped += kind == 1
         main += kind == 2
         article += kind == 3
@@ -141,13 +155,21 @@ def blocks(page: str) -> tuple[list[str], list[bool]]:
     cut = re.search(r"<[a-zA-Z/!][^<>]*\Z", rest)  # a page cut off inside a tag
     text(rest[: cut.start()] if cut else rest)
     flush()
+    close(0)
+    return out, where, boxes
+
+
+def blocks(page: str) -> tuple[list[str], list[bool]]:
+    """The blocks, and whether each stands inside an article (else main)
+    element, as far as the page alone can tell."""
+    out, where, _ = read_blocks(page)
     level = max(where, default=0)
     return out, [level > 0 and w == level for w in where]
 
 
-def common(a: list[str], b: list[str]) -> set[int]:
+def common(a: list, b: list) -> set[int]:
     """Places in ``a`` of a longest common subsequence with ``b``."""
-    places: dict[str, list[int]] = {}
+    places: dict[object, list[int]] = {}
     for j, line in enumerate(b):
         places.setdefault(line, []).append(j)
     ends: list[int] = []
@@ -169,16 +191,39 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def difference(own: list[str], near: list[str] | None) -> list[str]:
-    if near is None or own == near:
-        return own
-    shared = common(own, near)
-    return [line for i, line in enumerate(own) if i not in shared]
+def shared_places(own: list, near: list | None) -> list[int]:
+    """Places of the blocks that are template, by the neighbour's blocks."""
+    return [] if near is None or own == near else sorted(common(own, near))
+
+
+def own_text(page: str, shared: Collection[int] = ()) -> str:
+    """The page's main text, given the places of its shared blocks."""
+    lines, where, boxes = read_blocks(page)
+    shared = set(shared)
+    if not any(where):
+        return " ".join(line for i, line in enumerate(lines) if i not in shared)
+
+    def size(places) -> int:
+        return sum(len(lines[i]) for i in places)
+
+    marked = [i for i, w in enumerate(where) if w]
+    judged = [i for i in marked if i not in shared] or marked
+    if 2 * size(i for i in judged if where[i] == 2) >= size(judged):
+        marked = [i for i in marked if where[i] == 2]
+    template = {i for a, b in boxes if shared.issuperset(range(a, b)) for i in range(a, b)}.intersection(marked)
+    if 2 * size(template) > size(marked):
+        template = set()
+    return " ".join(lines[i] for i in marked if i not in template)
+
+
+def _pages(pages: DataFrame) -> DataFrame:
+    return pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
+    ).withColumn("uid", F.xxhash64("page_id", "url", "html"))
 
 
-def _read(pages: DataFrame, whole: bool) -> DataFrame:
-    """Per page: uid, page_id, url, host, path, marked and text (of marked
-    pages), or with ``whole`` uid and all its lines."""
+def _outlines(pages: DataFrame) -> DataFrame:
+    """Per page: uid, host, path and a hash of each block."""
 
     def run(batches):
         for batch in batches:
@@ -187,35 +232,21 @@ def _read(pages: DataFrame, whole: bool) -> DataFrame:
             col = column(batch, "html")
             for a, b in slices(col):
                 part = batch.slice(a, b - a)
-                rows = [blocks(p) for p in col.slice(a, b - a).to_pylist()]
-                uid = part.column(part.schema.get_field_index("uid"))
-                if whole:
-                    lines = pa.array([r[0] for r in rows], pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays([uid, lines], names=["uid", "lines"])
-                    continue
+                rows = [[xxhash.xxh64_intdigest(line) for line in read_blocks(p)[0]] for p in col.slice(a, b - a).to_pylist()]
                 urls = part.column(part.schema.get_field_index("url")).to_pylist()
                 found = [HOST.match(u or "") for u in urls]
-                marked = [any(r[1]) or not r[0] for r in rows]
-                texts = [" ".join(t for t, m in zip(*r, strict=True) if m) if k else None for r, k in zip(rows, marked, strict=True)]
+                values = np.array([x for row in rows for x in row], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        uid,
-                        part.column(part.schema.get_field_index("page_id")),
-                        part.column(part.schema.get_field_index("url")),
+                        part.column(part.schema.get_field_index("uid")),
                         pa.array([m[1].lower() if m else None for m in found], pa.string()),
                         pa.array([m[2] if m else None for m in found], pa.string()),
-                        pa.array(marked),
-                        pa.array(texts, pa.string()),
+                        lists(values, np.array([len(row) for row in rows], np.int64)),
                     ],
-                    names=["uid", "page_id", "url", "host", "path", "marked", "text"],
+                    names=["uid", "host", "path", "outline"],
                 )
 
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
-    ).withColumn("uid", F.xxhash64("page_id", "url", "html"))
-    if whole:
-        return rows.mapInArrow(run, "uid long, lines array<string>")
-    return rows.mapInArrow(run, "uid long, page_id long, url string, host string, path string, marked boolean, text string")
+    return _pages(pages).select("uid", "url", "html").mapInArrow(run, "uid long, host string, path string, outline array<long>")
 
 
 def neighbours(addresses: DataFrame) -> DataFrame:
@@ -266,27 +297,53 @@ def neighbours(addresses: DataFrame) -> DataFrame:
     )
 
 
+def templates(pages: DataFrame) -> DataFrame:
+    """(uid, shared): the places of the blocks that a page shares with its
+    neighbour, of every page that shares any."""
+    outlines = stored(_outlines(pages), "outlines")
+    pairs = neighbours(outlines.select("uid", "host", "path")).filter("near is not null")
+    each = outlines.select("uid", "outline").dropDuplicates(["uid"])
+    other = each.select(F.col("uid").alias("near"), F.col("outline").alias("other"))
+    sides = pairs.join(other, "near").select("uid", "other").join(each, "uid").select("uid", "outline", "other")
+
+    def align(batches):
+        for batch in batches:
+            own, near = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            places = [shared_places(a, b) for a, b in zip(own, near, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(pa.int32()))], names=["uid", "shared"])
+
+    return sides.mapInArrow(align, "uid long, shared array<int>").filter("size(shared) > 0")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
-    read = stored(_read(pages, False), "pages")
-    out = ["page_id", "url", "text", F.length("text").cast("long").alias("n_chars")]
-    marked = read.filter("marked").select(*out)
-    open_ = read.filter("not marked").select("uid", "page_id", "url")
-    if not open_.limit(1).count():
-        return marked
-    pairs = stored(neighbours(read.select("uid", "host", "path")).join(open_.select("uid").distinct(), "uid", "left_semi"), "pairs")
-    wanted = pairs.select(F.explode(F.array("uid", "near")).alias("uid")).filter("uid is not null").union(open_.select("uid")).distinct()
-    hashed = pages.withColumn("__uid", F.xxhash64(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")))
-    lines = _read(hashed.join(wanted.withColumnRenamed("uid", "__uid"), "__uid", "left_semi"), True).dropDuplicates(["uid"])
-    lines = stored(lines, "lines")
-    near = pairs.join(lines.withColumnRenamed("uid", "near").withColumnRenamed("lines", "other"), "near").select("uid", "other")
-    sides = lines.join(near, "uid", "left")
-
-    def diff(batches):
+    shared = stored(templates(pages), "templates")
+    held = pages.sparkSession.sparkContext.broadcast(hash_filter(shared.select(F.xxhash64(F.lit(1), "uid").alias("h"))))
+
+    def texts(batches):
         for batch in batches:
-            own, other = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            texts = [" ".join(difference(a, b)) for a, b in zip(own, other, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["uid", "text"])
+            if not batch.num_rows:
+                continue
+            col, places = column(batch, "html"), batch.schema.get_field_index("shared")
+            for a, b in slices(col):
+                part = batch.slice(a, b - a)
+                shared_ = [()] * (b - a) if places < 0 else part.column(places).to_pylist()
+                out = [own_text(p, s or ()) for p, s in zip(col.slice(a, b - a).to_pylist(), shared_, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
-    found = sides.select("uid", "lines", "other").mapInArrow(diff, "uid long, text string")
-    return marked.unionByName(open_.join(found, "uid").select(*out))
+    def known(batches, sharing: bool):
+        """Pages that may share a block, or the others; only those meet the
+        templates, so no other page is shuffled."""
+        for batch in batches:
+            h = batch.column(batch.schema.get_field_index("h")).to_numpy(zero_copy_only=False).view(np.uint64)
+            part = batch.drop_columns(["h"]).filter(pa.array(in_filter(h, held.value) == sharing))
+            if part.num_rows:
+                yield part
+
+    rows = _pages(pages).withColumn("h", F.xxhash64(F.lit(1), "uid"))
+    text = "page_id long, url string, text string"
+    alone = rows.drop("uid").mapInArrow(lambda batches: texts(known(batches, False)), text)
+    some = rows.mapInArrow(lambda batches: known(batches, True), "page_id long, url string, html string, uid long")
+    some = some.join(shared, "uid", "left").select("page_id", "url", "html", "shared").mapInArrow(texts, text)
+    found = alone.unionByName(some)
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

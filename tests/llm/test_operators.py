@@ -187,6 +187,24 @@ def test_page_differencing(spark):
     assert got == {**{i: f"text {i}" for i in range(5)}, 10: "", 11: "Only", 12: "Marked"}
 
 
+def test_page_differencing_inside_marks(spark):
+    """A shared box goes, a shared paragraph stays; the mark with the page's own text is believed."""
+    box = "<div><p>Share this</p><p>Follow us</p></div>"
+    page = "<article><h1>Title {0}</h1><p>Same words in both</p>" + box + "<p>own text {0}</p></article>"
+    card = "<main><p>Same words in both</p><p>long own text {0} of this page</p>" + box + "<article>Card</article></main>"
+    pages = [(i, f"http://h/a/{i}", page.format(i)) for i in range(4)] + [(10 + i, f"http://c/a/{i}", card.format(i)) for i in range(3)]
+    pages += [(20, "http://d/a", page.format(9)), (20, "http://d/a", page.format(9)), (21, "http://d/b", page.format(9)), (22, "http://e/a", page.format(9))]
+    rows = pagediff.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()
+    whole = "Title 9 Same words in both Share this Follow us own text 9"
+    assert sorted((r.page_id, r.text) for r in rows) == sorted(
+        [(i, f"Title {i} Same words in both own text {i}") for i in range(4)]
+        + [(10 + i, f"Same words in both long own text {i} of this page Card") for i in range(3)]
+        + [(20, whole), (20, whole), (21, whole), (22, whole)]
+    )
+    # boxes that hold most of the text are no template
+    assert pagediff.own_text("<article><h1>A</h1><div><p>all the text</p></div></article>", [1]) == "A all the text"
+
+
 def test_leaks(spark, docs):
     item = "A train leaves Rome at 9 with 120 seats and travels 300 km in 4 hours before Anna boards it near the old bridge"
     changed = item.replace("120", "85").replace("300", "410").replace("Anna", "Peter")
