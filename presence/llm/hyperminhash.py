@@ -24,6 +24,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ MANTISSA = 10
 ROWS = 6
 BANDS = REGISTERS // ROWS
 BLOCK = 512
+GROUP = 1 << 22
+SMALL = 64
 # Expected share of registers that agree by chance, from the HyperMinHash
 # paper's closed form for sets of like size.
 CHANCE = 0.169919487159739 * 2.0 ** (1 - MANTISSA)
@@ -197,103 +200,187 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, sets_of: SetsOf, percent: int)
 
 
 def _grouped(rows: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
-    """``work(cell, arrays)`` over the rows of each cell, streamed from sorted
-    partitions; a cell has at most two blocks of rows."""
-
-    def arrays(batch: pa.RecordBatch, s: int, e: int) -> list:
-        out = []
-        for i in range(1, len(columns)):
-            col = batch.column(i).slice(s, e - s)
-            if pa.types.is_list(col.type):  # sets, one after the other, and their ends
-                ends = np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-                out.append(np.split(col.flatten().to_numpy(), ends[:-1]))
-            else:
-                out.append(col.to_pylist() if pa.types.is_binary(col.type) else col.to_numpy())
-        return out
+    """``work(batch)`` over whole cells, as many at a time as hold GROUP bytes
+    in the last of the first four columns, streamed from sorted partitions; a
+    cell has at most two blocks of rows."""
+
+    def groups(held: list[pa.RecordBatch]):
+        whole = pa.Table.from_batches(held).combine_chunks()
+        col = whole.column(3)
+        size = pc.multiply(pc.list_value_length(col), 8) if pa.types.is_list(col.type) else pc.binary_length(col)
+        before = np.r_[0, np.cumsum(size.to_numpy().astype(np.int64))]
+        edges = _edges(whole.column(0).to_numpy())
+        at = 0
+        while at < len(edges) - 1:
+            stop = max(at + 1, int(np.searchsorted(before[edges], before[edges[at]] + GROUP, "right")) - 1)
+            stop = min(stop, len(edges) - 1)
+            yield from work(whole.slice(edges[at], edges[stop] - edges[at]).combine_chunks())
+            at = stop
 
     def run(batches):
-        cell, group = None, []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             cells = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True])
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if group and cell != cells[s]:
-                    yield work(cell, group)
-                    group = []
-                cell = cells[s]
-                group.append(arrays(batch, s, e))
-        if group:
-            yield work(cell, group)
+            lead = int(np.searchsorted(cells, cells[-1]))
+            if lead:  # the last cell may go on
+                yield from groups([*held, batch.slice(0, lead)])
+                held = []
+            elif held and held[-1].column(0)[-1].as_py() != cells[0]:
+                yield from groups(held)
+                held = []
+            held.append(batch.slice(lead))
+        if held:
+            yield from groups(held)
 
     dealt = rows.select(*columns).repartition(columns[0]).sortWithinPartitions(*columns[:3])
     return dealt.mapInArrow(run, schema)
 
 
-def _joined(group: list, i: int) -> list | np.ndarray:
-    return [x for g in group for x in g[i]] if isinstance(group[0][i], list) else np.concatenate([g[i] for g in group])
-
-
-def _promising(cell, group: list, threshold: float) -> pa.RecordBatch:
-    """Nodes of a cell with a likely partner in another component: a row per
-    node at most, however many the partners."""
-    labels, ids, n = (_joined(group, i) for i in (0, 1, 3))
-    regs = np.frombuffer(b"".join(_joined(group, 2)), np.uint16).reshape(len(ids), -1)
-    flag = np.zeros(len(ids), bool)
-    for i in range(len(ids) - 1):
-        # labels are sorted: everything in another component lies behind
-        j = int(np.searchsorted(labels, labels[i], "right"))
-        if j == len(ids):
-            break
-        low, high = np.minimum(n[j:], n[i]), np.maximum(n[j:], n[i])
-        good = low >= threshold * high
-        good[good] = estimate(regs[i], regs[j:][good]) >= least_estimate(low[good], threshold, regs.shape[1])
-        flag[j:] |= good
-        flag[i] |= good.any()
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(int(flag.sum()), cell)), pa.array(labels[flag]), pa.array(ids[flag])], names=["cell", "label", "node"]
-    )
-
-
-def _bridges(cell, group: list, percent: int) -> pa.RecordBatch:
-    """Links on full sets that join a cell's components: at most one fewer
-    than there are components. Intersections are counted through the cell's
-    own index of shingles."""
-    labels, ids = _joined(group, 0), _joined(group, 1)
-    sets = _joined(group, 2)
-    sizes = np.array([len(x) for x in sets])
-    _, where = np.unique(labels, return_inverse=True)
-    root = list(range(where.max() + 1))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin, and the end."""
+    lead = np.ones(len(columns[0]), bool)
+    lead[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    return np.r_[np.flatnonzero(lead), len(lead)]
+
+
+def _expanded(begin: np.ndarray, count: np.ndarray, most: int):
+    """(i, j) arrays of each row i with the ``count`` places from ``begin``,
+    about ``most`` at a time."""
+    total = np.r_[0, np.cumsum(count)]
+    at = 0
+    while at < len(count):
+        stop = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+        if n := int(total[stop] - total[at]):
+            i = np.repeat(np.arange(at, stop), count[at:stop])
+            yield i, np.arange(n) + np.repeat(begin[at:stop] - (total[at:stop] - total[at]), count[at:stop])
+        at = stop
+
+
+def _promising(group: pa.Table, threshold: float):
+    """Nodes with a likely partner in another component of their cell: a row
+    per node at most, however many the partners."""
+    cells, labels, n = (group.column(i).to_numpy() for i in (0, 1, 4))
+    regs = np.frombuffer(b"".join(group.column(3).to_pylist()), np.uint16).reshape(len(cells), -1)
+    edges, runs = _edges(cells), _edges(cells, labels)
+    # labels are sorted: everything in another component lies behind
+    begin = np.repeat(runs[1:], np.diff(runs))
+    count = np.repeat(edges[1:], np.diff(edges)) - begin
+    flag = np.zeros(len(cells), bool)
+    for i, j in _expanded(begin, count, GROUP // regs.itemsize // regs.shape[1]):
+        good = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])
+        i, j = i[good], j[good]
+        good = estimate(regs[i], regs[j]) >= least_estimate(np.minimum(n[i], n[j]), threshold, regs.shape[1])
+        flag[i[good]] = flag[j[good]] = True
+    yield from group.select([0, 1, 2]).filter(pa.array(flag)).to_batches()
+
+
+def _bridges(group: pa.Table, percent: int):
+    """Links on full sets that join the components of each cell: at most one
+    fewer than it has components."""
+    edges = _edges(group.column(0).to_numpy())
+    small = np.repeat(np.diff(edges) <= SMALL, np.diff(edges))
+    if small.any():
+        yield _bridges_of_small(group.filter(pa.array(small)).combine_chunks(), percent)
+    for s, e in zip(edges[:-1], edges[1:], strict=True):
+        if e - s > SMALL:
+            yield _bridges_of_one(group.slice(s, e - s), percent)
+
+
+def _sets(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, ids, sizes of the sets, and their values one after the other."""
+    col = group.column(3)
+    sizes = pc.list_value_length(col).to_numpy().astype(np.int64)
+    return group.column(1).to_numpy(), group.column(2).to_numpy(), sizes, pc.list_flatten(col).to_numpy()
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+class _Roots:
+    """Union by the smallest, over few things."""
+
+    def __init__(self, n: int):
+        self.of = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.of[x] != x:
+            self.of[x] = self.of[self.of[x]]
+            x = self.of[x]
         return x
 
-    _, value = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(value, kind="stable")]
+    def join(self, a: int, b: int) -> bool:
+        x, y = self.find(a), self.find(b)
+        self.of[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _bridges_of_small(group: pa.Table, percent: int) -> pa.RecordBatch:
+    """Of many cells of at most SMALL rows, all at once: common shingles are
+    counted for every pair of rows of a cell."""
+    cells = group.column(0).to_numpy()
+    labels, ids, sizes, values = _sets(group)
+    edges = _edges(cells)
+    rows = np.diff(edges)
+    cell = np.repeat(np.arange(len(rows)), rows)
+    # a slot for each row and each row of its cell
+    slots = np.r_[0, np.cumsum(np.repeat(rows, rows))]
+    base = slots[:-1] - edges[cell]
+    owner = np.repeat(np.arange(len(cells)), sizes)
+    order = np.argsort(values)
+    kind = np.uint16 if len(rows) <= 1 << 16 else np.int64  # two bytes sort in linear time
+    order = order[np.argsort(cell[owner[order]].astype(kind), kind="stable")]
+    owner, values = owner[order], values[order]
+    runs = _edges(cell[owner], values)
+    behind = np.repeat(runs[1:], np.diff(runs)) - np.arange(len(owner)) - 1
+    both = np.zeros(slots[-1], np.int64)
+    for i, j in _expanded(np.arange(len(owner)) + 1, behind, GROUP // 8):
+        a, b = np.minimum(owner[i], owner[j]), np.maximum(owner[i], owner[j])
+        at = base[a] + b
+        low = int(at.min())
+        counted = np.bincount(at - low)
+        both[low : low + len(counted)] += counted
+    some = np.flatnonzero(both)
+    a = np.searchsorted(slots, some, "right") - 1
+    b = some - base[a]
+    good = (100 * both[some] >= percent * (sizes[a] + sizes[b] - both[some])) & (labels[a] != labels[b])
+    a, b = a[good], b[good]
+    # components of a cell, numbered over all cells
+    run = _edges(cells, labels)
+    number = np.repeat(np.arange(len(run) - 1), np.diff(run))
+    roots = _Roots(len(run) - 1)
+    keep = [k for k, (x, y) in enumerate(zip(number[a].tolist(), number[b].tolist(), strict=True)) if roots.join(x, y)]
+    return _pairs(ids[a[keep]], ids[b[keep]])
+
+
+def _bridges_of_one(group: pa.Table, percent: int) -> pa.RecordBatch:
+    """Of one large cell: intersections are counted through its own index of
+    shingles, row by row until its components are joined."""
+    labels, ids, sizes, values = _sets(group)
+    _, where = np.unique(labels, return_inverse=True)
+    roots = _Roots(where.max() + 1)
+    _, value = np.unique(values, return_inverse=True)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(value, kind="stable")]
     first = np.r_[0, np.cumsum(np.bincount(value))]
     begin = np.r_[0, np.cumsum(sizes)]
     commonest = np.argmax(np.bincount(where))
-    left = len(root) - 1
-    out = []
+    left = len(roots.of) - 1
+    out: list[tuple[int, int]] = []
     for i in np.flatnonzero(where != commonest):
         if not left:
             break
         own = value[begin[i] : begin[i + 1]]
         count = first[own + 1] - first[own]
         at = np.arange(count.sum()) + np.repeat(first[own] - np.r_[0, np.cumsum(count)[:-1]], count)
-        both = np.bincount(owner[at], minlength=len(sets))
+        both = np.bincount(owner[at], minlength=len(sizes))
         for j in np.flatnonzero(100 * both >= percent * (sizes + sizes[i] - both)):
-            x, y = find(where[i]), find(where[j])
-            if x != y:
-                root[max(x, y)] = min(x, y)
+            if roots.join(int(where[i]), int(where[j])):
                 left -= 1
-                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                out.append((int(i), int(j)))
     pairs = np.array(out, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    return _pairs(ids[pairs[:, 0]], ids[pairs[:, 1]])
 
 
 def _across(keys: DataFrame, labelled: DataFrame, nodes: DataFrame, sets_of: SetsOf, percent: int) -> DataFrame:
@@ -315,13 +402,13 @@ def _across(keys: DataFrame, labelled: DataFrame, nodes: DataFrame, sets_of: Set
     rows = cells.join(nodes.select("node", "regs", "n_shingles"), "node")
     likely = _grouped(
         rows, ["cell", "label", "node", "regs", "n_shingles"],
-        lambda cell, group: _promising(cell, group, percent / 100), "cell long, label long, node long",
+        lambda group: _promising(group, percent / 100), "cell long, label long, node long",
     )
     likely = stored(likely, "likely")
     wanted = nodes.join(likely.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("id"), "fp")
     sets = sets_of(wanted).dropDuplicates(["id", "fp"]).select(F.col("id").alias("node"), "shingles")
     return _grouped(
-        likely.join(sets, "node"), ["cell", "label", "node", "shingles"], lambda cell, group: _bridges(cell, group, percent), "a long, b long"
+        likely.join(sets, "node"), ["cell", "label", "node", "shingles"], lambda group: _bridges(group, percent), "a long, b long"
     )
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from presence.llm.components import components
 from presence.llm.hyperminhash import _prints, fixed_binary, link_sets, registers, unique_rows
-from presence.llm.textkit import Words, hash_filter, in_filter, lists, mix, per_slice, stored
+from presence.llm.textkit import Words, hash_filter, hash_spans, in_filter, lists, mix, per_slice, stored
 
 SHINGLE = 5
 REGISTER_BITS = 5
@@ -85,6 +85,12 @@ def _lines(words: Words) -> np.ndarray:
     return np.r_[np.flatnonzero(lead), len(words.starts)]
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The places from each begin to its end, one range after the other."""
+    size = end - begin
+    return np.arange(size.sum()) + np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) if len(size) else np.zeros(0, np.int64)
+
+
 def _uid(ids: np.ndarray, number: np.ndarray) -> np.ndarray:
     """63 bits that name a place in a document."""
     return (mix(mix(ids.view(np.uint64)) + number.astype(np.uint64)) >> np.uint64(1)).view(np.int64)
@@ -111,11 +117,16 @@ def _compared_lines(docs: DataFrame, what: str, wanted=None) -> DataFrame:
         if what == "sets":
             keep = in_filter(uid.view(np.uint64), wanted.value)
             begin, end, uid = begin[keep], end[keep], uid[keep]
-        size = end - begin
         # windows over these lines only, as if each were a row
-        pick = np.arange(size.sum()) + np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) if len(size) else np.zeros(0, int)
+        pick = _ranges(begin, end)
         view = Words.__new__(Words)
-        view.first, view._hash = np.r_[0, np.cumsum(size)], words.hash[pick] if len(pick) else np.zeros(0, np.uint64)
+        view.first, view._hash = np.r_[0, np.cumsum(end - begin)], np.zeros(0, np.uint64)
+        if len(pick) and what == "sets":  # few lines: only their bytes are hashed
+            from_, to = words.starts[begin], words.ends[end - 1]
+            moved = np.repeat(from_ - np.r_[0, np.cumsum(to - from_)[:-1]], end - begin)
+            view._hash = hash_spans(words.data[_ranges(from_, to)], words.starts[pick] - moved, words.ends[pick] - moved)
+        elif len(pick):
+            view._hash = words.hash[pick]
         values, _, first = view.windows(SHINGLE)
         values, counts = unique_rows(values, first)
         fp = _prints(values, counts)
@@ -214,6 +225,10 @@ def _own_key(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return mix(h + mix(ids.view(np.uint64)))
 
 
+def _holder_key(ids: np.ndarray) -> np.ndarray:
+    return mix(ids.view(np.uint64))
+
+
 def anchors(docs: DataFrame) -> DataFrame:
     """(h, doc_id): every anchor of every document."""
 
@@ -252,9 +267,9 @@ def _numbers_of(col: pa.Array) -> np.ndarray:
     return out
 
 
-def contexts(docs: DataFrame, wanted, own: bool) -> DataFrame:
+def contexts(docs: DataFrame, wanted, holders=None) -> DataFrame:
     """CONTEXT rows of anchors that pass a broadcast filter, of their hash or
-    (``own``) of hash and document: up to SIDE words to the left (nearest first)
+    (with ``holders``, a filter of the documents to read) of hash and document: up to SIDE words to the left (nearest first)
     and to the right as 16-bit codes, 0 beyond the text, and as byte steps
     from the anchor's first byte to a left word's, and to a right word's end."""
 
@@ -263,7 +278,7 @@ def contexts(docs: DataFrame, wanted, own: bool) -> DataFrame:
         at = _anchors(words, h, left) if len(h) else np.zeros(0, np.int64)
         ids = _ids(batch)
         row = words.row[at]
-        key = _own_key(h[at], ids[row]) if own else h[at]
+        key = h[at] if holders is None else _own_key(h[at], ids[row])
         keep = in_filter(key, wanted.value)
         at, row = at[keep], row[keep]
         j = np.arange(SIDE)
@@ -283,7 +298,12 @@ def contexts(docs: DataFrame, wanted, own: bool) -> DataFrame:
             }
         )
 
-    return _texts(docs).mapInArrow(per_slice("text", work), CONTEXT)
+    run = per_slice("text", work)
+
+    def of_holders(batches):
+        return run(b.filter(pa.array(in_filter(_holder_key(_ids(b)), holders.value))) for b in batches)
+
+    return _texts(docs).mapInArrow(run if holders is None else of_holders, CONTEXT)
 
 
 def _common(batches):
@@ -380,13 +400,18 @@ def passages(docs: DataFrame, clustered: bool = True) -> DataFrame:
             h, ids = (batch.column(i).to_numpy() for i in range(2))
             yield _batch({"h": _own_key(h.view(np.uint64), ids).view(np.int64)})
 
+    def holding(batches):
+        for batch in batches:
+            yield _batch({"h": _holder_key(batch.column(0).to_numpy()).view(np.int64)})
+
     places = spark.sparkContext.broadcast(hash_filter(shared.mapInArrow(owned, "h long")))
-    own = contexts(docs, places, True).join(shared, ["h", "doc_id"], "left_semi")
+    holders = spark.sparkContext.broadcast(hash_filter(shared.select("doc_id").distinct().mapInArrow(holding, "h long")))
+    own = contexts(docs, places, holders).join(shared, ["h", "doc_id"], "left_semi")
     rest = [c for c in own.columns if c != "h"]
     least = own.groupBy("h").agg(F.min(F.struct("word", *[c for c in rest if c != "word"])).alias("x"))
     first = stored(least.select("h", *[F.col(f"x.{c}").alias(f"first_{c}") for c in rest]), "first")
     known = spark.sparkContext.broadcast(hash_filter(shared.select("h")))
-    met = contexts(docs, known, False).join(first, "h").filter("doc_id != first_doc_id")
+    met = contexts(docs, known).join(first, "h").filter("doc_id != first_doc_id")
     dealt = met.mapInArrow(_common, MATCH).repartition("doc_id").sortWithinPartitions("doc_id", "text_hash", "first")
     found = stored(dealt.mapInArrow(_merged, PASSAGE).withColumn("span", F.xxhash64("doc_id", "text_hash", "first_word", "removed")), "passages")
     spans = found.drop("anchors").withColumn("cluster", F.col("span"))

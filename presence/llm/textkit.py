@@ -121,10 +121,10 @@ class Words:
         first = np.r_[0, np.cumsum(count)]
         at = np.arange(first[-1]) + np.repeat(self.first[:-1] - first[:-1], count)
         short = np.flatnonzero((n > 0) & (n < size))
-        reach = np.minimum(at[:, None] + np.arange(size), len(h) - 1) if len(at) else np.zeros((0, size), int)
         out = np.zeros(len(at), np.uint64)
         for j in range(size):
-            out = (out ^ h[reach[:, j]]) * np.uint64(0xFF51AFD7ED558CCD)
+            out ^= h.take(at + j, mode="clip") if len(at) else out
+            out *= np.uint64(0xFF51AFD7ED558CCD)
             out ^= out >> np.uint64(29)
         for r in short:
             value = n[r : r + 1].astype(np.uint64)

@@ -2,7 +2,11 @@
 
 import random
 
-from presence.llm import paragraphs
+import numpy as np
+import pyarrow as pa
+
+from presence.llm import hyperminhash, paragraphs
+from presence.llm.textkit import in_filter
 from test_operators import prose, words
 
 
@@ -73,3 +77,49 @@ def test_holders_that_share_different_parts(spark):
     gone = {(x.doc_id, w) for x in spans for w in range(x.first_word, x.first_word + x.n_words)}
     assert {w for d, w in gone if d == 2} == set(range(60))
     assert {w for d, w in gone if d == 3} == set(range(15, 135))
+
+
+def test_cells_are_joined_many_at_a_time():
+    """One call for many cells, small and large, joins what all pairs of each cell join."""
+    r, rows = random.Random(4), []
+    for cell in range(30):
+        common = [r.getrandbits(62) for _ in range(r.randint(5, 40))]
+        for k in range(r.choice((2, 3, 7, 64, 65, 90))):
+            own = list(common)
+            for _ in range(r.randint(0, 5)):
+                own[r.randrange(len(own))] = r.getrandbits(62)
+            rows.append((cell, k // 2, 1000 * cell + k, sorted(set(own))))
+    names = ["cell", "label", "node", "shingles"]
+    group = pa.table([pa.array(x) for x in zip(*rows, strict=True)], names=names)
+    got = [(a, b) for batch in hyperminhash._bridges(group, 80) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    sets = {node: set(own) for _, _, node, own in rows}
+    assert all(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in got)
+
+    def joined(links):
+        root = {(c, label): (c, label) for c, label, _, _ in rows}
+        of = {node: (c, label) for c, label, node, _ in rows}
+        for a, b in links:
+            x, y = root[of[a]], root[of[b]]
+            root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+        return root
+
+    nodes = [[n for c, _, n, _ in rows if c == cell] for cell in range(30)]
+    pairs = [(a, b) for ids in nodes for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert joined(got) == joined(pairs) and len(got) == len(set(joined([]).values())) - len(set(joined(got).values())) > 30
+
+
+def test_only_first_holders_are_read_again(spark, monkeypatch):
+    """The pass for the first holders' words is told which documents to read."""
+    passage, told = prose(1, 60), []
+    docs = spark.createDataFrame([(i, f"{prose(10 + i, 40)} {passage}") for i in range(20)], "doc_id long, text string")
+    contexts = paragraphs.contexts
+
+    def asked(docs, wanted, holders=None):
+        if holders is not None:
+            ids = np.arange(20)
+            told.extend(ids[in_filter(paragraphs._holder_key(ids), holders.value)].tolist())
+        return contexts(docs, wanted, holders)
+
+    monkeypatch.setattr(paragraphs, "contexts", asked)
+    spans = paragraphs.passages(docs).collect()
+    assert told == [0] and {(x.doc_id, x.first_word, x.n_words) for x in spans} == {(i, 40, 60) for i in range(20)}
