@@ -1,6 +1,8 @@
 import os
 
+from presence.sources import scan
 from presence.workload import inputs, views
+from presence.workload.base import REGISTRY
 
 
 def test_bitmaps_hold_the_text(spark, tmp_path):
@@ -22,3 +24,29 @@ def test_bitmaps_hold_the_text(spark, tmp_path):
     assert list(top_line[::3]) == want[:64] and list(body[:192:3]) == want[-64:]
     with open(f"{root}/original/17.BMP", "rb") as f:
         assert f.read() == b"BM broken"
+
+
+def test_folders_are_small_and_scanned_in_turn(spark, tmp_path, monkeypatch):
+    """No frame lists more than a group of folders, and no file is left out."""
+    rows = [(k, f"text {k} ") for k in range(1, 401)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(inputs, "PER_FOLDER", 4)
+    root, folders = inputs.bmp_folders(spark, str(tmp_path))
+    files = {f: os.listdir(f) for f in folders}
+    assert sorted(n for names in files.values() for n in names) == sorted(f"{k}.BMP" for k, _ in rows)
+    assert max(map(len, files.values())) <= 16 and len(folders) > 2 * scan.FOLDERS_AT_ONCE
+    assert {os.path.basename(f) for f in folders} == {"attack", "original"} and all(f.startswith(root) for f in folders)
+
+    listed, plain = [], scan.scan_images
+
+    def watched(spark, path, recursive=False):
+        listed.append(path)
+        return plain(spark, path, recursive)
+
+    monkeypatch.setattr(scan, "scan_images", watched)
+    got = REGISTRY["scan_images"].build(spark, str(tmp_path)).collect()
+    assert sorted(r["file"] for r in got) == sorted(f"{k}.BMP" for k, _ in rows)
+    sets = {r["class"]: (r["ok"], r["n"]) for r in REGISTRY["scan_labelled_sets"].build(spark, str(tmp_path)).collect()}
+    broken = [k for k, _ in rows if k % 17 == 0]
+    assert sets == {"REAL": (200 - sum(k % 2 for k in broken), 200), "SPOOF": (200 - sum(1 - k % 2 for k in broken), 200)}
+    assert len(listed) > 4 and all(len(paths) <= scan.FOLDERS_AT_ONCE for paths in listed)
