@@ -19,10 +19,11 @@ from presence.plans import pad
 from presence.session import shared_folder
 from presence.sources import codecs, scan
 from presence.workload.base import query
-from presence.workload.views import rnd, table
+from presence.workload.views import dealt, rnd, table
 
 SETTINGS = replace(DEFAULTS, max_payload_bytes=400_000, max_dimension=600)
 SHARP = 480
+PER_FILE = 4096  # requests; a compressed file is read by one task
 
 
 def photo(doc, n_chars):
@@ -48,6 +49,8 @@ def photo(doc, n_chars):
 
 
 def request_folder(spark, sf_dir) -> str:
+    """Request files, compressed: their photos are base64 of flat planes
+    mostly, many times the documents' size as plain text."""
     folder = shared_folder(spark, "photos")
     doc = F.col("doc_id")
     encoded = F.base64(F.encode(photo(doc, F.col("n_chars")), "utf-8"))
@@ -58,7 +61,9 @@ def request_folder(spark, sf_dir) -> str:
         F.when(doc % 11 == 0, F.lit(None)).when(doc % 17 == 5, F.lit("a")).otherwise(encoded).alias("face_photo"),
     )
     line = F.when(doc % 13 == 0, F.concat(F.lit('{"broken": '), doc)).otherwise(F.to_json(fields))
-    table(spark, sf_dir, "documents").select(line.alias("value")).write.text(folder)
+    docs = dealt(spark, table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    lines = docs.select(line.alias("value")).write.option("maxRecordsPerFile", PER_FILE)
+    lines.text(folder, compression="gzip")
     return folder
 
 

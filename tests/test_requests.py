@@ -1,13 +1,16 @@
 """Request files to decisions: one plan, bad rows kept, records replayable."""
 
 import base64
+import gzip
 import json
+import os
 
 import numpy as np
 import pytest
 
 from presence.plans import pad
 from presence.sources import codecs, scan
+from presence.workload import requests as written
 from presence.workload.requests import MODELS, SETTINGS
 
 
@@ -73,3 +76,17 @@ def test_netpbm():
     assert decode(b"P6\n# made by hand\n1 1\n255\n\x01\x02\x03").tolist() == [[[3, 2, 1]]]
     assert decode(b"P6 1 1 65535\n123456") is None and decode(b"") is None and decode(b"P5 0 0 255\n") is None
     assert isinstance(decode(b"P5 3 2 255\n123456")[0, 0, 0], np.uint8)
+
+
+def test_request_files_are_small_and_whole(spark, tmp_path, monkeypatch):
+    """Photos take little disk, no file grows with the data, no request is lost."""
+    rows = [(k, 50 + k) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(written, "PER_FILE", 30)
+    folder = written.request_folder(spark, str(tmp_path)).removeprefix("file:")
+    files = [f"{folder}/{f}" for f in os.listdir(folder) if f.startswith("part-")]
+    texts = [gzip.open(f).read() for f in files]
+    assert max(t.count(b"\n") for t in texts) <= 30 and sum(t.count(b"\n") for t in texts) == 400
+    assert sum(map(os.path.getsize, files)) < sum(map(len, texts)) / 10
+    got = scan.scan_requests(spark, folder).select("correlation_id").collect()
+    assert sorted(r[0] for r in got if r[0]) == sorted(f"c{k}" for k in range(400) if k % 13)
