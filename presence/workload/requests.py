@@ -63,7 +63,7 @@ def request_folder(spark, sf_dir) -> str:
     line = F.when(doc % 13 == 0, F.concat(F.lit('{"broken": '), doc)).otherwise(F.to_json(fields))
     docs = dealt(spark, table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     lines = docs.select(line.alias("value")).write.option("maxRecordsPerFile", PER_FILE)
-    lines.text(folder, compression="gzip")
+    lines.text(folder, compression="lz4")
     return folder
 
 
